@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from .langid import op7_language_id
+from .toxicity import op10_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op7_language_id,)}
+    return {f.__name__: f for f in (op7_language_id, op10_toxicity)}
 
 
 def oracle_sql() -> dict:
