@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from .langid import op7_language_id
 from .decontaminate import op9_decontamination
+from .packing import op4_packing
 from .toxicity import op10_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op7_language_id, op9_decontamination, op10_toxicity)}
+    return {f.__name__: f for f in (op4_packing, op7_language_id, op9_decontamination, op10_toxicity)}
 
 
 def oracle_sql() -> dict:
