@@ -6,11 +6,12 @@ from .langid import op7_language_id
 from .decontaminate import op9_decontamination
 from .minhash import op2_minhash
 from .packing import op4_packing
+from .pii import op1_pii
 from .toxicity import op10_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_minhash, op4_packing, op7_language_id, op9_decontamination, op10_toxicity)}
+    return {f.__name__: f for f in (op1_pii, op2_minhash, op4_packing, op7_language_id, op9_decontamination, op10_toxicity)}
 
 
 def oracle_sql() -> dict:
