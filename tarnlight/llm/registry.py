@@ -8,11 +8,12 @@ from .minhash import op2_minhash
 from .packing import op4_packing
 from .pii import op1_pii
 from .toxicity import op10_toxicity
+from .urlfilter import op6_sql, op6_url_filter
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii, op2_minhash, op4_packing, op7_language_id, op9_decontamination, op10_toxicity)}
+    return {f.__name__: f for f in (op1_pii, op2_minhash, op4_packing, op6_url_filter, op7_language_id, op9_decontamination, op10_toxicity)}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op6_url_filter": op6_sql()}
