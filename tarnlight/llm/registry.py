@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .hnsw import op3_hnsw
 from .langid import op7_language_id
 from .decontaminate import op9_decontamination
 from .minhash import op2_minhash
@@ -12,7 +13,7 @@ from .urlfilter import op6_sql, op6_url_filter
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii, op2_minhash, op4_packing, op6_url_filter, op7_language_id, op9_decontamination, op10_toxicity)}
+    return {f.__name__: f for f in (op1_pii, op2_minhash, op3_hnsw, op4_packing, op6_url_filter, op7_language_id, op9_decontamination, op10_toxicity)}
 
 
 def oracle_sql() -> dict:
