@@ -8,14 +8,15 @@ from .decontaminate import op9_decontamination
 from .minhash import op2_minhash
 from .packing import op4_packing
 from .pii import op1_pii
+from .toolcalls import OP5_SQL, op5_tool_calls
 from .toxicity import op10_toxicity
 from .urlfilter import op6_sql, op6_url_filter
 from .warc import OP8_SQL, op8_warc
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii, op2_minhash, op3_hnsw, op4_packing, op6_url_filter, op7_language_id, op8_warc, op9_decontamination, op10_toxicity)}
+    return {f.__name__: f for f in (op1_pii, op2_minhash, op3_hnsw, op4_packing, op5_tool_calls, op6_url_filter, op7_language_id, op8_warc, op9_decontamination, op10_toxicity)}
 
 
 def oracle_sql() -> dict:
-    return {"op6_url_filter": op6_sql(), "op8_warc": OP8_SQL}
+    return {"op5_tool_calls": OP5_SQL, "op6_url_filter": op6_sql(), "op8_warc": OP8_SQL}
