@@ -1 +1 @@
-"""Part of tarnlight."""
+"""Scalar expressions: base codes, distances, schedules, waves and plot geometry."""

@@ -1,19 +1,300 @@
-"""Registry of the core queries: name to Spark callable, and name to oracle SQL."""
+"""Registry of the core queries: name to Spark callable, and name to oracle SQL.
+
+Every query runs over its whole tables.  Samples stand for: a row of ``embeddings`` (its components, cut into 16 steps, as
+an alignment of 64 bases; its first two as a layout), a supplier (its parts as features), a document (its name).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import bases, schedule, wave
+from ..operators import audio, cluster, edges, layout, naming, plots, probability, sketches
+from ..sources import readers, writers
+from . import runs
+from .options import RunOptions
+
+#: Characters that stand for the steps of a component: all codes, a gap and an unknown base.
+ALPHABET, LENGTH = "ACGTMRWSYKVHDBN-", 64
+K, PERPLEXITY = 15, 5.0
+
+
+def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _msa(spark, sf):
+    code = lambda x: F.substring(F.lit(ALPHABET), (F.pmod(F.floor(F.abs(x.cast("double")) * 100), F.lit(16)) + 1).cast("int"), F.lit(1))
+    return _table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.array_join(F.transform("embedding", code), "").alias("seq"))
+
+
+def _presence(spark, sf):
+    return _table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("id"), F.col("l_partkey").alias("feature"))
+
+
+def _suppliers(spark, sf):
+    return _table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+
+
+def _points(spark, sf):
+    at = lambda k: F.element_at("embedding", k).cast("double")
+    return _table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), at(1).alias("x"), at(2).alias("y"))
+
+
+def _frames(spark, sf):
+    at = lambda k: F.element_at("embedding", k).cast("double")
+    return _table(spark, sf, "embeddings").select((F.col("vec_id") % 50).alias("id"), F.floor(F.col("vec_id") / 50).alias("frame"), at(1).alias("x"), at(2).alias("y"))
+
+
+def _edges(spark, sf):
+    return edges.vector_knn(_table(spark, sf, "embeddings"), "vec_id", "embedding", K)
+
+
+def _r(*columns: str, digits: int = 6):
+    return [F.round(c, digits).alias(c) for c in columns]
+
+
+def iupac_encode(spark, sf):
+    planes = edges.encoded(_msa(spark, sf), LENGTH)
+    return planes.select("id", *[F.col(b)[k].alias(f"{b.lower()}{k}") for b in bases.BASES for k in range(2)])
+
+
+def snp_distance(spark, sf):
+    return edges.snp_all(_msa(spark, sf), LENGTH)
+
+
+def snp_knn_ties(spark, sf):
+    return edges.snp_knn(_msa(spark, sf), LENGTH, K).select("i", "j", *_r("d"))
+
+
+def snp_threshold(spark, sf):
+    return edges.snp_threshold(_msa(spark, sf), LENGTH, 0.1).select("i", "j", *_r("d"))
+
+
+def jaccard_distance(spark, sf):
+    return edges.jaccard(_presence(spark, sf), _suppliers(spark, sf)).select("i", "j", *_r("d"))
+
+
+def jaccard_knn(spark, sf):
+    return edges.jaccard_knn(_presence(spark, sf), _suppliers(spark, sf), K).select("i", "j", *_r("d"))
+
+
+def jaccard_threshold(spark, sf):
+    return edges.below(edges.jaccard(_presence(spark, sf), _suppliers(spark, sf), full=False), 0.85).select("i", "j", *_r("d"))
+
+
+def vector_knn(spark, sf):
+    return _edges(spark, sf).select("i", "j", *_r("d"))
+
+
+def perplexity_p(spark, sf):
+    return probability.perplexity(_edges(spark, sf), PERPLEXITY).select("i", "j", *_r("p"))
+
+
+def edge_normalise(spark, sf):
+    return probability.normalised(probability.perplexity(_edges(spark, sf), PERPLEXITY), "p").select("i", "j", *_r("p", digits=9))
+
+
+def raw_similarity(spark, sf):
+    return probability.raw_similarity(_edges(spark, sf)).select("i", "j", *_r("p"))
+
+
+def _documents(spark, sf):
+    return _table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("doc"), "doc_id").alias("name"))
+
+
+def _named_labels(spark, sf):
+    return _table(spark, sf, "labels").select(F.concat(F.lit("doc"), "doc_id").alias("name"), F.col("toxic").cast("string").alias("label"), F.col("quality").cast("double").alias("weight"))
+
+
+def labels_join(spark, sf):
+    return naming.labelled(_documents(spark, sf), _named_labels(spark, sf))
+
+
+def weights_join(spark, sf):
+    """Nodes that all have a weight: the labelled documents."""
+    marked = _table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.concat(F.lit("doc"), "doc_id").alias("name")).distinct()
+    return naming.weighted(marked, _named_labels(spark, sf))
+
+
+def weights_mismatch(spark, sf):
+    """Documents of which only some have a weight: all get 1."""
+    return naming.weighted(_documents(spark, sf), _named_labels(spark, sf))
+
+
+def name_symdiff(spark, sf):
+    return naming.symmetric_difference(_documents(spark, sf), _named_labels(spark, sf))
+
+
+def cdf_table(spark, sf):
+    p = probability.normalised(probability.perplexity(_edges(spark, sf), PERPLEXITY), "p")
+    return probability.cumulative(p, ["i", "j"], "p").select("i", "j", *_r("cum_lo", "cum_hi"))
+
+
+def weighted_draw(spark, sf):
+    """Draws from suppliers in proportion to their order lines."""
+    w = _presence(spark, sf).groupBy("id").agg(F.count("*").cast("double").alias("w"))
+    table = probability.cumulative(probability.normalised(w, "w"), ["id"], "w")
+    draws = _table(spark, sf, "orders").select(F.col("o_orderkey").alias("draw"), (F.pmod(F.col("o_orderkey") * 7919, F.lit(100_003)) / 100_003.0 + 1e-6).alias("u"))
+    return probability.weighted_draw(table, draws).select("draw", "id")
+
+
+def sce_step(spark, sf):
+    p = _points(spark, sf)
+    pairs = p.select(F.col("id").alias("k"), (F.col("id") + 1).alias("l"), (F.col("id") % 3 != 0).alias("repel"))
+    return layout.moved(p, layout.forces(p, pairs, 0.5, 0.7, 2.0, 5)).select("id", *_r("x", "y"))
+
+
+def eq_update(spark, sf):
+    """Eq after each label's nodes, taken as the draws of one step (a step's table is one row)."""
+    q = _table(spark, sf, "embeddings").select("label", (1 / (1 + F.element_at("embedding", 1).cast("double") ** 2)).alias("q"))
+    step = q.groupBy("label").agg(F.sum("q").alias("s"), F.count("*").alias("n"))
+    n = q.agg((F.count("*") * (F.count("*") - 1)).cast("double").alias("pairs"))
+    fold = F.aggregate(F.array_sort(F.collect_list(F.struct("label", "s", "n"))), F.lit(1.0), lambda eq, r: (eq * F.first("pairs") + r["s"]) / (F.first("pairs") + r["n"]))
+    return step.join(F.broadcast(n)).groupBy().agg(F.round(fold, 9).alias("eq"))  # one row is broadcast
+
+
+def eta_schedule(spark, sf):
+    steps = 1000
+    at = spark.range(steps).select(F.col("id").alias("step"))
+    eta, a = schedule.eta(F.col("step"), steps), schedule.attraction(F.col("step"), steps, True)
+    return at.select("step", F.round(eta, 9).alias("eta"), a.alias("attraction"), F.round(schedule.repulsion(1.0 / (F.col("step") + 1), 5), 9).alias("repulsion"))
+
+
+def frame_schedule(spark, sf):
+    return spark.range(schedule.FRAMES - 1).select(F.col("id").alias("frame"), schedule.frame_point(F.col("id"), 100_000).alias("step"))
+
+
+def scale_centre(spark, sf):
+    return cluster.scaled(_points(spark, sf)).select("id", *_r("x", "y"))
+
+
+def zscore_frame(spark, sf):
+    return audio.z_scored(_frames(spark, sf)).select("frame", "id", *_r("x", "y"))
+
+
+def frame_delta(spark, sf):
+    return audio.motion(audio.z_scored(_frames(spark, sf))).select("frame", *_r("dx", "dy"))
+
+
+def freq_map(spark, sf):
+    return audio.frequencies(audio.motion(audio.z_scored(_frames(spark, sf)))).select("frame", *_r("fx", "fy"))
+
+
+def core_distance(spark, sf):
+    return cluster.core_distances(_points(spark, sf)).select("id", *_r("core"))
+
+
+def mutual_reachability(spark, sf):
+    p = _points(spark, sf)
+    return cluster.mutual_reachability(p, cluster.core_distances(p)).select("i", "j", *_r("d"))
+
+
+def mst_weight(spark, sf):
+    p = cluster.scaled(_points(spark, sf))
+    tree = cluster.spanning_tree(p, cluster.core_distances(p))
+    return tree.agg(F.count("*").alias("n_edges"), F.round(F.sum("d"), 6).alias("weight"))
+
+
+def hexbin(spark, sf):
+    return plots.hexbin(_points(spark, sf)).select(*_r("cx", "cy"), "n")
+
+
+def class_sizes(spark, sf):
+    return plots.class_sizes(_table(spark, sf, "embeddings"), "label")
+
+
+def top_classes(spark, sf):
+    return plots.top_classes(_table(spark, sf, "events"), "user_id")
+
+
+def point_size(spark, sf):
+    return plots.point_styles(_table(spark, sf, "embeddings").select("vec_id", (F.col("label") - 1).alias("label")), "label")
+
+
+def n_clusters(spark, sf):
+    return cluster.n_clusters(_table(spark, sf, "embeddings").select((F.col("label") - 1).alias("cluster")))
+
+
+def colour_map(spark, sf):
+    return plots.colours(_table(spark, sf, "embeddings"), "label")
+
+
+def triangle_wave(spark, sf):
+    v = F.col("value") / 10
+    return _table(spark, sf, "events").select("event_id", F.round(wave.triangle(v - F.floor(v)), 6).alias("amp"))
+
+
+def adsr(spark, sf):
+    v = F.col("value") / 7
+    return _table(spark, sf, "events").select("event_id", F.round(wave.envelope(v - F.floor(v)), 6).alias("level"))
+
+
+def synth(spark, sf):
+    notes = _table(spark, sf, "events").select((F.col("event_id") / 20).alias("start"), (wave.LOW + F.col("event_id") % 1200).alias("freq"))
+    return audio.synthesised(notes, 1000, 1e9).select("t", *_r("amp"))
+
+
+def pcm_scale(spark, sf):
+    notes = _table(spark, sf, "events").select((F.col("event_id") / 20).alias("start"), (wave.LOW + F.col("event_id") % 1200).alias("freq"))
+    return audio.pcm(audio.synthesised(notes, 100, 1e9))
+
+
+def dot_lines(spark, sf):
+    return writers.dot_lines(_points(spark, sf).select("id", *_r("x", "y", digits=3)), _points(spark, sf).select("id", F.concat(F.lit("v"), "id").alias("name")))
+
+
+def cluster_csv(spark, sf):
+    e = _table(spark, sf, "embeddings")
+    return writers.cluster_table(e.select(F.col("vec_id").alias("id"), F.concat(F.lit("v"), "vec_id").alias("name")), e.select(F.col("vec_id").alias("id"), F.col("label").alias("cluster")))
+
+
+def _sketch(spark, sf):
+    li = _table(spark, sf, "lineitem")
+    parts = [F.col("l_partkey").cast("string"), F.concat_ws("/", "l_partkey", "l_returnflag"), F.concat_ws("/", "l_partkey", "l_returnflag", "l_linestatus")]
+    return li.select(F.col("l_suppkey").alias("id"), F.explode(F.array(*[F.struct(F.lit(k + 1).alias("k"), p.alias("hash")) for k, p in enumerate(parts)])).alias("s")).select("id", "s.k", "s.hash").distinct()
+
+
+def minhash_jaccard(spark, sf):
+    return sketches.jaccard_by_k(_sketch(spark, sf)).select("i", "j", "k", *_r("jaccard"))
+
+
+def core_accessory(spark, sf):
+    return sketches.core_accessory(sketches.jaccard_by_k(_sketch(spark, sf))).select("i", "j", *_r("core", "accessory"))
+
+
+def sketch_kmers(spark, sf):
+    s = _sketch(spark, sf).withColumnRenamed("id", "name")
+    return readers.sketch_names(s).select("name", F.lit(",".join(map(str, sketches.kmer_lengths(s)))).alias("ks"))
+
+
+def embed_and_cluster(spark, sf):
+    """The whole run on ``embeddings``: graph, probabilities, layout, clusters."""
+    options = RunOptions(k=K, perplexity=PERPLEXITY, layout=layout.LayoutOptions(epochs=40, draws=4.0))
+    run = runs.from_vectors(_table(spark, sf, "embeddings"), "vec_id", "embedding", options)
+    return run.points.join(run.clusters, "id")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return embed_and_cluster(spark, sf_dir)
+
+
+_QUERIES = (
+    iupac_encode, snp_distance, snp_knn_ties, snp_threshold, jaccard_distance, jaccard_knn, jaccard_threshold, vector_knn, perplexity_p, edge_normalise, raw_similarity,
+    labels_join, weights_join, weights_mismatch, name_symdiff, cdf_table, weighted_draw, sce_step, eq_update, eta_schedule, frame_schedule, scale_centre, zscore_frame, frame_delta, freq_map,
+    core_distance, mutual_reachability, mst_weight, hexbin, class_sizes, top_classes, point_size, n_clusters, colour_map, triangle_wave, adsr, synth, pcm_scale, dot_lines, cluster_csv,
+    minhash_jaccard, core_accessory, sketch_kmers, embed_and_cluster,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .oracle import SQL
+
+    return dict(SQL)
