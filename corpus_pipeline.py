@@ -17,8 +17,7 @@ SHINGLE_WORDS = 5
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model doesn't predict to be toxic; it is learned from the labels of these documents."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = toxicity.score(docs, toxicity.fit(docs, labels), keep=True)
-    return scored.where("predicted_toxic = 0").drop("predicted_toxic")
+    return toxicity.score(docs, toxicity.fit(docs, labels), clean=True)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

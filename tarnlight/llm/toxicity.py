@@ -259,8 +259,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -
 HIT = "array<struct<word:string,term:string,edits:int,quoted:boolean>>"
 
 
-def score(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
-    """doc_id, score, predicted and hits of every row; with ``keep`` all columns of ``docs`` and predicted instead.
+def score(docs: DataFrame, model: Model, clean: bool = False) -> DataFrame:
+    """doc_id, score, predicted and hits of every row; with ``clean`` the rows of ``docs`` not predicted toxic, as they are.
 
     Null and empty texts have no hits and get the score of the intercept alone.  Rows with null or repeated doc_id are
     scored like any other; other columns are not read.
@@ -278,15 +278,13 @@ def score(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
                 scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, sum(p * q for p, q in zip(w, x, strict=True)))))))
                 found.append([dict(zip(("word", "term", "edits", "quoted"), h, strict=True)) for h in hits])
             predicted = pa.array([int(s >= THRESHOLD) for s in scores], pa.int32())
-            if keep:
-                yield pa.RecordBatch.from_arrays([*b.columns, predicted], names=[*b.schema.names, "predicted_toxic"])
+            if clean:
+                yield b.filter(pa.array([s < THRESHOLD for s in scores], pa.bool_()))
             else:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), predicted, pa.array(found, hit)], names=["doc_id", "score", "predicted", "hits"])
 
-    if keep:
-        from pyspark.sql.types import IntegerType, StructType
-
-        return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("predicted_toxic", IntegerType()))
+    if clean:
+        return docs.mapInArrow(run, docs.schema)
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, score double, predicted int, hits {HIT}")
 
 
