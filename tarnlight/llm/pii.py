@@ -35,7 +35,7 @@ LOOSE = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
 }
-# What a text must hold for a pattern to be tried at all.
+# What a text must hold for a base pattern to be tried at all.
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 CUES = {
     "email": "mail|contact|write|kontakt|correo|courriel", "ip": r"\bip\b|address|host|server|client|login", "card": "card|visa|master|credit|payment|karte|carte|tarjeta",
@@ -106,11 +106,13 @@ def _checked(kind: str):
     return lambda s: _valid(kind, s["value"])
 
 
-def _spans(kind: str, text: Column, pattern: str) -> Column:
-    has = F.contains(text, F.lit(NEEDS[kind])) if NEEDS.get(kind) else F.lit(True)
+def _spans(kind: str, text: Column, pattern: str, needs: str = "") -> Column:
+    has = F.contains(text, F.lit(needs))
     if kind in ("ip", "card", "phone", "ssn", "iban"):
         has = has & text.rlike("[0-9]")
-    if kind == "name":
+    elif kind == "email" and not needs:
+        has = text.rlike(r"[\[({<] ?(?:at|AT) ?[\])}>]")
+    elif kind == "name":
         has = text.rlike("Mr|Ms|Dr|Prof|(?<![A-Za-z])[A-Z][a-zé]{2,9} [A-Z][a-z]")
     return F.when(has, _matches(text, pattern)).otherwise(F.expr(NO_SPANS))
 
@@ -164,7 +166,7 @@ def extract(docs: DataFrame) -> DataFrame:
     Null texts are taken as empty.  Extra columns named like the added ones must be renamed first.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    raw = docs.withColumns({f"_{k}": _spans(k, text, p) for k, p in BASE.items()})
+    raw = docs.withColumns({f"_{k}": _spans(k, text, p, NEEDS[k]) for k, p in BASE.items()})
     base = F.concat(*[_kinded(k, text, F.filter(F.col(f"_{k}"), _checked(k)), True) for k in BASE])
     failed = F.filter(F.col("_card"), lambda s: F.length(_digits(s["value"])).between(13, 19) & ~_valid("card", s["value"]))
     loose = F.concat(_kinded("card", text, failed, False), *[_kinded(k, text, _spans(k, text, p), False) for k, p in LOOSE.items()])
