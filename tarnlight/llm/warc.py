@@ -95,7 +95,7 @@ def write(chunks: DataFrame, role: DataFrame, path: str, date: str = DATE) -> No
         F.lit(f"\r\nWARC-Date: {date}\r\nWARC-Target-URI: "), uri, F.lit("\r\nX-Page-ID: "), F.col("page_id").cast("string"),
         F.lit("\r\nWARC-Payload-Digest: sha256:"), F.col("payload_digest"), F.lit("\r\nX-Payload-Length: "), F.col("payload_bytes").cast("string"),
         F.when(F.col("refers_to").isNotNull(), F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), _record_id(F.concat_ws("/", "refers_to", "payload_digest")), F.lit("\r\nX-Refers-To-Page-ID: "), F.col("refers_to").cast("string"))).otherwise(""),
-        F.when((kind == "continuation") | ~F.col("last"), F.concat(F.lit("\r\nWARC-Segment-Number: "), (F.col("chunk") + 1).cast("string"))).otherwise(""),
+        F.when(F.col("refers_to").isNull() & ((F.col("chunk") > 0) | ~F.col("last")), F.concat(F.lit("\r\nWARC-Segment-Number: "), (F.col("chunk") + 1).cast("string"))).otherwise(""),
         F.when(kind == "continuation", F.concat(F.lit("\r\nWARC-Segment-Origin-ID: "), _record_id(own))).otherwise(""),
         F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.length(body).cast("string"), F.lit("\r\n\r\n"),
     )
