@@ -21,13 +21,16 @@ from . import common
 MAX_TRAINING_ROWS = 20_000
 #: Learned terms and known harmless look-alikes kept at most: what is sent to executors has this bound.
 MAX_TERMS, MAX_HARMLESS = 2_000, 50_000
-#: A word becomes a term if it is in so many toxic training documents and so large a share of its documents is toxic.
-MIN_TOXIC_DOCS, MIN_SHARE = 3, 0.75
+#: A word becomes a term if it is in so many toxic training documents, so large a share of its documents is toxic, and
+#: chance would give fewer than MAX_CHANCE such words among the sample's words of as many documents.
+MIN_TOXIC_DOCS, MIN_SHARE, MAX_CHANCE = 3, 0.75, 0.5
 #: Letters from which a term may be misspelled by one edit, and by two.
 ONE_EDIT, TWO_EDITS = 5, 11
 #: Words on either side of a hit that are searched for quotation marks and reporting words.
 WINDOW = 8
 THRESHOLD = 0.7
+#: The regression's weights without any labelled rows; labelled rows move them.
+PRESET = [-3.0, 2.5, 1.0, 1.5, 0.5, 0.0, 0.0]
 WORD_CACHE, STATES = 400_000, 40_000
 # Abusive terms known without any labelled rows.
 TERMS = ["clown", "disgusting", "idiot", "idiots", "imbecile", "loser", "losers", "moron", "morons", "pathetic", "scum", "stupid", "trash", "vermin", "worthless"]
@@ -189,9 +192,19 @@ def _counted(counts):
     return pa.RecordBatch.from_pydict({"word": [w for w, _ in counts], "fold": [f for _, f in counts], "toxic": [c[0] for c in counts.values()], "docs": [c[1] for c in counts.values()]}, schema=pa.schema([("word", pa.string()), ("fold", pa.int32()), ("toxic", pa.int64()), ("docs", pa.int64())]))
 
 
-def _terms(counts: DataFrame) -> dict[str, float]:
-    """Terms and their log-odds from counts (word, toxic, docs): at most MAX_TERMS, those in most toxic documents."""
-    good = counts.where((F.col("toxic") >= MIN_TOXIC_DOCS) & (F.col("toxic") >= MIN_SHARE * F.col("docs")) & (F.length("word") >= 3))
+def _terms(counts: DataFrame, rate: float) -> dict[str, float]:
+    """Terms and their log-odds from counts (word, toxic, docs): at most MAX_TERMS, those in most toxic documents.
+
+    ``rate`` is the share of toxic documents.  A word of n documents, t of them toxic, comes up by chance with probability
+    below C(n, t) rate^t, and C(n, t) is below (e n / (n - t))^(n - t).
+    """
+    if not 0 < rate < 1:
+        return dict.fromkeys(TERMS, 2.0)
+    clean = F.col("docs") - F.col("toxic")
+    ways = F.when(clean > 0, clean * (1 + F.log(F.col("docs") / clean))).otherwise(0.0)
+    telling = F.col("toxic") * -math.log(rate) - ways >= F.log(F.col("words") / MAX_CHANCE)
+    alike = counts.groupBy("docs").agg(F.count("*").alias("words"))  # at most a row for each row of the sample
+    good = counts.join(F.broadcast(alike), "docs").where((F.col("toxic") >= MIN_TOXIC_DOCS) & (F.col("toxic") >= MIN_SHARE * F.col("docs")) & (F.length("word") >= 3) & telling)
     learned = {w: math.log((t + 0.5) / (n - t + 0.5)) for w, t, n in good.orderBy(F.desc("toxic"), "word").limit(MAX_TERMS).select("word", "toxic", "docs").collect()}
     return dict.fromkeys(TERMS, 2.0) | learned
 
@@ -210,14 +223,14 @@ def _harmless(counts: DataFrame, terms: dict[str, float]) -> set[str]:
     return {w for (w,) in found.select("word").collect()}
 
 
-def regress(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Logistic regression by Newton's method with a ridge on all but the first input."""
-    w = np.zeros(x.shape[1])
+def regress(x: np.ndarray, y: np.ndarray, preset: np.ndarray, ridge: float = 0.3) -> np.ndarray:
+    """Logistic regression by Newton's method, with a ridge towards the preset weights (a weak one for the first input)."""
+    w = preset.astype(float)
     penalty = ridge * np.eye(x.shape[1])
-    penalty[0, 0] = 1e-3
+    penalty[0, 0] = 0.05 * ridge
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ (w - preset))
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -229,7 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -
 
     Repeated labels of a document count once, as the largest.  At most ``max_rows`` documents are used.  The regression
     is fitted on the half of them whose words didn't make the lexicon it is fitted with; the lexicon then comes from both.
-    Without labelled rows, the fixed terms and preset weights hold.
+    Without labelled rows, the fixed terms and preset weights hold; few rows move them little.
     """
     spark = docs.sparkSession
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -239,7 +252,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -
     counts = common.staged(sample.mapInArrow(_word_counts, "word string, fold int, toxic long, docs long").groupBy("word", "fold").agg(F.sum("toxic").alias("toxic"), F.sum("docs").alias("docs")), "toxicity-words", path + "-words")
     total = counts.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("docs").alias("docs"))
     first = counts.where("fold = 0")
-    half = _terms(first)
+    rate = sample.agg(F.coalesce(F.avg("toxic"), F.lit(0.0))).first()[0]
+    half = _terms(first, rate)
     trial = Matcher(half, _harmless(first, half))
 
     def inputs(batches):
@@ -248,8 +262,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in (zip(*got, strict=True) if got else [[]] * (FEATURES + 1))], names=["y", *(f"x{i}" for i in range(FEATURES))])
 
     got = sample.where("fold = 1").mapInArrow(inputs, "y double, " + ", ".join(f"x{i} double" for i in range(FEATURES))).toPandas().sort_values(["y", *(f"x{i}" for i in range(FEATURES))]).to_numpy()
-    weights = regress(got[:, 1:], got[:, 0]) if len(set(got[:, 0])) == 2 else np.array([-3.0, 2.0, 0.5, 1.0, 0.5, 0.0, 0.0])
-    terms = _terms(total)
+    weights = regress(got[:, 1:], got[:, 0], np.array(PRESET))
+    terms = _terms(total, rate)
     model = Model(terms, _harmless(total, terms), [float(w) for w in weights])
     common.drop_staged(spark, path)
     common.drop_staged(spark, path + "-words")

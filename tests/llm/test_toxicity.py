@@ -86,7 +86,7 @@ def test_no_labels(spark):
 
 def test_regression_separates():
     x = np.array([[1.0, v] for v in (-2, -1, 1, 2)])
-    w = T.regress(x, np.array([0.0, 0, 1, 1]))
+    w = T.regress(x, np.array([0.0, 0, 1, 1]), np.zeros(2))
     assert w[1] > 0
 
 
