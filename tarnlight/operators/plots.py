@@ -57,3 +57,19 @@ def plot_table(points: DataFrame, nodes: DataFrame, clusters: DataFrame) -> Data
     at = points.join(nodes, "id").join(clusters, "id")
     shade = colours(clusters, "cluster").withColumnRenamed("label", "_label")
     return at.join(shade, F.col("cluster").cast("string") == F.col("_label")).drop("_label")
+
+
+def sorted_labels(labels: DataFrame, column: str) -> DataFrame:
+    """(label, k): distinct labels as text, numbered in ascending order; labels are few, as a legend's are."""
+    from pyspark.sql import Window as W
+
+    return labels.select(F.col(column).cast("string").alias("label")).distinct().withColumn("k", F.row_number().over(W.orderBy("label")))
+
+
+def eq_prefixes(series: DataFrame) -> DataFrame:
+    """(frame, step, eq): for each frame of a series (step, eq) all steps up to it, as the animation draws them.
+
+    The output is half the square of the number of frames, which the schedule bounds at 401.
+    """
+    frames = series.select(F.col("step").alias("frame"))
+    return frames.join(series, F.col("step") <= F.col("frame")).select("frame", "step", "eq")

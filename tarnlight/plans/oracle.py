@@ -86,6 +86,9 @@ SQL = {
     "weighted_draw": "with w as (select l_suppkey as id, count(*) as n from lineitem group by 1), c as (select id, sum(n) over (order by id) as hi, n from w), t as (select sum(n) as t from w), u as (select o_orderkey as draw, (o_orderkey * 7919 % 100003) / 100003.0 + 1e-6 as u from orders) select draw, id from u, t, c where u * t < hi and u * t >= hi - n",
     "sce_step": f"with {_POINTS}, f as (select a.id as k, b.id as l, 1 / (1 + (a.x - b.x) ** 2 + (a.y - b.y) ** 2) as q, a.x - b.x as dx, a.y - b.y as dy, a.id % 3 <> 0 as repel from pts a join pts b on b.id = a.id + 1), g as (select *, 0.7 * case when repel then 2.0 / (0.5 * 5) * q * q else -2.0 * q end as g from f), m as (select id, sum(gx) as gx, sum(gy) as gy from (select k as id, g * dx as gx, g * dy as gy from g union all select l, -g * dx, -g * dy from g) group by id) select id, round(x + coalesce(gx, 0), 6) as x, round(y + coalesce(gy, 0), 6) as y from pts left join m using (id)",
     "eq_update": "with recursive s as (select row_number() over (order by label) as t, sum(1 / (1 + cast(embedding[1] as double) ** 2)) as s, count(*) as n from embeddings group by label), n as (select cast(count(*) * (count(*) - 1) as double) as pairs from embeddings), r(t, eq) as (select 0::bigint, 1::double union all select r.t + 1, (eq * pairs + s.s) / (pairs + s.n) from r join s on s.t = r.t + 1, n) select round(arg_max(eq, t), 9) as eq from r",
+    "step_collisions": "with e as (select unnest([vec_id, vec_id + 1]) as id from embeddings), n as (select id, count(*) as n from e group by id) select cast(sum(n) as bigint) as touched, cast(sum(n - 1) as bigint) as collisions from n",
+    "eq_prefix": "with s as (select label as step, round(avg(cast(embedding[1] as double)), 6) as eq from embeddings group by label) select f.step as frame, s.step, s.eq from s f join s on s.step <= f.step",
+    "sorted_labels": "select label, cast(row_number() over (order by label) as integer) as k from (select distinct event_type as label from events)",
     "eta_schedule": "select step, round(greatest(1 - step / 1000.0, 1e-4)::double, 9) as eta, case when step < 100 then 8 else 2 end as attraction, round(2.0 / (1.0 / (step + 1) * 5)::double, 9)::double as repulsion from range(1000) r(step)",
     "frame_schedule": "select frame, cast(round(100000 * (1 - sqrt(1 - frame / 400.0)), 0) as bigint) as step from range(399) r(frame)",
     "scale_centre": f"with {_POINTS}, s as (select avg(x) as ax, avg(y) as ay, (max(x) - min(x)) / 2 as hx, (max(y) - min(y)) / 2 as hy from pts) select id, round((x - ax) / hx, 6) as x, round((y - ay) / hy, 6) as y from pts, s",

@@ -144,8 +144,7 @@ def weighted_draw(spark, sf):
 
 def sce_step(spark, sf):
     p = _points(spark, sf)
-    pairs = p.select(F.col("id").alias("k"), (F.col("id") + 1).alias("l"), (F.col("id") % 3 != 0).alias("repel"))
-    return layout.moved(p, layout.forces(p, pairs, 0.5, 0.7, 2.0, 5)).select("id", *_r("x", "y"))
+    return layout.moved(p, layout.forces(p, _pairs(spark, sf), 0.5, 0.7, 2.0, 5)).select("id", *_r("x", "y"))
 
 
 def eq_update(spark, sf):
@@ -157,6 +156,25 @@ def eq_update(spark, sf):
     return step.join(F.broadcast(n)).groupBy().agg(F.round(fold, 9).alias("eq"))  # one row is broadcast
 
 
+def _pairs(spark, sf):
+    p = _points(spark, sf)
+    return p.select(F.col("id").alias("k"), (F.col("id") + 1).alias("l"), (F.col("id") % 3 != 0).alias("repel"))
+
+
+def step_collisions(spark, sf):
+    return layout.collisions(_pairs(spark, sf))
+
+
+def eq_prefix(spark, sf):
+    """Each label's mean first component as a step's value, in all frames from that step on."""
+    s = _table(spark, sf, "embeddings").groupBy(F.col("label").alias("step")).agg(F.round(F.avg(F.element_at("embedding", 1).cast("double")), 6).alias("eq"))
+    return plots.eq_prefixes(s)
+
+
+def sorted_labels(spark, sf):
+    return plots.sorted_labels(_table(spark, sf, "events"), "event_type")
+
+
 def eta_schedule(spark, sf):
     steps = 1000
     at = spark.range(steps).select(F.col("id").alias("step"))
@@ -284,8 +302,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES = (
     iupac_encode, snp_distance, snp_knn_ties, snp_threshold, jaccard_distance, jaccard_knn, jaccard_threshold, vector_knn, perplexity_p, edge_normalise, raw_similarity,
-    labels_join, weights_join, weights_mismatch, name_symdiff, cdf_table, weighted_draw, sce_step, eq_update, eta_schedule, frame_schedule, scale_centre, zscore_frame, frame_delta, freq_map,
-    core_distance, mutual_reachability, mst_weight, hexbin, class_sizes, top_classes, point_size, n_clusters, colour_map, triangle_wave, adsr, synth, pcm_scale, dot_lines, cluster_csv,
+    labels_join, weights_join, weights_mismatch, name_symdiff, cdf_table, weighted_draw, sce_step, step_collisions, eq_update, eq_prefix, eta_schedule, frame_schedule, scale_centre, zscore_frame, frame_delta, freq_map,
+    core_distance, mutual_reachability, mst_weight, hexbin, sorted_labels, class_sizes, top_classes, point_size, n_clusters, colour_map, triangle_wave, adsr, synth, pcm_scale, dot_lines, cluster_csv,
     minhash_jaccard, core_accessory, sketch_kmers, embed_and_cluster,
 )
 
