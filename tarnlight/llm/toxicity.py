@@ -224,14 +224,25 @@ def _harmless(counts: DataFrame, terms: dict[str, float]) -> set[str]:
 
 
 def regress(x: np.ndarray, y: np.ndarray, preset: np.ndarray, ridge: float = 0.3) -> np.ndarray:
-    """Logistic regression by Newton's method, with a ridge towards the preset weights (a weak one for the first input)."""
-    w = preset.astype(float)
+    """Logistic regression with a ridge towards the preset weights (a weak one for the first input).
+
+    Newton's method on a convex loss; a step is halved until the loss falls, so it can't run away.
+    """
     penalty = ridge * np.eye(x.shape[1])
     penalty[0, 0] = 0.05 * ridge
-    for _ in range(30):
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + (w - preset) @ penalty @ (w - preset) / 2)
+
+    w = preset.astype(float)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ (w - preset))
-        w += step
+        now = loss(w)
+        while loss(w + step) > now and np.abs(step).max() > 1e-9:
+            step = step / 2
+        w = w + step
         if np.abs(step).max() < 1e-6:
             break
     return w

@@ -88,6 +88,15 @@ def test_regression_separates():
     x = np.array([[1.0, v] for v in (-2, -1, 1, 2)])
     w = T.regress(x, np.array([0.0, 0, 1, 1]), np.zeros(2))
     assert w[1] > 0
+    # many rows that plain Newton steps overshoot on
+    r = np.random.default_rng(0)
+    n = 20_000
+    toxic = r.random(n) < 0.1
+    hits = np.where(toxic, r.poisson(6, n), 0).astype(float)
+    x = np.column_stack([np.ones(n), np.log1p(hits), (hits > 0) * 4.0, np.log1p(hits), np.zeros(n), np.zeros(n), hits / 30])
+    w = T.regress(x, toxic.astype(float), np.array(T.PRESET))
+    p = 1 / (1 + np.exp(-(x @ w)))
+    assert np.abs(p.mean() - toxic.mean()) < 0.005 and (p[hits > 0] > 0.7).all() and (p[hits == 0] < 0.05).all()
 
 
 def test_held_out_quality(spark):
