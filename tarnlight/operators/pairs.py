@@ -50,7 +50,11 @@ def distances(rows: DataFrame, kernel: Callable, keep: Callable, block: int = BL
     rows: (id, v); kernel(a, b): distances of the payloads of two blocks, each a uint8 array (rows x width);
     keep(i, j, d): boolean matrix of what to emit for ids i and j and their distances d.
     """
-    blocks = packed(rows, block)
+    return between(packed(rows, block), kernel, keep)
+
+
+def between(blocks: DataFrame, kernel: Callable, keep: Callable) -> DataFrame:
+    """``distances`` over blocks that ``packed`` has made."""
     number = [r[0] for r in blocks.select("b").collect()]  # one number a block
     left = blocks.select(F.col("ids").alias("ids_i"), F.col("data").alias("data_i"), F.explode(F.array(*[F.lit(b) for b in number]) if number else F.expr("cast(array() as array<bigint>)")).alias("b"))
     both = left.join(blocks, "b").select("ids_i", "data_i", "ids", "data")
