@@ -5,7 +5,7 @@ is one table key, so GROUPS * (GROUPS - 1) / 2 tables of 2 * PER_GROUP minhashes
 Two sets of similarity 0.8 agree on a collection with probability 0.64 and miss all tables with 4e-5.
 
 Equal sets are one class from the start.  Pairs that share a key with nobody else, and each class of a larger bucket
-with two others of its buckets, are compared first and the links found joined to components.  What is left, classes
+with a few others of its buckets, are compared first and the links found joined to components.  What is left, classes
 that share a key but lie in different components, is compared in blocks within tasks.  A bitmap of each set bounds
 the intersection from above, and pairs that pass this bound are compared on their full sets.
 """
@@ -22,6 +22,8 @@ from . import common
 GROUPS, PER_GROUP = 13, 2
 #: Link at 100 * intersection >= PERCENT * union.
 PERCENT = 80
+#: Orders of a bucket's ids, each by the exclusive or with a number: a class is first compared with the ends of each.
+ORDERS = (0, 0x5555555555555555)
 #: Members of one block of a table's bucket; a larger bucket is compared block by block.
 BLOCK = 2_048
 #: Pairs with the same first document that one task verifies; more are dealt over several keys.
@@ -88,9 +90,9 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
 
 
 def table_keys(classes: DataFrame) -> DataFrame:
-    """(key, id) of every pair of collections of every class."""
-    pairs = F.array(*[F.xxhash64(F.lit(i * GROUPS + j), F.col("groups")[i], F.col("groups")[j]) for i in range(GROUPS) for j in range(i)])
-    return classes.select("id", F.explode(pairs).alias("key"))
+    """(key, id, t) of every pair of collections of every class; t numbers the table."""
+    pairs = F.array(*[F.struct(F.xxhash64(F.lit(i * GROUPS + j), F.col("groups")[i], F.col("groups")[j]).alias("key"), F.lit(i * GROUPS + j).alias("t")) for i in range(GROUPS) for j in range(i)])
+    return classes.select("id", F.explode(pairs).alias("k")).select("k.key", "id", "k.t")
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -178,27 +180,28 @@ def verified(pairs: DataFrame, docs: DataFrame, heads: DataFrame, n: int, percen
 
 
 def _block_survivors(percent: int, most: int | None):
-    """Sorted rows (key, x, y, ask, wanted, id, component, n, bitmap) -> pairs that the bitmaps don't rule out.
+    """Sorted rows (key, x, y, t, ask, wanted, id, component, n, bitmap, groups) -> pairs that the bitmaps don't rule out.
 
     A block is one (key, x, y): its ``ask`` rows are compared with the others that lie in other components, two wanted
-    rows once.  ``most``: of the partners of a row in one component, so many of the largest bound.
+    rows once.  A pair that shares several tables is given by the first of them only.  ``most``: of the partners of a
+    row in one component, so many of the largest bound.
     """
 
     def pairs(block):
         told: dict[int, list] = {}
-        for ask, wanted, i, comp, n, m in block:
+        for _, ask, wanted, i, comp, n, m, g in block:
             if not ask:
-                told.setdefault(len(m) // 8, []).append((n, i, comp, wanted, m))
-        packed = {k: (*(np.array([r[c] for r in v]) for c in range(4)), np.frombuffer(b"".join(r[4] for r in v), dtype=np.uint64).reshape(len(v), k)) for k, v in told.items()}
+                told.setdefault(len(m) // 8, []).append((n, i, comp, wanted, g, m))
+        packed = {k: (*(np.array([r[c] for r in v]) for c in range(5)), np.frombuffer(b"".join(r[5] for r in v), dtype=np.uint64).reshape(len(v), k)) for k, v in told.items()}
         narrow: dict[int, np.ndarray] = {}
-        for ask, _, i, comp, n, m in block:
+        for t, ask, _, i, comp, n, m, g in block:
             if not ask:
                 continue
-            w = np.frombuffer(m, dtype=np.uint64)
+            w, g = np.frombuffer(m, dtype=np.uint64), np.array(g)
             for k in (len(w) // 2, len(w), 2 * len(w)):  # other sizes of bitmap mean sizes too far apart
                 if k not in packed:
                     continue
-                ns, ids, comps, wanted, maps = packed[k]
+                ns, ids, comps, wanted, groups, maps = packed[k]
                 at = np.flatnonzero((comps != comp) & (100 * np.minimum(ns, n) >= percent * np.maximum(ns, n)) & (~wanted | (ids > i)))
                 if not len(at):
                     continue
@@ -208,6 +211,14 @@ def _block_survivors(percent: int, most: int | None):
                     maps = narrow[k]
                 b = bound(ns[at], maps[at], n, folded(w, k), percent)
                 at, b = at[b >= 0], b[b >= 0]
+                if not len(at):
+                    continue
+                # the first two collections in common make the pair's first table
+                agree = groups[at] == g
+                low = agree.argmax(axis=1)
+                agree[np.arange(len(at)), low] = False
+                mine = agree.argmax(axis=1) * GROUPS + low == t
+                at, b = at[mine], b[mine]
                 if most is not None and len(at):
                     at = at[np.lexsort((ids[at], -b))]
                     kept: dict[int, int] = {}
@@ -224,7 +235,7 @@ def _block_survivors(percent: int, most: int | None):
     def run(batches):
         key, block, seen = None, [], set()
         for batch in batches:
-            for k, x, y, *row in common.rows(batch, "key", "x", "y", "ask", "wanted", "id", "component", "n", "bitmap"):
+            for k, x, y, *row in common.rows(batch, "key", "x", "y", "t", "ask", "wanted", "id", "component", "n", "bitmap", "groups"):
                 if (k, x, y) != key:
                     seen.update(pairs(block))
                     key, block = (k, x, y), []
@@ -268,12 +279,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = PERCENT) -> Data
     shared = keys.groupBy("key").agg(F.count("*").alias("rows"), F.min("id").alias("p"), F.max("id").alias("q")).where("p <> q")
     shared = common.staged(shared, "near-shared", path + "-shared")
     twos = shared.where("rows = 2").select(F.col("p").alias("a"), F.col("q").alias("b")).distinct()
-    large = shared.where("rows > 2")
+    large = shared.where("rows > 2").select("key", "rows")
     bucket = common.staged(keys.join(large, "key"), "near-bucket", path + "-bucket")
-    # each class of a larger bucket against two others of its buckets
-    mine = bucket.groupBy("id").agg(F.min("p").alias("p"), F.max("q").alias("q"))
-    pivots = mine.select(F.explode(F.array("p", "q")).alias("a"), F.col("id").alias("b")).where("a <> b").unionByName(twos)
-    maps = of.select("id", "n", "bitmap")
+    # each class of a larger bucket against the first and last of its buckets in a few orders
+    turned = [F.col("id").bitwiseXOR(F.lit(x)) for x in ORDERS]
+    ends = bucket.groupBy("key").agg(*[f(t).alias(f"{n}{k}") for k, t in enumerate(turned) for n, f in (("lo", F.min), ("hi", F.max))])
+    mine = bucket.select("key", "id").join(ends, "key").groupBy("id").agg(*[f(f"{n}{k}").alias(f"{n}{k}") for k in range(len(ORDERS)) for n, f in (("lo", F.min), ("hi", F.max))])
+    others = F.array(*[F.col(f"{n}{k}").bitwiseXOR(F.lit(x)) for k, x in enumerate(ORDERS) for n in ("lo", "hi")])
+    pivots = mine.select(F.explode(F.array_distinct(others)).alias("a"), F.col("id").alias("b")).where("a <> b").unionByName(twos)
+    maps = of.select("id", "n", "bitmap", "groups")
     links = verified(bounded(_once(pivots), maps, percent), docs, heads, n, percent, path + "-links0")
     # what shares a key but not a component: first the likeliest partners only, then all that are left
     for step, most in ((1, 1), (2, None)):
@@ -294,7 +308,7 @@ def _candidates(bucket: DataFrame, comp: DataFrame, maps: DataFrame, percent: in
     """Pairs of classes that share a key, lie in different components and may be linked by their bitmaps."""
     sizes = comp.groupBy("component").agg(F.count("*").alias("members"))
     comp = comp.join(sizes, "component")
-    row = bucket.select("key", "id", "rows").join(comp, "id", "left").select("key", "id", "rows", F.coalesce("component", "id").alias("component"), F.coalesce("members", F.lit(1)).alias("members"))
+    row = bucket.select("key", "t", "id", "rows").join(comp, "id", "left").select("key", "t", "id", "rows", F.coalesce("component", "id").alias("component"), F.coalesce("members", F.lit(1)).alias("members"))
     # the largest component of a bucket is compared with by the others, not within itself
     per = row.groupBy("key").agg(F.max(F.struct("members", "component")).alias("main"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     mixed = per.where("lo <> hi").select("key", F.col("main.component").alias("main"))
@@ -303,10 +317,10 @@ def _candidates(bucket: DataFrame, comp: DataFrame, maps: DataFrame, percent: in
     own = F.pmod(F.xxhash64("id", F.lit(3)), blocks)
     every = F.sequence(F.lit(0).cast("long"), blocks - 1)
     # a grid of blocks: the wanted rows of block x meet all rows of block y
-    asks = row.where("wanted").select("key", own.alias("x"), F.explode(every).alias("y"), F.lit(True).alias("ask"), "wanted", "id", "component")
-    told = row.select("key", F.explode(every).alias("x"), own.alias("y"), F.lit(False).alias("ask"), "wanted", "id", "component")
+    asks = row.where("wanted").select("key", "t", own.alias("x"), F.explode(every).alias("y"), F.lit(True).alias("ask"), "wanted", "id", "component")
+    told = row.select("key", "t", F.explode(every).alias("x"), own.alias("y"), F.lit(False).alias("ask"), "wanted", "id", "component")
     dealt = asks.unionByName(told).join(maps, "id").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    found = dealt.select("key", "x", "y", "ask", "wanted", "id", "component", "n", "bitmap").mapInArrow(_block_survivors(percent, most), "a long, b long")
+    found = dealt.select("key", "x", "y", "t", "ask", "wanted", "id", "component", "n", "bitmap", "groups").mapInArrow(_block_survivors(percent, most), "a long, b long")
     return found.distinct()
 
 
