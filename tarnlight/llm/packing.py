@@ -1,9 +1,11 @@
 """Lexical retrieval packing: BM25 neighbours of a seed document fill its window.
 
 Every document is tokenised once into a table in the shared folder.  Whole windows of a long document stand alone;
-what is left of each document is packed: documents are dealt into shards of bounded size, each shard has an
-inverted index over token ids with BM25 weights from corpus-wide statistics, and a seed's window is filled with
-its best unused neighbours, the last of which is cut where the window ends and seeds the next window.
+what is left of each document is packed.  The rests are dealt into blocks of bounded size, each with an inverted
+index over token ids with BM25 weights from corpus-wide statistics.  In rounds, a batch of seeds is scored against the
+unused rests of every block, and the best of all blocks are merged, so a seed's neighbours are those of the whole corpus.
+Its window is filled with the best that are still unused, the last of which is cut where the window ends; what is left
+of it is among the first seeds of the next round, and a neighbour to others until then.
 """
 
 from __future__ import annotations
@@ -19,8 +21,10 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 1024
-#: Documents' rests in a shard on average; a shard's index and token table stay within a few MB.
-SHARD_ROWS = 1_000
+#: Documents' rests in a block on average; a block's index stays within some MB.
+SHARD_ROWS = 4_000
+#: Seeds of a round at most, and the windows that the neighbours of each must fill (others take some of them).
+SEEDS, RESERVE = 8_192, 4
 #: BM25's saturation and length weights.
 K1, B = 1.2, 0.75
 #: The token that ends every document, and the tokenizer file.
@@ -162,12 +166,159 @@ def fill(rests: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WI
         sequence += 1
 
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECES = "number long, begin long, length long, sequence_id long, offset long"
 PIECE_SCHEMA = pa.schema([(x.split()[0], pa.int64()) for x in PIECES.split(", ")])
+BEST = "seed long, scores binary, numbers binary, lengths binary"
+BEST_SCHEMA = pa.schema([("seed", pa.int64()), ("scores", pa.binary()), ("numbers", pa.binary()), ("lengths", pa.binary())])
+
+
+def _postings(rests: list[np.ndarray], idf: np.ndarray, mean: float) -> list[bytes]:
+    """Bytes of a block's index: tokens, postings of each token, rests and weights of the postings, lengths of the rests."""
+    index = Index(rests, idf, mean)
+    count = np.diff(index.begin)
+    tokens = np.flatnonzero(count)
+    return [tokens.astype("<i4").tobytes(), count[tokens].astype("<i4").tobytes(), index.docs.astype("<i4").tobytes(), index.weights.astype("<f8").tobytes(), np.array([len(r) for r in rests], dtype="<i4").tobytes()]
+
+
+def _best(seed: int, scores: np.ndarray, numbers: np.ndarray, lengths: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best rests, best first, as far as they hold ``need`` tokens; equal scores in an order of the seed's own."""
+    few = 64
+    while few < len(scores):
+        # all that reach the few-th score, if these hold enough
+        floor = np.partition(scores, len(scores) - few)[len(scores) - few]
+        at = np.flatnonzero(scores >= floor)
+        if lengths[at].sum() >= need:
+            scores, numbers, lengths = scores[at], numbers[at], lengths[at]
+            break
+        few *= 4
+    order = np.lexsort((common.mix(numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)), -scores))
+    order = order[: int(np.searchsorted(np.cumsum(lengths[order]), need)) + 1]
+    return scores[order], numbers[order], lengths[order]
+
+
+def _neighbours(index: DataFrame, seeds: dict[int, np.ndarray], used: np.ndarray, placed: dict[int, int], tokens: int, need: int) -> DataFrame:
+    """(seed, scores, numbers, lengths): the best unused rests of the whole corpus for each seed (number, distinct tokens).
+
+    placed: of rests that were cut, the tokens that are placed already.
+    """
+    spark = index.sparkSession
+    sent = spark.sparkContext.broadcast((seeds, np.packbits(used), len(used), np.array(sorted(placed.items()), dtype=np.int64).reshape(-1, 2), tokens))
+
+    def run(batches):
+        seeds, bits, n, placed, tokens = sent.value
+        used = np.unpackbits(bits, count=n).astype(bool)
+        kept = {}
+        for b in batches:
+            for first, *parts in common.rows(b, "first", "tokens", "counts", "docs", "weights", "lengths"):
+                token, count, docs, weights, lengths = (np.frombuffer(x, dtype=t) for x, t in zip(parts, ("<i4", "<i4", "<i4", "<f8", "<i4"), strict=True))
+                free = np.flatnonzero(~used[first : first + len(lengths)])
+                place = np.full(len(lengths), -1)
+                place[free] = np.arange(len(free))
+                good = place[docs] >= 0
+                token = np.repeat(token, count)[good]
+                docs, weights = place[docs[good]], weights[good]
+                begin = np.concatenate([[0], np.cumsum(np.bincount(token, minlength=tokens))])
+                lo, hi = np.searchsorted(placed[:, 0], [first, first + len(lengths)])
+                lengths = lengths.astype(np.int64)
+                lengths[placed[lo:hi, 0] - first] -= placed[lo:hi, 1]
+                numbers, lengths = first + free, lengths[free]
+                for seed, terms in seeds.items():
+                    lo = begin[terms]
+                    size = begin[terms + 1] - lo
+                    at = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
+                    scores = np.bincount(docs[at], weights=weights[at], minlength=len(free))
+                    if first <= seed < first + len(place) and place[seed - first] >= 0:
+                        scores[place[seed - first]] = -1.0  # not its own neighbour
+                    old = kept.get(seed)
+                    floor = old[0][-1] if old and old[2].sum() >= need else 0.0
+                    good = np.flatnonzero(scores >= floor)
+                    if len(good):
+                        found = scores[good], numbers[good], lengths[good]
+                        kept[seed] = _best(seed, *(found if old is None else (np.concatenate(x) for x in zip(old, found, strict=True))), need)
+        yield from packed(kept.items())
+
+    def packed(items):
+        rows = [(seed, s.astype("<f8").tobytes(), k.astype("<i8").tobytes(), n.astype("<i8").tobytes()) for seed, (s, k, n) in items]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), BEST_SCHEMA.types, strict=True)], schema=BEST_SCHEMA)
+
+    def merge(batches):
+        held, last = [], None
+
+        def done():
+            return last, _best(last, *(np.concatenate(x) for x in zip(*held, strict=True)), need)
+
+        for b in batches:
+            out = []
+            for seed, *parts in common.rows(b, "seed", "scores", "numbers", "lengths"):
+                if held and seed != last:
+                    out.append(done())
+                    held = []
+                last = seed
+                held.append([np.frombuffer(x, dtype=t) for x, t in zip(parts, ("<f8", "<i8", "<i8"), strict=True)])
+            yield from packed(out)
+        if held:
+            yield from packed([done()])
+
+    tasks = max(1, spark.sparkContext.defaultParallelism)
+    found = index.coalesce(tasks).mapInArrow(run, BEST)
+    return found.repartition(tasks, "seed").sortWithinPartitions("seed").mapInArrow(merge, BEST)
+
+
+def _rounds(numbered: DataFrame, index: DataFrame, n: int, tokens: int, window: int) -> DataFrame:
+    """PIECES of n numbered rests.  The driver keeps a byte for each rest and what a round needs."""
+    spark = numbered.sparkSession
+    path = common.staged_path(spark, "packing-pieces")
+    used = np.zeros(n, dtype=bool)
+    placed: dict[int, int] = {}  # of rests that were cut, the tokens already placed
+    waiting: list[int] = []  # seeds from earlier rounds
+    sequence = turn = 0
+    while not used.all():
+        free = np.flatnonzero(~used)
+        most = max(min(SEEDS, len(free) // 8), SEEDS // 8)
+        late = set(waiting)
+        batch = waiting[:most]
+        batch += [k for k in free[: most + len(late)].tolist() if k not in late][: most - len(batch)]
+        need = window * min(64, max(RESERVE, RESERVE * SEEDS // 2 // len(free)))
+        asked = spark.createDataFrame(pa.table({"number": pa.array(batch, pa.int64())}))
+        rests = {k: np.frombuffer(r, dtype="<u4") for k, r in numbered.join(F.broadcast(asked), "number", "left_semi").select("number", "rest").collect()}  # at most SEEDS
+        found = _neighbours(index, {k: np.unique(r).astype(np.int64) for k, r in rests.items()}, used, placed, tokens, need)
+        best = {r[0]: (np.frombuffer(r[1], dtype="<i8"), np.frombuffer(r[2], dtype="<i8")) for r in found.select("seed", "numbers", "lengths").collect()}
+        before, out, cut, again = dict(placed), [], [], []
+        for seed in batch:
+            if used[seed]:
+                continue
+            numbers, lengths = best.get(seed, (np.zeros(0, dtype=np.int64),) * 2)
+            chosen, room = [], window
+            for k, size in [(seed, len(rests[seed]) - before.get(seed, 0)), *zip(numbers.tolist(), lengths.tolist(), strict=True)]:
+                if not room:
+                    break
+                if not used[k]:
+                    left = size - placed.get(k, 0) + before.get(k, 0)
+                    chosen.append((k, min(left, room), left))
+                    room -= min(left, room)
+            if room and lengths.sum() >= need:
+                again.append(seed)  # others took its neighbours; it gets more of them in the next round
+                continue
+            offset = 0
+            for k, size, left in chosen:
+                out.append((k, placed.get(k, 0), size, sequence, offset))
+                offset += size
+                if size < left:
+                    placed[k] = placed.get(k, 0) + size
+                    cut.append(k)
+                else:
+                    used[k] = True
+                    placed.pop(k, None)
+            sequence += 1
+        waiting = [k for k in dict.fromkeys(cut + again + waiting[most:]) if not used[k]]
+        spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=PIECE_SCHEMA)).coalesce(1).write.parquet(f"{path}/turn={turn}")
+        turn += 1
+    return spark.read.schema(PIECES).parquet(*[f"{path}/turn={k}" for k in range(turn)]) if turn else spark.createDataFrame([], PIECES)
 
 
 def pack(docs: DataFrame, window: int = WINDOW, shard_rows: int = SHARD_ROWS, path: str | None = None) -> DataFrame:
-    """Pieces of all documents (doc_id, text; other columns are not read), one row each (PIECES).
+    """Pieces of all documents (doc_id, text; other columns are not read), one row each.
 
     Null and empty texts are the end token alone.  Repeated rows and null ids are packed like any other.
     """
@@ -180,33 +331,47 @@ def pack(docs: DataFrame, window: int = WINDOW, shard_rows: int = SHARD_ROWS, pa
     df = np.zeros(int(seen.token.max()) + 1 if len(seen) else 1)
     df[seen.token.to_numpy(dtype=int)] = seen.n.to_numpy()
     idf = np.maximum(0.0, np.log((n - df + 0.5) / (df + 0.5)))
-    shards = max(1, math.ceil(n / shard_rows))
+    blocks = max(1, math.ceil(n / shard_rows))
     sent = spark.sparkContext.broadcast((idf, mean))  # bounded by the vocabulary
+    names = ["doc_id", "doc_tokens", "rest_start", "rest", "block"]
+    parts = ["tokens", "counts", "docs", "weights", "lengths"]
 
-    def run(batches):
+    def invert(batches):
         idf, mean = sent.value
-        held, shard = [], None
+        held, block = [], None
 
         def done():
-            held.sort(key=lambda r: (r[1], r[0] is None, r[0] or 0))
-            got = [np.frombuffer(r[4], dtype="<u4") for r in held]
-            out = [(held[k][0], held[k][3] + start, size, zlib.crc32(got[k][start : start + size].tobytes()), held[k][2], shard << 31 | seq, offset) for k, start, size, seq, offset in fill(got, idf, mean, window)]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=PIECE_SCHEMA)
+            index = _postings([np.frombuffer(r[3], dtype="<u4") for r in held], idf, mean)
+            rows = [(k, *r, *[None] * len(parts)) for k, r in enumerate(held)] + [(-1, None, None, None, None, block, *index)]
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), *[pa.binary()] * len(parts)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["k", *names, *parts])
 
         for b in batches:
-            for row in common.rows(b, "doc_id", "row", "doc_tokens", "rest_start", "rest", "shard"):
-                if held and row[5] != shard:
+            for row in common.rows(b, *names):
+                if held and row[4] != block:
                     yield done()
                     held = []
-                shard = row[5]
+                block = row[4]
                 held.append(row)
         if held:
             yield done()
 
-    # a shard is dealt by the hash of the row and a salt of its own, so repeated rows spread over all shards
-    dealt = rests.withColumn("shard", F.pmod(F.xxhash64("doc_id", "row", F.monotonically_increasing_id()), F.lit(shards)))
-    tails = dealt.repartition(max(1, min(shards, 1 << 16)), "shard").sortWithinPartitions("shard").select("doc_id", "row", "doc_tokens", "rest_start", "rest", "shard").mapInArrow(run, PIECES)
-    # sequences of whole windows are numbered from 2^62, above those of the shards
+    # a block is dealt by the hash of the row and a salt of its own, so repeated rows spread over all blocks
+    dealt = rests.withColumn("block", F.pmod(F.xxhash64("doc_id", "row", F.monotonically_increasing_id()), F.lit(blocks)))
+    dealt = dealt.repartition(max(1, min(blocks, 1 << 16)), "block").sortWithinPartitions("block", "row", "doc_id").select(*names)
+    # the rests of a block, numbered from 0, and its index in a row of its own
+    made = common.staged(dealt.mapInArrow(invert, f"k long, doc_id long, doc_tokens long, rest_start long, rest binary, block long, {', '.join(f'{x} binary' for x in parts)}"), "packing-index")
+    first, at = [], 0
+    for block, rows in sorted(map(tuple, made.where("k >= 0").groupBy("block").count().collect())):  # a row for each block
+        first.append((block, at))
+        at += rows
+    begins = F.broadcast(spark.createDataFrame(first, "block long, first long"))
+    numbered = made.where("k >= 0").join(begins, "block").select((F.col("first") + F.col("k")).alias("number"), "doc_id", "doc_tokens", "rest_start", "rest")
+    index = made.where("k < 0").join(begins, "block").select("first", *parts)
+    pieces = _rounds(numbered, index, n, len(idf), window)
+    crc = F.crc32(F.substring("rest", (F.col("begin") * 4 + 1).cast("int"), (F.col("length") * 4).cast("int")))
+    tails = pieces.join(numbered, "number").select("doc_id", (F.col("rest_start") + F.col("begin")).alias("start"), "length", crc.alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    # sequences of whole windows are numbered from 2^62, above those of the rests
     whole = table.where(F.size("crcs") > 0).select("doc_id", "doc_tokens", F.posexplode("crcs").alias("k", "ids_crc32"))
     whole = whole.withColumn("at", F.monotonically_increasing_id())
     full = whole.select("doc_id", (F.col("k").cast("long") * window).alias("start"), F.lit(window).cast("long").alias("length"), "ids_crc32", "doc_tokens", (F.col("at") + F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

@@ -79,6 +79,40 @@ def test_bm25_scores_match_the_formula():
         assert np.allclose(index.scores(k), want)
 
 
+def test_neighbours_come_from_the_whole_corpus(spark):
+    r = random.Random(3)
+    # 30 topics of 12 documents; a window holds about 4
+    words = [["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(40)] for _ in range(30)]
+    rows = [(100 * t + k, " ".join(r.choice(words[t]) for _ in range(90))) for t in range(30) for k in range(12)]
+    r.shuffle(rows)
+    pieces = [p.asDict() for p in P.pack(docs(spark, rows), shard_rows=20).collect()]
+    check(pieces, rows)
+    by = {}
+    for p in sorted(pieces, key=lambda p: (p["sequence_id"], p["offset"])):
+        by.setdefault(p["sequence_id"], []).append(p["doc_id"] // 100)
+    near = [t == mine[0] for mine in by.values() for t in mine[1:]]
+    assert sum(near) > 0.7 * len(near)
+    # the first window against BM25 by brute force over all rests
+    ids = dict(zip((d for d, _ in rows), reference_ids([x for _, x in rows]), strict=True))
+    df = {}
+    for x in ids.values():
+        for t in set(x.tolist()):
+            df[t] = df.get(t, 0) + 1
+    n, mean = len(ids), np.mean([len(x) for x in ids.values()])
+    least = min(p["sequence_id"] for p in pieces)
+    seed, *rest = [p["doc_id"] for p in sorted((p for p in pieces if p["sequence_id"] == least), key=lambda p: p["offset"])]
+
+    def score(d):
+        x, total = ids[d].tolist(), 0.0
+        for t in set(ids[seed].tolist()) & set(x):
+            c = x.count(t)
+            total += max(0.0, math.log((n - df[t] + 0.5) / (df[t] + 0.5))) * c * (P.K1 + 1) / (c + P.K1 * (1 - P.B + P.B * len(x) / mean))
+        return total
+
+    want = sorted((d for d in ids if d != seed), key=lambda d: -score(d))[: len(rest)]
+    assert rest == want
+
+
 def test_neighbours_fill_the_window():
     a, b = np.array([1, 2, 3, 4]), np.array([11, 12, 13, 14])
     rests = [a, b, a[::-1], b[::-1], np.array([1, 2, 11])]
