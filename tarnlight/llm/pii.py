@@ -27,11 +27,13 @@ BASE = {
     "card": r"(?<![0-9])[0-9]++(?:[\x20-][0-9]++)*+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+# First names that a surname makes a candidate.
+FIRST = "James|Mary|Robert|Patricia|John|Jennifer|Michael|Linda|David|Elizabeth|William|Barbara|Richard|Susan|Joseph|Jessica|Thomas|Sarah|Charles|Karen|Hans|Klaus|Pierre|Marie|Jean|José|María|Carlos"
 # Patterns of further candidates.
 LOOSE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[({<] ?(?:at|AT) ?[\])}>] ?[A-Za-z0-9-]++(?: ?[\[({<] ?(?:dot|DOT) ?[\])}>] ?[A-Za-z0-9-]++|\.[A-Za-z0-9-]++)++",
     "phone": r"(?<![0-9+(])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9])",
-    "name": r"(?<![A-Za-z])(?:(?:Mr|Mrs|Ms|Dr|Prof)\.? [A-Z][a-z]{1,20}|(?:James|Mary|Robert|Patricia|John|Jennifer|Michael|Linda|David|Elizabeth|William|Barbara|Richard|Susan|Joseph|Jessica|Thomas|Sarah|Charles|Karen|Hans|Klaus|Pierre|Marie|Jean|José|María|Carlos) [A-Z][a-z]{1,20})(?![A-Za-z])",
+    "name": rf"(?<!\p{{L}})(?:(?:Mr|Mrs|Ms|Dr|Prof)\.?|{FIRST}) \p{{Lu}}[\p{{L}}\p{{M}}]{{1,20}}(?![\p{{L}}\p{{M}}])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
 }
@@ -113,7 +115,7 @@ def _spans(kind: str, text: Column, pattern: str, needs: str = "") -> Column:
     elif kind == "email" and not needs:
         has = text.rlike(r"[\[({<] ?(?:at|AT) ?[\])}>]")
     elif kind == "name":
-        has = text.rlike("Mr|Ms|Dr|Prof|(?<![A-Za-z])[A-Z][a-zé]{2,9} [A-Z][a-z]")
+        has = text.rlike(f"(?:Mr|Ms|Mrs|Dr|Prof|{FIRST})[. ]")  # as every match begins
     return F.when(has, _matches(text, pattern)).otherwise(F.expr(NO_SPANS))
 
 
@@ -142,7 +144,7 @@ def _votes(text: Column, kind: str, s: Column, base: bool) -> Column:
         gaz = F.when(value.rlike(CALLING), yes).otherwise(none)
     elif kind == "name":
         strict = F.when(value.rlike(r"^(?:Mr|Mrs|Ms|Dr|Prof)"), yes).otherwise(none)
-        shape = F.when(value.rlike(r"[a-z]{3}$"), yes).otherwise(no)
+        shape = F.when(value.rlike(r"\p{Ll}{3}$"), yes).otherwise(no)
         gaz = F.when(value.rlike(r"^(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20"), none).otherwise(yes)
     elif kind == "ssn":
         strict = F.when(value.rlike("^(?:000|666|9)|-00-|-0000$"), no).otherwise(yes)

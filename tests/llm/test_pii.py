@@ -87,3 +87,14 @@ def test_query_columns(spark):
     got = P.op1_pii(spark, "/root/testdata/sf0.001").toPandas()
     text = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     assert all(h == hashlib.sha256(brute(text[d]).encode()).hexdigest() for d, h in zip(got.doc_id, got.base_sha256, strict=True))
+
+
+def test_gates_lose_no_match(spark):
+    texts = ["signed María Lopez, today", "Dr García", "Mrs. Muñoz and José Peña", "Prof. Łukasz", "Carlos Ruiz", "Drive On", "NoDr Who", "a [at] b [dot] c", "(212) 555-9999", "123-45-6789", "DE89 3704 0044 0532 0130 00", ""]
+    data = docs(spark, list(enumerate(texts)))
+    for kind, pattern in P.LOOSE.items():
+        for r in data.select("text", P._spans(kind, F.col("text"), pattern).alias("gated"), P._matches(F.col("text"), pattern).alias("all")).collect():
+            assert r["gated"] == r["all"], (kind, r["text"])
+    names = {r["text"]: [x["value"] for x in r["s"]] for r in data.select("text", P._spans("name", F.col("text"), P.LOOSE["name"]).alias("s")).collect()}
+    assert names["signed María Lopez, today"] == ["María Lopez"] and names["Dr García"] == ["Dr García"]
+    assert names["Mrs. Muñoz and José Peña"] == ["Mrs. Muñoz", "José Peña"] and names["NoDr Who"] == []
