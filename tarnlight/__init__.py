@@ -1,3 +1,11 @@
-"""Sample-embedding analytics on Spark DataFrames."""
+"""Sample-embedding analytics on Spark DataFrames.
+
+Functions that run inside tasks are pickled by value, so executors need no copy of this package on their path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
 
 __version__ = "0.1.0"
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
