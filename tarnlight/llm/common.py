@@ -2,62 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
 
-#: Characters taken as word separators by the word-based operators (space, tab to carriage return).
+from ..operators.storage import drop as drop_staged
+from ..operators.storage import new_path as staged_path
+from ..operators.storage import sent
+from ..operators.storage import stored as staged
+
+__all__ = ["drop_staged", "sent", "staged", "staged_path"]
 M64 = (1 << 64) - 1
 #: Words whose hashes a worker remembers at once; beyond it the memory is cleared and filled anew.
 WORD_CACHE = 400_000
-_folders: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """This application's own folder under ``spark.checkpoint.dir``; removed when the driver exits.
-
-    Only where that setting is absent (tests, notebooks) a folder of our own is chosen and set.
-    """
-    app = spark.sparkContext.applicationId
-    if app not in _folders:
-        sc = spark.sparkContext
-        root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-        if not root:
-            root = "file://" + tempfile.mkdtemp(prefix="tarnlight-")
-            sc.setCheckpointDir(root)
-        path = f"{root.rstrip('/')}/tarnlight-{app}"
-        _folders[app] = path
-        atexit.register(_remove, spark, path)
-    return _folders[app]
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    jsc = spark.sparkContext._jsc
-    if jsc is not None:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
-
-
-def drop_staged(spark: SparkSession, path: str) -> None:
-    """Delete a table that ``staged`` wrote, once nothing reads it any more."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def staged_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = path or staged_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -134,7 +134,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MI
     for k in range(blocks):
         mine = sized.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k) if blocks > 1 else sized
         rows = sorted(((i, t) for i, t in mine.toLocalIterator()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-        sent = spark.sparkContext.broadcast(Block([(i, w) for i, t in rows if len(w := tokens(t, cache)) >= n], n))
+        sent = common.sent(spark, Block([(i, w) for i, t in rows if len(w := tokens(t, cache)) >= n], n))
         if keep:
             kept = kept.mapInArrow(_scan(sent, min_coverage, True), kept.schema)
         else:
@@ -148,7 +148,7 @@ def _scan(sent, min_coverage: float, keep: bool):
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("covered", pa.int32()), ("item_words", pa.int32()), ("coverage", pa.float64()), ("tiles", tiles_type)])
 
     def run(batches):
-        block, cache, powers = sent.value, common.WordHashes(), Powers()
+        block, cache, powers = sent(), common.WordHashes(), Powers()
         for b in batches:
             out, clean = [], []
             texts = b.column(b.schema.get_field_index("text")).to_pylist()

@@ -218,12 +218,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     Null, empty and letterless texts are ``und`` with score 0 and no spans.  Rows with a null or repeated doc_id are
     labelled like any other.  ``score`` is the share of letters that the predicted language covers.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded: BUCKETS x MAX_LANGUAGES numbers at most
+    sent = common.sent(docs.sparkSession, model)  # bounded: BUCKETS x MAX_LANGUAGES numbers at most
     spans = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int64()), ("last", pa.int64())]))
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("spans", spans)])
 
     def run(batches):
-        scores = _Scores(sent.value)
+        scores = _Scores(sent())
         for held in _chunks(batches, "doc_id", "text"):
             texts = [(t or "").lower().split() for _, t in held]
             scores.learn(set().union(*texts))

@@ -1,45 +1,73 @@
 """Lexical retrieval packing: BM25 neighbours of a seed document fill its window.
 
 Every document is tokenised once into a table in the shared folder.  Whole windows of a long document stand alone;
-what is left of each document is packed.  The rests are dealt into blocks of bounded size, each with an inverted
-index over token ids with BM25 weights from corpus-wide statistics.  In rounds, a batch of seeds is scored against the
-unused rests of every block, and the best of all blocks are merged, so a seed's neighbours are those of the whole corpus.
-Its window is filled with the best that are still unused, the last of which is cut where the window ends; what is left
-of it is among the first seeds of the next round, and a neighbour to others until then.
+what is left of each document, its rest, is packed.  Rests are routed by content: a tree of centroids over projected BM25 weights
+puts rests with common terms next to each other, and the order is cut into shards of bounded size, however many
+rests are alike.  Each shard has an inverted index over its rests, with BM25 weights from statistics of the whole corpus.  A seed's
+window is filled with the best neighbours of its shard that are still unused, the last of which is cut where the window
+ends; what is left of it is the next seed.  A last window that isn't full goes to the next shard.
 """
 
 from __future__ import annotations
 
 import math
+import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 WINDOW = 1024
-#: Documents' rests in a block on average; a block's index stays within some MB.
-SHARD_ROWS = 4_000
-#: Seeds of a round at most, and the windows that the neighbours of each must fill (others take some of them).
-SEEDS, RESERVE = 8_192, 4
+#: Rests in a shard at most; an index of so many stays within some 100 MB.
+SHARD_ROWS = 2_048
+#: Dimensions of the projection, rests that the tree of centroids is fitted on, children of its nodes, leaves for each shard.
+DIMENSIONS, SAMPLE, FANOUT, LEAVES = 64, 32_768, 8, 1
+#: Rests of a partition on average, of which one shard at a time is in memory.
+PARTITION_ROWS = 32_768
 #: BM25's saturation and length weights.
 K1, B = 1.2, 0.75
 #: The token that ends every document, and the tokenizer file.
 END = 0
 TOKENIZER = "byte_bpe_50k.json"
-#: Special token of the vocabulary, recognised inside texts just as the tokenizer file does.
-SPECIAL = {"<|endoftext|>": 50256}
+#: Pieces remembered by a worker at once, their longest, and the longest that isn't given to the tokenizer itself.
+CACHED, CACHED_CHARS, PIECE_CHARS = 400_000, 24, 4_096
+# Letters, numbers and white space among the characters up to U+024F.
+LETTERS, NUMBERS, SPACES = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"
+# The byte-level split rule over these classes, and what lies outside of them (punctuation and currency signs are neither).
+SPLIT = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
+OUTSIDE = re.compile("[^\x00-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]")
 _loaded: dict[str, object] = {}
 
 
+class Pieces(dict):
+    """Piece of a text -> bytes of its ids; short ones are remembered."""
+
+    def __init__(self, merge, whole):
+        self.merge, self.whole = merge, whole
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(piece) > PIECE_CHARS:
+            return array("I", self.whole.encode(piece, add_special_tokens=False).ids).tobytes()
+        ids = array("I", self.merge(piece)).tobytes()
+        if len(piece) <= CACHED_CHARS:
+            if len(self) >= CACHED:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 def encoder(path: str | None = None):
     """text -> uint32 ids, equal to the ids of ``tokenizers`` for the byte-level vocabulary at ``path``.
 
-    The merges of such a file are in the order of the ids, so tiktoken's much faster merge loop over the same
-    vocabulary gives the same ids; the tests hold both against each other.
+    The merges of such a file are in the order of the ids, so tiktoken's merge loop over the same vocabulary gives the same
+    ids of a piece; pieces are split here and remembered.  Texts with characters outside of SPLIT's classes, special
+    tokens and very long pieces go to ``tokenizers`` itself.  The tests hold both against each other.
     """
     if path is None:
         import public_tokenizers
@@ -49,83 +77,186 @@ def encoder(path: str | None = None):
         import json
 
         import tiktoken
+        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         # The printable stand-ins for bytes of byte-level vocabularies.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {chr(c): c for c in plain} | {chr(256 + i): c for i, c in enumerate(c for c in range(256) if c not in plain)}
-        special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        special = [t["content"] for t in spec.get("added_tokens", [])]
         ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-        pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-        core = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-        _loaded[path] = lambda text: core.encode_to_numpy(text, allowed_special="all")
+        core = tiktoken.Encoding("bytes", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
+        whole = Tokenizer.from_file(path)
+        pieces = Pieces(core.encode_ordinary, whole)
+
+        def encode(text: str) -> np.ndarray:
+            if any(t in text for t in special) or not text.isascii() and OUTSIDE.search(text):
+                return np.array(whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
+            return np.frombuffer(b"".join(map(pieces.__getitem__, SPLIT.findall(text))), dtype="<u4")
+
+        _loaded[path] = encode
     return _loaded[path]
 
 
-TOKENS = "doc_id long, row long, doc_tokens long, rest_start long, rest binary, crcs array<long>"
+TOKENS = "doc_id long, salt long, doc_tokens long, rest_start long, rest binary, crcs array<long>"
+TOKEN_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
 
 
 def tokenize(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> DataFrame:
-    """Per row of ``docs``: its number of tokens, the CRC-32 of each whole window, and the tokens left over (uint16 or uint32 bytes)."""
+    """TOKENS of each row of ``docs``: its number of tokens, the CRC-32 of each whole window, the tokens left over (uint32 bytes).
+
+    ``salt`` is a hash that differs between equal rows of a partition too.
+    """
 
     def run(batches):
-        encode = encoder(path)
+        encode, row = encoder(path), 0
         for b in batches:
             out = []
             for doc_id, text in common.rows(b, "doc_id", "text"):
                 ids = np.append(encode(text or ""), np.uint32(END)).astype("<u4")
                 whole = len(ids) // window * window
                 crcs = [zlib.crc32(ids[i : i + window].tobytes()) for i in range(0, whole, window)]
-                # rows are told apart by content and id: equal rows are interchangeable
-                row = zlib.crc32(ids.tobytes()) << 31 ^ zlib.crc32(repr(doc_id).encode())
-                out.append((doc_id, row, len(ids), whole, ids[whole:].tobytes(), crcs))
+                rest = ids[whole:].tobytes()
+                row += 1
+                salt = common.mix(np.array([zlib.crc32(rest) << 31 ^ row * 0x9E3779B1 ^ zlib.crc32(repr(doc_id).encode())], dtype=np.uint64))
+                out.append((doc_id, int(salt.view(np.int64)[0]), len(ids), whole, rest, crcs))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)], names=["doc_id", "row", "doc_tokens", "rest_start", "rest", "crcs"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), TOKEN_TYPES, strict=True)], names=["doc_id", "salt", "doc_tokens", "rest_start", "rest", "crcs"])
 
     return docs.select("doc_id", "text").mapInArrow(run, TOKENS)
 
 
+def bags(rests: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the rest, token, count) of each rest's distinct tokens, sorted, and the rests' lengths."""
+    length = np.array([len(r) for r in rests], dtype=np.int64)
+    key = np.repeat(np.arange(len(rests)), length) << 32 | np.concatenate([*rests, np.zeros(0, dtype=np.int64)]).astype(np.int64)
+    key.sort()
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[first] >> 32, key[first] & 0xFFFFFFFF, np.diff(first, append=len(key)), length
+
+
+def _rests(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(r, dtype="<u4") for (r,) in common.rows(batch, "rest")]
+
+
 def _frequencies(batches):
     """(rest) rows -> by token id, the rests that hold it."""
-    n = np.zeros(1 << 16, dtype=np.int64)
+    n = np.zeros(1, dtype=np.int64)
     for b in batches:
-        for (rest,) in common.rows(b, "rest"):
-            if rest:
-                u = np.unique(np.frombuffer(rest, dtype="<u4"))
-                if u[-1] >= len(n):
-                    n = np.concatenate([n, np.zeros(int(u[-1]) + 1 - len(n), dtype=np.int64)])
-                n[u] += 1
+        more = np.bincount(bags(_rests(b))[1], minlength=len(n))
+        more[: len(n)] += n
+        n = more
     at = np.flatnonzero(n)
     yield pa.RecordBatch.from_pydict({"token": at, "n": n[at]}, schema=pa.schema([("token", pa.int64()), ("n", pa.int64())]))
 
 
+def _weights(token: np.ndarray, count: np.ndarray, length: np.ndarray, idf: np.ndarray, mean: float) -> np.ndarray:
+    """BM25 weights of tokens in rests of these lengths."""
+    return idf[token] * count * (K1 + 1) / (count + K1 * (1 - B + B * length / mean))
+
+
+class Projection:
+    """Rests as unit vectors: their BM25 weights times a random matrix, so common terms make them alike."""
+
+    def __init__(self, idf: np.ndarray, mean: float):
+        self.idf, self.mean = idf, mean
+        self.matrix = np.random.default_rng(5).standard_normal((len(idf), DIMENSIONS), dtype=np.float32)
+
+    def __call__(self, rests: list[np.ndarray]) -> np.ndarray:
+        row, token, count, length = bags(rests)
+        weight = _weights(token, count, length[row], self.idf, self.mean).astype(np.float32)
+        ends = np.searchsorted(row, np.arange(len(rests) + 1))
+        out = np.array([weight[i:j] @ self.matrix[token[i:j]] for i, j in zip(ends[:-1], ends[1:], strict=True)], dtype=np.float32).reshape(len(rests), DIMENSIONS)
+        return out / np.maximum(1e-9, np.linalg.norm(out, axis=1, keepdims=True))
+
+
+def _centroids(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
+    """k-means on unit vectors; centroids in the order of a chain from each to the nearest that is left."""
+    c = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
+    for _ in range(rounds):
+        near = (x @ c.T).argmax(1)
+        for j in range(k):
+            if (near == j).any():
+                total = x[near == j].sum(0)
+                c[j] = total / max(1e-9, float(np.linalg.norm(total)))
+    order = [0]
+    while len(order) < k:
+        left = [j for j in range(k) if j not in order]
+        order.append(left[int((c[left] @ c[order[-1]]).argmax())])
+    return c[order]
+
+
+def fit_tree(x: np.ndarray, share: float, leaf_rows: float) -> tuple:
+    """(centroids, children) of a node, None for a leaf: split until a leaf stands for ``leaf_rows`` rests; share: vectors to rests."""
+    rows = len(x) / share
+    if rows <= leaf_rows or len(x) < 4:
+        return None
+    c = _centroids(x, min(FANOUT, len(x), math.ceil(rows / leaf_rows)))
+    near = (x @ c.T).argmax(1)
+    if len(np.unique(near)) < 2:  # equal vectors
+        return None
+    return c, [fit_tree(x[near == j], share, leaf_rows) for j in range(len(c))]
+
+
+def route(tree: tuple | None, x: np.ndarray) -> np.ndarray:
+    """Number of the leaf of each vector, in the order of the tree."""
+    out, first = np.zeros(len(x), dtype=np.int64), [0]
+
+    def walk(node, at):
+        if node is None:
+            out[at] = first[0]
+            first[0] += 1
+            return
+        near = (x[at] @ node[0].T).argmax(1) if len(at) else np.zeros(0, dtype=int)
+        for j, child in enumerate(node[1]):
+            walk(child, at[near == j])
+
+    walk(tree, np.arange(len(x)))
+    return out
+
+
 class Index:
-    """Inverted index of a shard: postings (rest, BM25 weight) by token, for tokens in at most half of all rests."""
+    """Inverted index of a shard: postings (rest, BM25 weight) by token.
+
+    Scores by tokens of at least an eighth of the shard come from one product of matrices, those by rarer tokens from postings.
+    """
 
     def __init__(self, rests: list[np.ndarray], idf: np.ndarray, mean: float):
-        tokens, docs, counts = [], [], []
-        for k, r in enumerate(rests):
-            u, c = np.unique(r, return_counts=True)
-            good = idf[u] > 0
-            tokens.append(u[good])
-            counts.append(c[good])
-            docs.append(np.full(int(good.sum()), k))
-        self.terms = tokens
-        t, d, c = (np.concatenate([*x, np.zeros(0, dtype=np.int64)]).astype(np.int64) for x in (tokens, docs, counts))
-        length = np.array([len(r) for r in rests], dtype=np.float64)
-        weight = idf[t] * c * (K1 + 1) / (c + K1 * (1 - B + B * length[d] / mean))
-        order = np.argsort(t, kind="stable")
-        self.docs, self.weights = d[order], weight[order]
-        self.begin = np.searchsorted(t[order], np.arange(len(idf) + 1))
+        d, t, c, length = bags(rests)
+        good = idf[t] > 0
+        d, t, c = d[good], t[good], c[good]
+        w = _weights(t, c, length[d], idf, mean)
         self.n = len(rests)
+        often = np.bincount(t, minlength=len(idf)) * 8 >= max(8, self.n)
+        at, number = often[t], np.cumsum(often) - 1
+        dense = np.zeros((int(often.sum()), self.n))
+        dense[number[t[at]], d[at]] = w[at]
+        self.dense = (dense > 0).astype(np.float64).T @ dense
+        d, t, w = d[~at], t[~at], w[~at]
+        self.terms = np.split(t, np.searchsorted(d, np.arange(1, self.n)))
+        order = np.argsort(t, kind="stable")
+        self.docs, self.weights = d[order], w[order]
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount(t, minlength=len(idf)))])
 
     def scores(self, k: int) -> np.ndarray:
         """BM25 of every rest for the distinct tokens of rest k."""
-        lo, hi = self.begin[self.terms[k]], self.begin[self.terms[k] + 1]
-        size = hi - lo
+        lo = self.begin[self.terms[k]]
+        size = self.begin[self.terms[k] + 1] - lo
         at = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
-        return np.bincount(self.docs[at], weights=self.weights[at], minlength=self.n)
+        return self.dense[k] + np.bincount(self.docs[at], weights=self.weights[at], minlength=self.n)
+
+
+def _ranked(score: np.ndarray, n: int):
+    """Numbers of the n best scores, best first, equal ones in order; the first few are found without sorting all."""
+    few = 16
+    if n > 4 * few:
+        top = np.flatnonzero(score >= np.partition(score, len(score) - few)[len(score) - few])
+        yield from top[np.argsort(-score[top], kind="stable")].tolist()
+        few = len(top)
+    else:
+        few = 0
+    yield from np.argsort(-score, kind="stable")[few:n].tolist()
 
 
 def fill(rests: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
@@ -146,15 +277,14 @@ def fill(rests: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WI
             cut = nxt
         seed, cut, free = cut, -1, window
         queue = iter([seed])
-        ranked = None
+        ranked = False
         while free:
             k = next(queue, None)
             if k is None:
-                if ranked is not None:
+                if ranked:
                     break
-                score = np.where(used, -1.0, index.scores(seed))
-                ranked = np.argsort(-score, kind="stable")[: int((~used).sum())]
-                queue = iter(ranked.tolist())
+                ranked = True
+                queue = _ranked(np.where(used, -1.0, index.scores(seed)), len(used) - int(used.sum()))
                 continue
             used[k] = True
             size = min(free, len(rests[k]) - int(at[k]))
@@ -166,159 +296,13 @@ def fill(rests: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WI
         sequence += 1
 
 
-PIECES = "number long, begin long, length long, sequence_id long, offset long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 PIECE_SCHEMA = pa.schema([(x.split()[0], pa.int64()) for x in PIECES.split(", ")])
-BEST = "seed long, scores binary, numbers binary, lengths binary"
-BEST_SCHEMA = pa.schema([("seed", pa.int64()), ("scores", pa.binary()), ("numbers", pa.binary()), ("lengths", pa.binary())])
-
-
-def _postings(rests: list[np.ndarray], idf: np.ndarray, mean: float) -> list[bytes]:
-    """Bytes of a block's index: tokens, postings of each token, rests and weights of the postings, lengths of the rests."""
-    index = Index(rests, idf, mean)
-    count = np.diff(index.begin)
-    tokens = np.flatnonzero(count)
-    return [tokens.astype("<i4").tobytes(), count[tokens].astype("<i4").tobytes(), index.docs.astype("<i4").tobytes(), index.weights.astype("<f8").tobytes(), np.array([len(r) for r in rests], dtype="<i4").tobytes()]
-
-
-def _best(seed: int, scores: np.ndarray, numbers: np.ndarray, lengths: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The best rests, best first, as far as they hold ``need`` tokens; equal scores in an order of the seed's own."""
-    few = 64
-    while few < len(scores):
-        # all that reach the few-th score, if these hold enough
-        floor = np.partition(scores, len(scores) - few)[len(scores) - few]
-        at = np.flatnonzero(scores >= floor)
-        if lengths[at].sum() >= need:
-            scores, numbers, lengths = scores[at], numbers[at], lengths[at]
-            break
-        few *= 4
-    order = np.lexsort((common.mix(numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)), -scores))
-    order = order[: int(np.searchsorted(np.cumsum(lengths[order]), need)) + 1]
-    return scores[order], numbers[order], lengths[order]
-
-
-def _neighbours(index: DataFrame, seeds: dict[int, np.ndarray], used: np.ndarray, placed: dict[int, int], tokens: int, need: int) -> DataFrame:
-    """(seed, scores, numbers, lengths): the best unused rests of the whole corpus for each seed (number, distinct tokens).
-
-    placed: of rests that were cut, the tokens that are placed already.
-    """
-    spark = index.sparkSession
-    sent = spark.sparkContext.broadcast((seeds, np.packbits(used), len(used), np.array(sorted(placed.items()), dtype=np.int64).reshape(-1, 2), tokens))
-
-    def run(batches):
-        seeds, bits, n, placed, tokens = sent.value
-        used = np.unpackbits(bits, count=n).astype(bool)
-        kept = {}
-        for b in batches:
-            for first, *parts in common.rows(b, "first", "tokens", "counts", "docs", "weights", "lengths"):
-                token, count, docs, weights, lengths = (np.frombuffer(x, dtype=t) for x, t in zip(parts, ("<i4", "<i4", "<i4", "<f8", "<i4"), strict=True))
-                free = np.flatnonzero(~used[first : first + len(lengths)])
-                place = np.full(len(lengths), -1)
-                place[free] = np.arange(len(free))
-                good = place[docs] >= 0
-                token = np.repeat(token, count)[good]
-                docs, weights = place[docs[good]], weights[good]
-                begin = np.concatenate([[0], np.cumsum(np.bincount(token, minlength=tokens))])
-                lo, hi = np.searchsorted(placed[:, 0], [first, first + len(lengths)])
-                lengths = lengths.astype(np.int64)
-                lengths[placed[lo:hi, 0] - first] -= placed[lo:hi, 1]
-                numbers, lengths = first + free, lengths[free]
-                for seed, terms in seeds.items():
-                    lo = begin[terms]
-                    size = begin[terms + 1] - lo
-                    at = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
-                    scores = np.bincount(docs[at], weights=weights[at], minlength=len(free))
-                    if first <= seed < first + len(place) and place[seed - first] >= 0:
-                        scores[place[seed - first]] = -1.0  # not its own neighbour
-                    old = kept.get(seed)
-                    floor = old[0][-1] if old and old[2].sum() >= need else 0.0
-                    good = np.flatnonzero(scores >= floor)
-                    if len(good):
-                        found = scores[good], numbers[good], lengths[good]
-                        kept[seed] = _best(seed, *(found if old is None else (np.concatenate(x) for x in zip(old, found, strict=True))), need)
-        yield from packed(kept.items())
-
-    def packed(items):
-        rows = [(seed, s.astype("<f8").tobytes(), k.astype("<i8").tobytes(), n.astype("<i8").tobytes()) for seed, (s, k, n) in items]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), BEST_SCHEMA.types, strict=True)], schema=BEST_SCHEMA)
-
-    def merge(batches):
-        held, last = [], None
-
-        def done():
-            return last, _best(last, *(np.concatenate(x) for x in zip(*held, strict=True)), need)
-
-        for b in batches:
-            out = []
-            for seed, *parts in common.rows(b, "seed", "scores", "numbers", "lengths"):
-                if held and seed != last:
-                    out.append(done())
-                    held = []
-                last = seed
-                held.append([np.frombuffer(x, dtype=t) for x, t in zip(parts, ("<f8", "<i8", "<i8"), strict=True)])
-            yield from packed(out)
-        if held:
-            yield from packed([done()])
-
-    tasks = max(1, spark.sparkContext.defaultParallelism)
-    found = index.coalesce(tasks).mapInArrow(run, BEST)
-    return found.repartition(tasks, "seed").sortWithinPartitions("seed").mapInArrow(merge, BEST)
-
-
-def _rounds(numbered: DataFrame, index: DataFrame, n: int, tokens: int, window: int) -> DataFrame:
-    """PIECES of n numbered rests.  The driver keeps a byte for each rest and what a round needs."""
-    spark = numbered.sparkSession
-    path = common.staged_path(spark, "packing-pieces")
-    used = np.zeros(n, dtype=bool)
-    placed: dict[int, int] = {}  # of rests that were cut, the tokens already placed
-    waiting: list[int] = []  # seeds from earlier rounds
-    sequence = turn = 0
-    while not used.all():
-        free = np.flatnonzero(~used)
-        most = max(min(SEEDS, len(free) // 8), SEEDS // 8)
-        late = set(waiting)
-        batch = waiting[:most]
-        batch += [k for k in free[: most + len(late)].tolist() if k not in late][: most - len(batch)]
-        need = window * min(64, max(RESERVE, RESERVE * SEEDS // 2 // len(free)))
-        asked = spark.createDataFrame(pa.table({"number": pa.array(batch, pa.int64())}))
-        rests = {k: np.frombuffer(r, dtype="<u4") for k, r in numbered.join(F.broadcast(asked), "number", "left_semi").select("number", "rest").collect()}  # at most SEEDS
-        found = _neighbours(index, {k: np.unique(r).astype(np.int64) for k, r in rests.items()}, used, placed, tokens, need)
-        best = {r[0]: (np.frombuffer(r[1], dtype="<i8"), np.frombuffer(r[2], dtype="<i8")) for r in found.select("seed", "numbers", "lengths").collect()}
-        before, out, cut, again = dict(placed), [], [], []
-        for seed in batch:
-            if used[seed]:
-                continue
-            numbers, lengths = best.get(seed, (np.zeros(0, dtype=np.int64),) * 2)
-            chosen, room = [], window
-            for k, size in [(seed, len(rests[seed]) - before.get(seed, 0)), *zip(numbers.tolist(), lengths.tolist(), strict=True)]:
-                if not room:
-                    break
-                if not used[k]:
-                    left = size - placed.get(k, 0) + before.get(k, 0)
-                    chosen.append((k, min(left, room), left))
-                    room -= min(left, room)
-            if room and lengths.sum() >= need:
-                again.append(seed)  # others took its neighbours; it gets more of them in the next round
-                continue
-            offset = 0
-            for k, size, left in chosen:
-                out.append((k, placed.get(k, 0), size, sequence, offset))
-                offset += size
-                if size < left:
-                    placed[k] = placed.get(k, 0) + size
-                    cut.append(k)
-                else:
-                    used[k] = True
-                    placed.pop(k, None)
-            sequence += 1
-        waiting = [k for k in dict.fromkeys(cut + again + waiting[most:]) if not used[k]]
-        spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=PIECE_SCHEMA)).coalesce(1).write.parquet(f"{path}/turn={turn}")
-        turn += 1
-    return spark.read.schema(PIECES).parquet(*[f"{path}/turn={k}" for k in range(turn)]) if turn else spark.createDataFrame([], PIECES)
+ROUTED = "doc_id long, doc_tokens long, rest_start long, rest binary, salt long, leaf long, place long"
 
 
 def pack(docs: DataFrame, window: int = WINDOW, shard_rows: int = SHARD_ROWS, path: str | None = None) -> DataFrame:
-    """Pieces of all documents (doc_id, text; other columns are not read), one row each.
+    """Pieces of all documents (doc_id, text; other columns are not read), one row each (PIECES).
 
     Null and empty texts are the end token alone.  Repeated rows and null ids are packed like any other.
     """
@@ -331,46 +315,52 @@ def pack(docs: DataFrame, window: int = WINDOW, shard_rows: int = SHARD_ROWS, pa
     df = np.zeros(int(seen.token.max()) + 1 if len(seen) else 1)
     df[seen.token.to_numpy(dtype=int)] = seen.n.to_numpy()
     idf = np.maximum(0.0, np.log((n - df + 0.5) / (df + 0.5)))
-    blocks = max(1, math.ceil(n / shard_rows))
-    sent = spark.sparkContext.broadcast((idf, mean))  # bounded by the vocabulary
-    names = ["doc_id", "doc_tokens", "rest_start", "rest", "block"]
-    parts = ["tokens", "counts", "docs", "weights", "lengths"]
+    tree = _tree(rests, n, idf, mean, shard_rows)
+    sent = common.sent(spark, (idf, mean, tree))  # bounded by the vocabulary and SAMPLE
 
-    def invert(batches):
-        idf, mean = sent.value
-        held, block = [], None
+    def routed(batches):
+        idf, mean, tree = sent()
+        project = Projection(idf, mean)
+        turn = np.random.default_rng(6).standard_normal((DIMENSIONS, 16), dtype=np.float32)
+        for b in batches:
+            x = project(_rests(b))
+            # rests of a leaf by the side of 16 planes on which they lie
+            place = (x @ turn > 0) @ (1 << np.arange(15, -1, -1))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(route(tree, x)), pa.array(place.astype(np.int64))], names=[*b.schema.names, "leaf", "place"])
 
-        def done():
-            index = _postings([np.frombuffer(r[3], dtype="<u4") for r in held], idf, mean)
-            rows = [(k, *r, *[None] * len(parts)) for k, r in enumerate(held)] + [(-1, None, None, None, None, block, *index)]
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), *[pa.binary()] * len(parts)]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["k", *names, *parts])
+    def run(batches):
+        idf, mean, _ = sent()
+        held, first, leaf = [], TaskContext.get().partitionId() << 32, None
+
+        def done(end: bool):
+            """A batch of the shard's pieces, and what stands in its last window if that isn't full: the next shard takes it."""
+            nonlocal first
+            got = [np.frombuffer(r[3], dtype="<u4") for r in held]
+            pieces = fill(got, idf, mean, window)
+            last, left = pieces[-1][3], []
+            if not end and pieces[-1][2] + pieces[-1][4] < window:
+                left = [(*held[k][:2], held[k][2] + start, held[k][3][4 * start :], held[k][4]) for k, start, _, seq, _ in pieces if seq == last]
+                pieces = [p for p in pieces if p[3] < last]
+            out = [(held[k][0], held[k][2] + start, size, zlib.crc32(got[k][start : start + size].tobytes()), held[k][1], first + seq, offset) for k, start, size, seq, offset in pieces]
+            first += last + 1
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * len(PIECE_SCHEMA))], schema=PIECE_SCHEMA), left
 
         for b in batches:
-            for row in common.rows(b, *names):
-                if held and row[4] != block:
-                    yield done()
-                    held = []
-                block = row[4]
+            for row in common.rows(b, "doc_id", "doc_tokens", "rest_start", "rest", "leaf"):
+                # a shard ends with a leaf if it can
+                if len(held) >= shard_rows or row[4] != leaf and 2 * len(held) >= shard_rows:
+                    out, held = done(False)
+                    yield out
+                leaf = row[4]
                 held.append(row)
         if held:
-            yield done()
-
-    # a block is dealt by the hash of the row and a salt of its own, so repeated rows spread over all blocks
-    dealt = rests.withColumn("block", F.pmod(F.xxhash64("doc_id", "row", F.monotonically_increasing_id()), F.lit(blocks)))
-    dealt = dealt.repartition(max(1, min(blocks, 1 << 16)), "block").sortWithinPartitions("block", "row", "doc_id").select(*names)
-    # the rests of a block, numbered from 0, and its index in a row of its own
-    made = common.staged(dealt.mapInArrow(invert, f"k long, doc_id long, doc_tokens long, rest_start long, rest binary, block long, {', '.join(f'{x} binary' for x in parts)}"), "packing-index")
-    first, at = [], 0
-    for block, rows in sorted(map(tuple, made.where("k >= 0").groupBy("block").count().collect())):  # a row for each block
-        first.append((block, at))
-        at += rows
-    begins = F.broadcast(spark.createDataFrame(first, "block long, first long"))
-    numbered = made.where("k >= 0").join(begins, "block").select((F.col("first") + F.col("k")).alias("number"), "doc_id", "doc_tokens", "rest_start", "rest")
-    index = made.where("k < 0").join(begins, "block").select("first", *parts)
-    pieces = _rounds(numbered, index, n, len(idf), window)
-    crc = F.crc32(F.substring("rest", (F.col("begin") * 4 + 1).cast("int"), (F.col("length") * 4).cast("int")))
-    tails = pieces.join(numbered, "number").select("doc_id", (F.col("rest_start") + F.col("begin")).alias("start"), "length", crc.alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+            yield done(True)[0]
+
+    parts = min(max(2 * spark.sparkContext.defaultParallelism, math.ceil(n / PARTITION_ROWS)), math.ceil(n / shard_rows))
+    near = rests.select("doc_id", "doc_tokens", "rest_start", "rest", "salt").mapInArrow(routed, ROUTED)
+    # by salt too, so any number of rests alike spread over partitions
+    near = near.repartitionByRange(max(1, parts), "leaf", "place", "salt").sortWithinPartitions("leaf", "place", "salt")
+    tails = near.select("doc_id", "doc_tokens", "rest_start", "rest", "leaf").mapInArrow(run, PIECES)
     # sequences of whole windows are numbered from 2^62, above those of the rests
     whole = table.where(F.size("crcs") > 0).select("doc_id", "doc_tokens", F.posexplode("crcs").alias("k", "ids_crc32"))
     whole = whole.withColumn("at", F.monotonically_increasing_id())
@@ -378,6 +368,25 @@ def pack(docs: DataFrame, window: int = WINDOW, shard_rows: int = SHARD_ROWS, pa
     return tails.unionByName(full)
 
 
+def _tree(rests: DataFrame, n: int, idf: np.ndarray, mean: float, shard_rows: int) -> tuple | None:
+    """The tree of centroids, fitted on some SAMPLE rests chosen by salt; every rest is routed by it."""
+    if n <= shard_rows:
+        return None
+    share = min(1.0, SAMPLE / n)
+    sent = common.sent(rests.sparkSession, (idf, mean))
+
+    def run(batches):
+        project = Projection(*sent())
+        for b in batches:
+            x = project(_rests(b))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["salt", "x"])
+
+    some = rests if share == 1 else rests.where(F.col("salt") < int((2 * share - 1) * (1 << 63)))
+    got = sorted(map(tuple, some.select("salt", "rest").mapInArrow(run, "salt long, x binary").collect()))  # about SAMPLE rows of DIMENSIONS floats
+    x = np.frombuffer(b"".join(r[1] for r in got), dtype=np.float32).reshape(len(got), DIMENSIONS)
+    return fit_tree(x, len(got) / n, shard_rows / LEAVES)
+
+
 def op4_packing(spark, sf_dir: str) -> DataFrame:
     """Every document cut and packed into sequences of at most 1024 tokens."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -290,11 +290,11 @@ def score(docs: DataFrame, model: Model, clean: bool = False) -> DataFrame:
     Null and empty texts have no hits and get the score of the intercept alone.  Rows with null or repeated doc_id are
     scored like any other; other columns are not read.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_TERMS and MAX_HARMLESS
+    sent = common.sent(docs.sparkSession, model)  # bounded by MAX_TERMS and MAX_HARMLESS
     hit = pa.list_(pa.struct([("word", pa.string()), ("term", pa.string()), ("edits", pa.int32()), ("quoted", pa.bool_())]))
 
     def run(batches):
-        m = sent.value
+        m = sent()
         matcher, w = Matcher(m.terms, m.harmless), m.weights
         for b in batches:
             scores, found = [], []

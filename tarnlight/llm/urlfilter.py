@@ -110,11 +110,11 @@ def build(universe: DataFrame) -> Cascade | None:
         if size > MAX_BITS:
             return None
         probes = max(1, round(math.log(1 / rate) / math.log(2)))
-        before = spark.sparkContext.broadcast(list(levels))  # bounded: MAX_BITS a level
+        before = list(levels)
         side = number % 2 == 0
         keys = universe.where(F.col("listed") == side)
         levels.append(Level(_bits(_passing(keys, before), size, probes, number + 1), size, probes, number + 1))
-        left = _passing(universe.where(F.col("listed") != side), spark.sparkContext.broadcast(list(levels))).count()
+        left = _passing(universe.where(F.col("listed") != side), levels).count()
         if side:
             outside = left
         else:
@@ -122,16 +122,21 @@ def build(universe: DataFrame) -> Cascade | None:
     raise RuntimeError("the cascade doesn't end: two keys share a hash")
 
 
-def _passing(keys: DataFrame, levels) -> DataFrame:
+def _passing(keys: DataFrame, levels: list[Level]) -> DataFrame:
+    if not levels:
+        return keys.select("h")
+    sent = common.sent(keys.sparkSession, levels)  # bounded: MAX_BITS a level
+
     def run(batches):
+        levels = sent()
         for b in batches:
             h = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             ok = np.ones(len(h), dtype=bool)
-            for level in levels.value:
+            for level in levels:
                 ok &= level.has(h)
             yield b.filter(pa.array(ok))
 
-    return keys.select("h").mapInArrow(run, "h long") if levels.value else keys.select("h")
+    return keys.select("h").mapInArrow(run, "h long")
 
 
 def suffixes(host: Column) -> Column:
@@ -169,10 +174,10 @@ def judge(pages: DataFrame, rules=RULES, listed=LISTED) -> DataFrame:
         verdicts[name] = build(marked), marked
     if any(c is None for c, _ in verdicts.values()):
         return _by_join(named, verdicts, hashed)
-    sent = spark.sparkContext.broadcast({k: c for k, (c, _) in verdicts.items()})  # bounded by MAX_BITS
+    sent = common.sent(spark, {k: c for k, (c, _) in verdicts.items()})  # bounded by MAX_BITS
 
     def run(batches):
-        cascades = sent.value
+        cascades = sent()
 
         def which(lists: pa.ListArray, *names: str) -> list[pa.Array]:
             flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)

@@ -27,6 +27,24 @@ def test_ids_equal_the_tokenizer():
         assert np.array_equal(np.append(encode(text), 0), want), repr(text[:60])
 
 
+LONG = [c * 1_000_000 for c in (" ", "\n", "\t", "\u3000", "a", "!", "é", "1", " a", "\t \n")] + ["word " + " " * 1_000_000 + "end", "漢" * 200_000]
+
+
+def test_very_long_runs(spark):
+    encode = P.encoder()
+    for text, want in zip(LONG, reference_ids(LONG), strict=True):
+        assert np.array_equal(np.append(encode(text), 0), want), repr(text[:20])
+    rows = list(enumerate(LONG))
+    check([p.asDict() for p in P.pack(docs(spark, rows)).collect()], rows)
+
+
+def test_any_number_of_equal_rests(spark):
+    rows = [(k, "the same words in every document") for k in range(500)] + [(7, "the same words in every document")] * 20
+    table = P.pack(docs(spark, rows), shard_rows=40)
+    sizes = check([p.asDict() for p in table.collect()], rows)
+    assert sum(s < 1024 for s in sizes) <= 8
+
+
 def check(pieces, rows, window=1024):
     """Every token of every row in one piece, sequences gapless and within the window."""
     want = {}
