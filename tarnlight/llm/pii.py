@@ -9,6 +9,7 @@ classifier, applied as a SQL expression.  Candidates that it accepts are added t
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -18,13 +19,16 @@ from . import common
 
 #: Probability from which a candidate becomes a span, characters before a span that are searched for cues.
 ACCEPT, CUE_CHARS = 0.8, 40
+#: Characters of a chunk of a text, from which spans are cut out without counting from the text's start.
+CHUNK = 2_048
+_names = itertools.count()
 KINDS = ["email", "ip", "card", "phone", "name", "ssn", "iban"]
 LABELERS = ["strict", "shape", "gazetteer", "cue", "against"]
 # The base patterns, in forms that can't backtrack over long runs but match the same spans.
 BASE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"(?<![0-9])[0-9]++(?:[\x20-][0-9]++)*+",
+    "card": r"(?<![0-9])(?=(?:[0-9][\x20-]?){12}[0-9])[0-9]++(?:[\x20-][0-9]++)*+",  # shorter numbers can't pass any check
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 # First names that a surname makes a candidate.
@@ -33,7 +37,7 @@ FIRST = "James|Mary|Robert|Patricia|John|Jennifer|Michael|Linda|David|Elizabeth|
 LOOSE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[({<] ?(?:at|AT) ?[\])}>] ?[A-Za-z0-9-]++(?: ?[\[({<] ?(?:dot|DOT) ?[\])}>] ?[A-Za-z0-9-]++|\.[A-Za-z0-9-]++)++",
     "phone": r"(?<![0-9+(])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9])",
-    "name": rf"(?<!\p{{L}})(?:(?:Mr|Mrs|Ms|Dr|Prof)\.?|{FIRST}) \p{{Lu}}[\p{{L}}\p{{M}}]{{1,20}}(?![\p{{L}}\p{{M}}])",
+    "name": rf"(?<!\p{{L}})(?=[A-Z])(?:(?:Mr|Mrs|Ms|Dr|Prof)\.?|{FIRST}) \p{{Lu}}[\p{{L}}\p{{M}}]{{1,20}}(?![\p{{L}}\p{{M}}])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
 }
@@ -49,132 +53,192 @@ DOMAINS = "com|org|net|edu|gov|io|de|fr|es|uk|info|eu|it|nl|ch|at|us|ca|au|co|bi
 CALLING = r"^\+(?:1|7|20|27|3[0-69]|4[013-9]|5[1-8]|6[0-6]|81|82|84|86|9[0-58])"
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def _new(prefix: str) -> str:
+    """A lambda variable's name that no other has."""
+    return f"{prefix}{next(_names)}"
 
 
-def _matches(text: Column, pattern: str) -> Column:
-    """array<struct<start,end,value>> of all matches, in code points; both functions find the same matches."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern)
+def _text(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    def spans(pair):
-        start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:bigint,end:bigint,value:string>>)").alias("out"))
 
-        def step(acc, k):
-            begin = acc["at"] + F.length(F.element_at(pair["between"], k))
-            value = F.element_at(pair["found"], k)
-            end = begin + F.length(value)
-            return F.struct(end.cast("long").alias("at"), F.concat(acc["out"], F.array(F.struct(begin.cast("long").alias("start"), end.cast("long").alias("end"), value.alias("value")))).alias("out"))
+# Expressions are SQL texts: they are large, and Spark parses a text much faster than Python builds Columns.
 
-        index = F.when(F.size(pair["found"]) > 0, F.sequence(F.lit(1), F.size(pair["found"]))).otherwise(F.expr("cast(array() as array<int>)"))
-        return F.aggregate(index, start, step, lambda acc: acc["out"])
 
-    return _let(F.struct(found.alias("found"), between.alias("between")), spans)
+def _let(value: str, body) -> str:
+    """``body(name)`` with ``value`` computed once."""
+    v = _new("v")
+    return f"element_at(transform(array({value}), {v} -> {body(v)}), 1)"
+
+
+def _map(items: str, body) -> str:
+    x = _new("x")
+    return f"transform({items}, {x} -> {body(x)})"
+
+
+def _keep(items: str, test) -> str:
+    x = _new("x")
+    return f"filter({items}, {x} -> {test(x)})"
+
+
+def _scanned(items: str, zero: str, step) -> str:
+    """array<struct<before,item>>: each item with the state before it; step(state, item) is the state after it.
+
+    Arrays can only grow by copying, so items go in blocks of about the cube root of their number, joined at the end.
+    """
+
+    def run(x):
+        acc, e, s, i, g, own, y, k, done = (_new(n) for n in ("acc", "e", "s", "i", "g", "own", "y", "k", "done"))
+        none = f"slice(array(named_struct('before', {zero}, 'item', get({x}, 0))), 1, 0)"
+        size = f"cast(greatest(64, ceil(cbrt(2 * size({x})))) as int)"
+        blocks = f"transform(sequence(0, cast(floor((size({x}) - 1) / {size}) as int)), {k} -> slice({x}, {k} * {size} + 1, {size}))"
+        more = f"named_struct('at', aggregate({e}, {acc}.at, ({s}, {i}) -> {step(s, i)}), 'out', concat({acc}.out, array(named_struct('at', {acc}.at, 'block', {e}))))"
+        begun = f"aggregate({blocks}, named_struct('at', {zero}, 'out', slice(array(named_struct('at', {zero}, 'block', {x})), 1, 0)), ({acc}, {e}) -> {more}, {done} -> {done}.out)"
+        grow = f"named_struct('at', {step(own + '.at', y)}, 'out', concat({own}.out, array(named_struct('before', {own}.at, 'item', {y}))))"
+        whole = f"transform({begun}, {g} -> aggregate({g}.block, named_struct('at', {g}.at, 'out', {none}), ({own}, {y}) -> {grow}, {done} -> {done}.out))"
+        return f"if(size({x}) = 0, {none}, flatten({whole}))"
+
+    return _let(items, run)
 
 
 NO_SPANS = "cast(array() as array<struct<start:bigint,end:bigint,value:string>>)"
 
 
-def _digits(value: Column) -> Column:
-    return F.regexp_replace(value, "[^0-9]", "")
+def _matches(text: str, pattern: str) -> str:
+    """array<struct<start,end,value>> of all matches, in code points; extraction and split find the same matches."""
+
+    def spans(found):
+        pieces = f"cast(arrays_zip({found}, slice(split({text}, {_text(pattern)}), 1, size({found}))) as array<struct<found:string,between:string>>)"
+        at = _scanned(pieces, "0L", lambda at, p: f"{at} + length({p}.between) + length({p}.found)")
+        made = _map(at, lambda r: f"named_struct('start', {r}.before + length({r}.item.between), 'end', {r}.before + length({r}.item.between) + length({r}.item.found), 'value', {r}.item.found)")
+        return f"if(size({found}) = 0, {NO_SPANS}, {made})"
+
+    return _let(f"regexp_extract_all({text}, {_text(pattern)}, 0)", spans)
 
 
-def _luhn(digits: Column) -> Column:
+def _cut(begin: str, end: str) -> str:
+    """The text from begin to end (exclusive), from its chunks."""
+    first, last = f"cast(floor({begin} / {CHUNK}) as int)", f"cast(floor(({end} - 1) / {CHUNK}) as int)"
+    some = f"array_join(slice(chunks, {first} + 1, {last} - {first} + 1), '')"
+    return f"if({end} > {begin}, substring({some}, cast({begin} - {first} * {CHUNK} + 1 as int), cast({end} - {begin} as int)), '')"
+
+
+def _digits(value: str) -> str:
+    return f"regexp_replace({value}, '[^0-9]', '')"
+
+
+def _luhn(digits: str) -> str:
     """Whether a string of digits passes the Luhn check."""
-    index = F.sequence(F.lit(0), F.length(digits) - 1)
+    total, k = _new("t"), _new("k")
+    digit = f"cast(substring({digits}, length({digits}) - {k}, 1) as int)"
+    return f"aggregate(sequence(0, length({digits}) - 1), 0, ({total}, {k}) -> {total} + if({k} % 2 = 1, if({digit} > 4, 2 * {digit} - 9, 2 * {digit}), {digit})) % 10 = 0"
 
-    def add(total, k):
-        d = F.substring(digits, F.length(digits) - k, F.lit(1)).cast("int")
-        twice = F.when(d > 4, 2 * d - 9).otherwise(2 * d)
-        return total + F.when(k % 2 == 1, twice).otherwise(d)
 
-    return F.aggregate(index, F.lit(0), add) % 10 == 0
+def _mod97(value: str) -> str:
+    """Whether an IBAN's check digits are right: its first four characters moved to the end, letters as 10 to 35."""
+    n, c = _new("n"), _new("c")
+    plain = f"replace({value}, ' ', '')"
+    add = f"({n} * if({c} >= 'A', 100, 10) + if({c} >= 'A', ascii({c}) - 55, ascii({c}) - 48)) % 97"
+    return f"aggregate(split(concat(substring({plain}, 5), substring({plain}, 1, 4)), ''), 0, ({n}, {c}) -> {add}) = 1"
 
 
-def _valid(kind: str, value: Column) -> Column:
+def _valid(kind: str, value: str) -> str:
     if kind == "email":
-        return F.lit(True)
+        return "true"
     if kind == "ip":
-        part = lambda p: F.regexp_replace(p, "^0+(?=[0-9])", "")
-        return F.forall(F.split(value, r"\."), lambda p: (F.length(part(p)) <= 3) & (part(p).cast("int") <= 255))
-    digits = _digits(value)
+        p = _new("p")
+        part = f"regexp_replace({p}, '^0+(?=[0-9])', '')"
+        return f"forall(split({value}, '[.]'), {p} -> if(length({part}) <= 3, cast({part} as int) <= 255, false))"
     if kind == "card":
-        return F.when(F.length(digits).between(14, 19), _luhn(digits)).otherwise(False)
-    return F.length(digits).between(10, 15)
-
-
-def _checked(kind: str):
-    return lambda s: _valid(kind, s["value"])
+        return _let(_digits(value), lambda d: f"if(length({d}) between 14 and 19, {_luhn(d)}, false)")
+    return f"length({_digits(value)}) between 10 and 15"
 
 
-def _spans(kind: str, text: Column, pattern: str, needs: str = "") -> Column:
-    has = F.contains(text, F.lit(needs))
+def _spans(kind: str, text: str, pattern: str, needs: str = "") -> str:
+    has = f"contains({text}, '{needs}')"
     if kind in ("ip", "card", "phone", "ssn", "iban"):
-        has = has & text.rlike("[0-9]")
+        has += f" and {text} rlike '[0-9]'"
     elif kind == "email" and not needs:
-        has = text.rlike(r"[\[({<] ?(?:at|AT) ?[\])}>]")
+        has = f"{text} rlike {_text(r'[\[({<] ?(?:at|AT) ?[\])}>]')}"
     elif kind == "name":
-        has = text.rlike(f"(?:Mr|Ms|Mrs|Dr|Prof|{FIRST})[. ]")  # as every match begins
-    return F.when(has, _matches(text, pattern)).otherwise(F.expr(NO_SPANS))
+        has = f"{text} rlike {_text(f'(?=[A-Z])(?:Mr|Ms|Mrs|Dr|Prof|{FIRST})[. ]')}"  # as every match begins
+    return f"if({has}, {_matches(text, pattern)}, {NO_SPANS})"
 
 
-def _votes(text: Column, kind: str, s: Column, base: bool) -> Column:
+def _votes(kind: str, s: str, base: bool) -> str:
     """The five votes on a span: 1 for, 0 against, -1 none."""
-    value, yes, no, none = s["value"], F.lit(1), F.lit(0), F.lit(-1)
-    digits = _digits(value)
-    # substring counts from 1 and clips; a span at the very start has nothing before it
-    before = F.lower(F.substring(text, F.greatest(s["start"] - CUE_CHARS, F.lit(0)).cast("int") + 1, F.least(s["start"], F.lit(CUE_CHARS)).cast("int")))
-    shape, gaz = none, none
+    value = f"{s}.value"
+    like = lambda pattern, yes=1, no=0: f"if({value} rlike {_text(pattern)}, {yes}, {no})"
+    size = f"length({_digits(value)})"
+    shape = gaz = "-1"
     if kind == "email":
-        strict = yes if base else none
-        shape = F.when(F.length(value) <= 80, yes).otherwise(no)
-        gaz = F.when(F.lower(value).rlike(rf"(?:\.|dot ?[\])}}>] ?)(?:{DOMAINS})$"), yes).otherwise(no)
+        strict = "1" if base else "-1"
+        shape = f"if(length({value}) <= 80, 1, 0)"
+        gaz = f"if(lower({value}) rlike {_text(rf'(?:[.]|dot ?[\])}}>] ?)(?:{DOMAINS})$')}, 1, 0)"
     elif kind == "ip":
-        strict = F.when(_valid("ip", value), yes).otherwise(no)
-        shape = F.when(value.rlike(r"(?:^|\.)0[0-9]"), no).otherwise(yes)
-        gaz = F.when(value.rlike(r"^(?:0|127|255)\."), no).otherwise(none)
+        strict = f"if({_valid('ip', value)}, 1, 0)"
+        shape = like(r"(?:^|\.)0[0-9]", 0, 1)
+        gaz = like(r"^(?:0|127|255)\.", 0, -1)
     elif kind == "card":
-        strict = F.when(_valid("card", value), yes).otherwise(no)
-        shape = F.when(F.length(digits).isin(15, 16), yes).otherwise(no)
-        gaz = F.when(digits.rlike("^(?:4|5[1-5]|3[47]|6011|65|35|2[2-7])"), yes).otherwise(no)
+        strict = f"if({_valid('card', value)}, 1, 0)"
+        shape = f"if({size} in (15, 16), 1, 0)"
+        gaz = f"if({_digits(value)} rlike '^(?:4|5[1-5]|3[47]|6011|65|35|2[2-7])', 1, 0)"
     elif kind == "phone":
-        strict = F.when(F.lit(base) & F.length(digits).between(10, 15), yes).otherwise(none)
-        shape = F.when(value.rlike(r"[0-9][ ().-]+[0-9]"), yes).otherwise(no)
-        gaz = F.when(value.rlike(CALLING), yes).otherwise(none)
+        strict = f"if({size} between 10 and 15, 1, -1)" if base else "-1"
+        shape = like(r"[0-9][ ().-]+[0-9]")
+        gaz = like(CALLING, 1, -1)
     elif kind == "name":
-        strict = F.when(value.rlike(r"^(?:Mr|Mrs|Ms|Dr|Prof)"), yes).otherwise(none)
-        shape = F.when(value.rlike(r"\p{Ll}{3}$"), yes).otherwise(no)
-        gaz = F.when(value.rlike(r"^(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20"), none).otherwise(yes)
+        strict = like(r"^(?:Mr|Mrs|Ms|Dr|Prof)", 1, -1)
+        shape = like(r"\p{Ll}{3}$")
+        gaz = like(r"^(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20", -1, 1)
     elif kind == "ssn":
-        strict = F.when(value.rlike("^(?:000|666|9)|-00-|-0000$"), no).otherwise(yes)
+        strict = like("^(?:000|666|9)|-00-|-0000$", 0, 1)
     else:
-        strict = none
-        shape = F.when(F.length(F.replace(value, F.lit(" "), F.lit(""))).between(15, 34), yes).otherwise(no)
-    cue = F.when(before.rlike(CUES[kind]), yes).otherwise(none)
-    against = F.when(before.rlike(AGAINST) | before.rlike("[a-z0-9_]$"), no).otherwise(none)
-    return F.struct(*[v.cast("int").alias(n) for n, v in zip(LABELERS, (strict, shape, gaz, cue, against), strict=True)])
+        strict = f"if({_mod97(value)}, 1, 0)"
+        shape = f"if(length(replace({value}, ' ', '')) between 15 and 34, 1, 0)"
 
+    def votes(before):
+        cue = f"if({before} rlike {_text(CUES[kind])}, 1, -1)"
+        against = f"if({before} rlike {_text(AGAINST)} or {before} rlike '[a-z0-9_]$', 0, -1)"
+        return "named_struct(" + ", ".join(f"'{n}', {v}" for n, v in zip(LABELERS, (strict, shape, gaz, cue, against), strict=True)) + ")"
 
-def _kinded(kind: str, text: Column, spans: Column, base: bool) -> Column:
-    order = KINDS.index(kind)
-    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("k"), s["end"].alias("end"), _votes(text, kind, s, base).alias("v")))
+    begin = f"greatest({s}.start - {CUE_CHARS}, 0L)"
+    return _let(f"lower({_cut(begin, f'{s}.start')})", votes)
+
+
+def _kinded(kind: str, spans: str, base: bool) -> str:
+    return _map(spans, lambda s: f"named_struct('start', {s}.start, 'k', {KINDS.index(kind)}, 'end', {s}.end, 'v', {_votes(kind, s, base)})")
+
+
+def _apart(base: str, loose: str) -> str:
+    """The spans of ``loose`` that overlap none of ``base``: no base span reaches over their start or begins before their end."""
+    fields = lambda s: ", ".join(f"'{c}', {s}.{c}" for c in ("start", "k", "end", "v"))
+    tagged = lambda spans, is_base: _map(spans, lambda s: f"named_struct({fields(s)}, 'base', {is_base})")
+    both = f"array_sort(concat({tagged(base, 'true')}, {tagged(loose, 'false')}))"
+    reach = _scanned(both, "0L", lambda at, s: f"if({s}.base, greatest({at}, {s}.end), {at})")
+    left = _map(_keep(reach, lambda r: f"{r}.item.base or {r}.before <= {r}.item.start"), lambda r: f"{r}.item")
+    ahead = _scanned(f"reverse({left})", f"{(1 << 63) - 1}L", lambda at, s: f"if({s}.base, least({at}, {s}.start), {at})")
+    free = _keep(ahead, lambda r: f"not {r}.item.base and {r}.before >= {r}.item.end")
+    return f"reverse({_map(free, lambda r: f'named_struct({fields(r + ".item")})')})"
 
 
 def extract(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``base`` and ``loose``: sorted array<struct<start,k,end,v>>; k numbers KINDS.
+    """``docs`` with ``base`` and ``loose``: sorted array<struct<start,k,end,v>>; k numbers KINDS.  The text's ``chunks`` are there too.
 
     ``loose`` holds candidates that overlap no base span, card-like numbers that fail the checks among them.
     Null texts are taken as empty.  Extra columns named like the added ones must be renamed first.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    raw = docs.withColumns({f"_{k}": _spans(k, text, p, NEEDS[k]) for k, p in BASE.items()})
-    base = F.concat(*[_kinded(k, text, F.filter(F.col(f"_{k}"), _checked(k)), True) for k in BASE])
-    failed = F.filter(F.col("_card"), lambda s: F.length(_digits(s["value"])).between(13, 19) & ~_valid("card", s["value"]))
-    loose = F.concat(_kinded("card", text, failed, False), *[_kinded(k, text, _spans(k, text, p), False) for k, p in LOOSE.items()])
-    out = raw.withColumn("base", F.array_sort(base)).withColumn("_loose", F.array_sort(loose)).drop(*[f"_{k}" for k in BASE])
-    apart = F.when(F.size("_loose") == 0, F.col("_loose")).otherwise(F.filter("_loose", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))))
-    return out.withColumn("loose", apart).drop("_loose")
+    text = "coalesce(text, '')"
+    raw = {f"_{k}": _spans(k, text, p, NEEDS[k]) for k, p in BASE.items()} | {f"_loose_{k}": _spans(k, text, p) for k, p in LOOSE.items()}
+    found = docs.selectExpr("*", *[f"{e} as {c}" for c, e in raw.items()])
+    chunks = f"if({' + '.join(f'size({c})' for c in raw)} = 0, null, regexp_extract_all({text}, {_text(f'(?s).{{1,{CHUNK}}}')}, 0)) as chunks"
+    base = ", ".join(_kinded(k, _keep(f"_{k}", lambda s, k=k: _valid(k, f"{s}.value")), True) for k in BASE)
+    failed = _keep("_card", lambda s: f"length({_digits(f'{s}.value')}) between 13 and 19 and not {_valid('card', f'{s}.value')}")
+    loose = ", ".join([_kinded("card", failed, False), *[_kinded(k, f"_loose_{k}", False) for k in LOOSE]])
+    names = [f"`{c}`" for c in docs.columns]
+    out = found.selectExpr("*", chunks).selectExpr(*names, "chunks", f"array_sort(concat({base})) as base", f"array_sort(concat({loose})) as _loose")
+    return out.selectExpr(*names, "chunks", "base", f"if(size(_loose) = 0 or size(base) = 0, _loose, {_apart('base', '_loose')}) as loose")
 
 
 class Model:
@@ -183,14 +247,12 @@ class Model:
     def __init__(self, weights: dict[int, list[float]]):
         self.weights = weights
 
-    def probability(self, s: Column) -> Column:
-        out = F.lit(0.0)
+    def probability(self, s: str) -> str:
+        cases = ""
         for k, w in self.weights.items():
-            z = F.lit(w[0])
-            for j, name in enumerate(LABELERS):
-                z = z + F.when(s["v"][name] == 1, w[1 + 2 * j]).when(s["v"][name] == 0, w[2 + 2 * j]).otherwise(0.0)
-            out = F.when(s["k"] == k, 1 / (1 + F.exp(-z))).otherwise(out)
-        return out
+            z = f"{w[0]!r}D" + "".join(f" + case {s}.v.{name} when 1 then {w[1 + 2 * j]!r}D when 0 then {w[2 + 2 * j]!r}D else 0D end" for j, name in enumerate(LABELERS))
+            cases += f" when {k} then 1 / (1 + exp(-({z})))"
+        return f"case {s}.k{cases} else 0D end" if cases else "0D"
 
 
 def fit(spans: DataFrame) -> Model:
@@ -246,20 +308,19 @@ def regress(rows, post, rounds: int = 400, ridge: float = 0.5) -> list[float]:
 
 def chosen(model: Model) -> Column:
     """All spans: base ones, and accepted candidates that don't overlap an earlier accepted one; sorted."""
-    good = F.filter("loose", lambda s: model.probability(s) >= ACCEPT)
-    first = F.struct(F.lit(-1).cast("long").alias("end"), F.slice("loose", 1, 0).alias("out"))
-    step = lambda acc, s: F.when(s["start"] >= acc["end"], F.struct(s["end"].alias("end"), F.concat(acc["out"], F.array(s)).alias("out"))).otherwise(acc)
-    kept = F.when(F.size("loose") == 0, F.col("loose")).otherwise(F.aggregate(good, first, step, lambda acc: acc["out"]))
-    return F.array_sort(F.concat("base", kept))
+    good = _keep("loose", lambda s: f"{model.probability(s)} >= {ACCEPT}D")
+    ends = _scanned(good, "-1L", lambda end, s: f"if({s}.start >= {end}, {s}.end, {end})")
+    kept = _map(_keep(ends, lambda r: f"{r}.item.start >= {r}.before"), lambda r: f"{r}.item")
+    return F.expr(f"if(size(loose) = 0, base, array_sort(concat(base, {kept})))")
 
 
-def _named(s: Column) -> Column:
-    return F.concat_ws(":", F.element_at(F.array(*[F.lit(k) for k in KINDS]), s["k"] + 1), s["start"], s["end"])
+def _kind_of(s: str) -> str:
+    return f"element_at(array({', '.join(map(_text, KINDS))}), {s}.k + 1)"
 
 
-def joined(spans: Column) -> Column:
+def joined(spans: str) -> Column:
     """kind:start:end by start, then kind; comma-joined."""
-    return F.concat_ws(",", F.transform(spans, _named))
+    return F.expr(f"concat_ws(',', {_map(spans, lambda s: f'concat_ws(\':\', {_kind_of(s)}, {s}.start, {s}.end)')})")
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -278,22 +339,21 @@ def redact(docs: DataFrame) -> DataFrame:
     A null text stays null.  The model is fitted on the same documents.
     """
     names = docs.columns
-    model = fit(extract(docs.select("text")).select(F.explode(F.concat("base", "loose")).alias("s")).select("s.k", "s.v"))
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("text"))
-    spans = extract(row).withColumn("spans", chosen(model))
-    cut = lambda a, b: F.substring(F.col("text"), a.cast("int") + 1, F.greatest(b - a, F.lit(0)).cast("int"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-    mark = lambda s: F.concat(F.lit("<"), F.element_at(F.array(*[F.lit(k) for k in KINDS]), s["k"] + 1), F.lit(">"))
+    # texts are written once more with their spans, so nothing is extracted twice
+    table = common.staged(extract(row).drop("text"), "pii-redact")
+    model = fit(table.select(F.explode(F.concat("base", "loose")).alias("s")).select("s.k", "s.v"))
+    table = table.withColumn("spans", chosen(model))
     # base spans of different kinds may overlap: a span that starts inside what is already cut only extends the cut
-    step = lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(cut(acc["at"], s["start"]), mark(s))).alias("out"))).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
-    clean = F.aggregate("spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), cut(acc["at"], F.length("text").cast("long"))))
-    new = F.when(F.size("spans") == 0, F.col("text")).otherwise(clean)
-    return spans.select(*[(new if c == "text" else F.col("_row")[c]).alias(c) for c in names])
+    reach = _scanned("spans", "0L", lambda at, s: f"greatest({at}, {s}.end)")
+    pieces = _map(reach, lambda r: f"if({r}.item.start >= {r}.before, concat({_cut(f'{r}.before', f'{r}.item.start')}, '<', {_kind_of(f'{r}.item')}, '>'), '')")
+    rest = _let(f"array_max({_map('spans', lambda s: f'{s}.end')})", lambda end: _cut(end, "length(_row.text)"))
+    new = f"if(size(spans) = 0, _row.text, concat(array_join({pieces}, ''), {rest}))"
+    return table.selectExpr(*[f"{new if c == 'text' else f'_row.`{c}`'} as `{c}`" for c in names])
 
 
 def op1_pii(spark, sf_dir: str) -> DataFrame:
     """Personal data of every document: counts and digest of the base spans, and all spans."""
     found = find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    of = lambda k: lambda s: s["k"] == KINDS.index(k)
-    counts = [F.size(F.filter("base", of(k))).cast("long").alias(f"n_{k}") for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    counts = [F.expr(f"cast(size({_keep('base', lambda s, k=k: f'{s}.k = {KINDS.index(k)}')}) as bigint) as n_{k}") for k in BASE]
+    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))

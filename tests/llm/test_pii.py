@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ CASES = [
 
 def base_text(spark, rows):
     data = docs(spark, rows)
-    return [(r["doc_id"], r["b"]) for r in P.extract(data.select("doc_id", "text")).select("doc_id", P.joined(F.col("base")).alias("b")).collect()]
+    return [(r["doc_id"], r["b"]) for r in P.extract(data.select("doc_id", "text")).select("doc_id", P.joined("base").alias("b")).collect()]
 
 
 def test_base_spans_equal_the_patterns(spark):
@@ -53,7 +54,7 @@ def test_base_spans_equal_the_patterns(spark):
 def test_candidates_are_added_and_base_stays(spark):
     rows = [(k, f"please call +1 (212) 555-{1000 + k} or mail me{k}@site.com now") for k in range(80)]
     rows += [(200, "please call (212) 555-9999 today"), (201, "write to joe [at] site [dot] com"), (202, "token 4111111111111112"), (203, "nothing at all"), (204, None)]
-    found = {r["doc_id"]: r["s"] for r in P.find(docs(spark, rows)).select("doc_id", P.joined(F.col("spans")).alias("s")).collect()}
+    found = {r["doc_id"]: r["s"] for r in P.find(docs(spark, rows)).select("doc_id", P.joined("spans").alias("s")).collect()}
     assert len(found) == len(rows)
     assert all(set(filter(None, brute(t).split(","))) <= set(filter(None, found[d].split(","))) for d, t in rows)
     assert found[200] == "phone:12:26" and found[202] == found[203] == found[204] == ""
@@ -93,8 +94,21 @@ def test_gates_lose_no_match(spark):
     texts = ["signed María Lopez, today", "Dr García", "Mrs. Muñoz and José Peña", "Prof. Łukasz", "Carlos Ruiz", "Drive On", "NoDr Who", "a [at] b [dot] c", "(212) 555-9999", "123-45-6789", "DE89 3704 0044 0532 0130 00", ""]
     data = docs(spark, list(enumerate(texts)))
     for kind, pattern in P.LOOSE.items():
-        for r in data.select("text", P._spans(kind, F.col("text"), pattern).alias("gated"), P._matches(F.col("text"), pattern).alias("all")).collect():
+        for r in data.select("text", F.expr(P._spans(kind, "text", pattern)).alias("gated"), F.expr(P._matches("text", pattern)).alias("all")).collect():
             assert r["gated"] == r["all"], (kind, r["text"])
-    names = {r["text"]: [x["value"] for x in r["s"]] for r in data.select("text", P._spans("name", F.col("text"), P.LOOSE["name"]).alias("s")).collect()}
+    names = {r["text"]: [x["value"] for x in r["s"]] for r in data.select("text", F.expr(P._spans("name", "text", P.LOOSE["name"])).alias("s")).collect()}
     assert names["signed María Lopez, today"] == ["María Lopez"] and names["Dr García"] == ["Dr García"]
     assert names["Mrs. Muñoz and José Peña"] == ["Mrs. Muñoz", "José Peña"] and names["NoDr Who"] == []
+
+
+def test_very_many_matches(spark):
+    texts = ["12345 " * 200_000, "ab@cd.ef " * 200_000, "1.2.3.4 " * 200_000, "4111111111111111, " * 50_000, "Dr Miller +1 (212) 555-1234 a@b.co 10.0.0.1 " * 20_000]
+    data = docs(spark, list(enumerate(texts)))
+    path = P.common.staged(data, "many")
+    began = time.monotonic()
+    got = {r["doc_id"]: (r["b"], r["s"]) for r in P.find(path).select("doc_id", F.size("base").alias("b"), F.size("spans").alias("s")).collect()}
+    assert got[0][0] == 0 and got[1][0] == got[2][0] == 200_000 and got[3][0] == 50_000 and got[4][0] == 60_000
+    clean = {r["doc_id"]: r["text"] for r in P.redact(path).select("doc_id", "text").collect()}
+    assert clean[1] == "<email> " * 200_000 and clean[2] == "<ip> " * 200_000 and clean[3] == "<card>, " * 50_000
+    assert "<phone> <email> <ip>" in clean[4] and "@" not in clean[4]
+    assert time.monotonic() - began < 180
