@@ -30,6 +30,8 @@ BLOCK = 2_048
 PAIRS_PER_KEY = 256
 #: Documents whose ids are broadcast to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Rounds that finding components may take; the paths in them shorten by a constant factor a round.
+MAX_ROUNDS = 100
 #: Bits of a set's bitmap for each shingle, rounded up to a power of two.
 BITS_PER_SHINGLE = 4
 
@@ -64,7 +66,7 @@ def bound(n: np.ndarray, maps: np.ndarray, m: int, one: np.ndarray, percent: int
 
 
 def signatures(docs: DataFrame, n: int) -> DataFrame:
-    """SIGNATURE of each row with a doc_id; no words: 0 shingles, no digest and no groups."""
+    """SIGNATURE of each row; no words: 0 shingles, no digest and no groups."""
 
     def run(batches):
         import xxhash
@@ -86,7 +88,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.binary()), strict=True)], names=["doc_id", "text_hash", "n_shingles", "digest", "groups", "bitmap"])
 
-    return docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, SIGNATURE)
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, SIGNATURE)
 
 
 def table_keys(classes: DataFrame) -> DataFrame:
@@ -104,7 +106,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     old, paths = None, []
     path = common.staged_path(spark, name)
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    for step in range(100):
+    for step in range(MAX_ROUNDS):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         e = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -118,6 +120,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         if now == old:
             break
         old = now
+    else:
+        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
@@ -140,7 +144,7 @@ def bounded(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, heads: DataFrame, n: int, percent: int, path: str) -> DataFrame:
-    """The pairs (a, b) whose full sets are linked, as a table at ``path``.  heads: (id, text_hash), docs: doc_id, text.
+    """The pairs (a, b) whose full sets are linked, as a table at ``path``.  heads: (id, doc_id, text_hash), docs: doc_id, text.
 
     The first document of a pair may have many partners: its text goes to as many keys as it has PAIRS_PER_KEY pairs.
     """
@@ -148,10 +152,11 @@ def verified(pairs: DataFrame, docs: DataFrame, heads: DataFrame, n: int, percen
     pairs = common.staged(pairs, "pairs", path + "-pairs")
     ids = pairs.select("a").unionByName(pairs.selectExpr("b as a")).distinct().withColumnRenamed("a", "id").join(heads, "id")
     ids = common.staged(ids, "ids", path + "-ids")
-    named = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"), "text")
+    named = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").alias("d")
     small = ids.count() <= BROADCAST_IDS
-    texts = named.join(F.broadcast(ids) if small else ids, ["id", "text_hash"], "left_semi")
-    texts = common.staged(texts.select("id", "text"), "texts", path + "-texts").dropDuplicates(["id"])
+    wanted = (F.broadcast(ids) if small else ids).alias("w")
+    texts = named.join(wanted, F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.text_hash") == F.col("w.text_hash"))).select("w.id", "d.text")
+    texts = common.staged(texts, "texts", path + "-texts").dropDuplicates(["id"])
     counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
     parts = F.ceil(F.col("n") / PAIRS_PER_KEY).cast("long")
     first = counts.join(texts, counts.a == texts.id).select("a", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "text")
@@ -254,27 +259,18 @@ def _pairs(found):
     return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each distinct doc_id of ``docs`` (doc_id, text).
+def classes(docs: DataFrame, n: int, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, str]:
+    """Members, links and the path of their tables, for each row of ``docs`` (doc_id, text).
 
-    Links are those of 100 * intersection >= percent * union of the n-word shingle sets; a component's id is its
-    smallest doc_id.  Null, empty and wordless texts have no shingles and stand alone.  Fewer than n words are one
-    shingle.  Rows with a null doc_id can't be named and are left out; of rows that repeat a doc_id the one with most
-    shingles counts (then the smallest digest).  Other columns are not read.
+    Members are (doc_id, text_hash, n_shingles, id): equal sets are one class ``id``, a hash of the set; null without words.
+    Links (a, b) are pairs of classes that are linked, enough of them to join all that are.
     """
-    spark = docs.sparkSession
-    path = common.staged_path(spark, "near")
-    sig = common.staged(signatures(docs, n), "near", path)
-    # repeated ids: one row stands for each
-    one = sig.groupBy("doc_id").agg(F.max(F.struct("n_shingles", "digest", "text_hash")).alias("s")).select("doc_id", "s.*")
-    # members: (doc_id, n_shingles, id); id, a class, is the smallest doc_id of equal sets
-    smallest = one.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"))
-    same = one.where("digest is not null").join(smallest, "digest").select("doc_id", "n_shingles", "id", "text_hash")
-    member = same.unionByName(one.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("id"), "text_hash"))
-    member = common.staged(member, "near-member", path + "-member")
-    heads = member.where("doc_id = id and n_shingles > 0").select("id", "text_hash")
-    of = sig.select(F.col("doc_id").alias("id"), "text_hash", F.col("n_shingles").alias("n"), "groups", "bitmap").join(heads, ["id", "text_hash"], "left_semi")
-    of = common.staged(of.dropDuplicates(["id"]), "near-classes", path + "-classes")
+    path = common.staged_path(docs.sparkSession, "near")
+    sig = common.staged(signatures(docs, n), "near", path).withColumn("id", F.when(F.col("digest").isNotNull(), F.xxhash64("digest")))
+    member = sig.select("doc_id", "text_hash", "n_shingles", "id")
+    one = sig.where("id is not null").groupBy("id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("head"), F.first("n_shingles").alias("n"), F.first("groups").alias("groups"), F.first("bitmap").alias("bitmap"))
+    of = common.staged(one.select("id", "head.doc_id", "head.text_hash", "n", "groups", "bitmap"), "near-classes", path + "-classes")
+    heads = of.select("id", "doc_id", "text_hash")
     keys = table_keys(of)
     shared = keys.groupBy("key").agg(F.count("*").alias("rows"), F.min("id").alias("p"), F.max("id").alias("q")).where("p <> q")
     shared = common.staged(shared, "near-shared", path + "-shared")
@@ -293,11 +289,58 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = PERCENT) -> Data
     for step, most in ((1, 1), (2, None)):
         comp = common.staged(components(links, "near-component"), "near-comp", f"{path}-comp{step}")
         links = links.unionByName(verified(_candidates(bucket, comp, maps, percent, most), docs, heads, n, percent, f"{path}-links{step}"))
-    comp = components(links, "near-component")
-    out = member.join(comp, "id", "left").select("doc_id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    return member, links, path
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each distinct doc_id of ``docs`` (doc_id, text).
+
+    Links are those of 100 * intersection >= percent * union of the n-word shingle sets; a component's id is its
+    smallest doc_id.  Null, empty and wordless texts have no shingles and stand alone.  Fewer than n words are one
+    shingle.  Rows with a null doc_id can't be named and are left out.  Rows that repeat a doc_id are one document: it is
+    linked with all that any of its texts is linked with, and n_shingles is that of its largest set.  Other columns are not read.
+    """
+    docs = docs.where("doc_id is not null")
+    member, links, path = classes(docs, n, percent)
+    one = member.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("id").alias("id"), F.max("id").alias("other"))
+    one = common.staged(one, "near-member", path + "-member")
+    # the classes of one document's texts belong together
+    several = member.join(one.where("id <> other").select("doc_id", F.col("id").alias("a")), "doc_id").where("id <> a").select("a", F.col("id").alias("b"))
+    comp = components(links.unionByName(several), "near-component")
+    least = one.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).join(comp, "id", "left")
+    least = common.staged(least.select("id", "least", "rows", F.coalesce("component", "id").alias("component")), "near-least", path + "-least")
+    whole = least.groupBy("component").agg(F.min("least").alias("component_id"), F.sum("rows").alias("total")).where("total > 1")
+    named = common.staged(least.join(whole, "component").select("id", "component_id"), "near-named", path + "-named")
+    named = F.broadcast(named) if named.count() <= BROADCAST_IDS else named
+    out = one.join(named, "id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def deduplicated(docs: DataFrame, n: int = 5, percent: int = PERCENT) -> DataFrame:
+    """``docs`` (doc_id, text and any others) with one row of each group of linked texts, that of the smallest doc_id.
+
+    Rows are told apart by doc_id and text: different texts under one doc_id are rows of their own, and of rows with the
+    same doc_id and text one stays, also without words.  Otherwise wordless and null texts all stay.  Null doc_ids come last.
+    """
+    member, links, path = classes(docs, n, percent)
+    comp = components(links, "near-component")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    least = member.where("id is not null").groupBy("id").agg(F.min(key).alias("least"), F.count("*").alias("rows")).join(comp, "id", "left")
+    least = common.staged(least.select("id", "least", "rows", F.coalesce("component", "id").alias("component")), "near-least", path + "-least")
+    whole = least.groupBy("component").agg(F.min("least").alias("head"), F.sum("rows").alias("total")).where("total > 1")
+    named = common.staged(least.join(whole, "component").select("id", "head"), "near-named", path + "-named")
+    named = F.broadcast(named) if named.count() <= BROADCAST_IDS else named
+    same = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("text_hash") == F.col("head.text_hash"))
+    gone = member.join(named, "id").where(~same).select("doc_id", "text_hash").distinct()
+    gone = common.staged(gone, "near-gone", path + "-gone")
+    less = (F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone).alias("g")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("i"), F.xxhash64("text").alias("h"))
+    left = row.join(less, F.col("i").eqNullSafe(F.col("g.doc_id")) & (F.col("h") == F.col("g.text_hash")), "left_anti")
+    if member.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():
+        left = left.dropDuplicates(["i", "h"])
+    return left.select("row.*")
+
+
 def _once(pairs: DataFrame) -> DataFrame:
     """Each unordered pair once; which document comes first is kept from one of the rows."""
     low = pairs.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min("a").alias("a"))
@@ -308,17 +351,17 @@ def _candidates(bucket: DataFrame, comp: DataFrame, maps: DataFrame, percent: in
     """Pairs of classes that share a key, lie in different components and may be linked by their bitmaps."""
     sizes = comp.groupBy("component").agg(F.count("*").alias("members"))
     comp = comp.join(sizes, "component")
-    row = bucket.select("key", "t", "id", "rows").join(comp, "id", "left").select("key", "t", "id", "rows", F.coalesce("component", "id").alias("component"), F.coalesce("members", F.lit(1)).alias("members"))
+    row = bucket.select("key", "t", "id").join(comp, "id", "left").select("key", "t", "id", F.coalesce("component", "id").alias("component"), F.coalesce("members", F.lit(1)).alias("members"))
     # the largest component of a bucket is compared with by the others, not within itself
-    per = row.groupBy("key").agg(F.max(F.struct("members", "component")).alias("main"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    mixed = per.where("lo <> hi").select("key", F.col("main.component").alias("main"))
+    per = row.groupBy("key", "component").agg(F.max("members").alias("members"), F.count("*").alias("here")).groupBy("key").agg(F.max(F.struct("members", "component", "here")).alias("main"), F.sum("here").alias("rows"))
+    mixed = per.where("rows > main.here").select("key", F.col("main.component").alias("main"), "rows", (F.col("rows") - F.col("main.here")).alias("asking"))
     row = row.join(mixed, "key").withColumn("wanted", F.col("component") != F.col("main"))
-    blocks = F.ceil(F.col("rows") / BLOCK).cast("long")
-    own = F.pmod(F.xxhash64("id", F.lit(3)), blocks)
-    every = F.sequence(F.lit(0).cast("long"), blocks - 1)
     # a grid of blocks: the wanted rows of block x meet all rows of block y
-    asks = row.where("wanted").select("key", "t", own.alias("x"), F.explode(every).alias("y"), F.lit(True).alias("ask"), "wanted", "id", "component")
-    told = row.select("key", "t", F.explode(every).alias("x"), own.alias("y"), F.lit(False).alias("ask"), "wanted", "id", "component")
+    wide, high = (F.ceil(F.col(c) / BLOCK).cast("long") for c in ("asking", "rows"))
+    own = lambda blocks: F.pmod(F.xxhash64("id", F.lit(3)), blocks)
+    every = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
+    asks = row.where("wanted").select("key", "t", own(wide).alias("x"), every(high).alias("y"), F.lit(True).alias("ask"), "wanted", "id", "component")
+    told = row.select("key", "t", every(wide).alias("x"), own(high).alias("y"), F.lit(False).alias("ask"), "wanted", "id", "component")
     dealt = asks.unionByName(told).join(maps, "id").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
     found = dealt.select("key", "x", "y", "t", "ask", "wanted", "id", "component", "n", "bitmap", "groups").mapInArrow(_block_survivors(percent, most), "a long, b long")
     return found.distinct()

@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 1024
-#: Rests in a shard at most; an index of so many stays within some 100 MB.
-SHARD_ROWS = 2_048
+#: Rests in a shard at most; an index of so many stays within some 200 MB.
+SHARD_ROWS = 4_096
 #: Dimensions of the projection, rests that the tree of centroids is fitted on, children of its nodes, leaves for each shard.
 DIMENSIONS, SAMPLE, FANOUT, LEAVES = 64, 32_768, 8, 1
 #: Rests of a partition on average, of which one shard at a time is in memory.
-PARTITION_ROWS = 32_768
+PARTITION_ROWS = 16_384
 #: BM25's saturation and length weights.
 K1, B = 1.2, 0.75
 #: The token that ends every document, and the tokenizer file.

@@ -96,3 +96,29 @@ def test_components_of_chains_and_stars(spark):
     got = {r["id"]: r["component"] for r in M.components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
     assert got == {i: 0 for i in range(51)} | {i: 100 for i in range(100, 140)} | {200: 200, 201: 200}
     assert M.components(spark.createDataFrame([], "a long, b long"), "t").count() == 0
+
+
+def test_repeated_ids_keep_their_links(spark):
+    r = random.Random(7)
+    a, b, c = (" ".join("w" + str(r.randrange(500)) for _ in range(60)) for _ in range(3))
+    got = by_id(M.near_duplicates(docs(spark, [(5, a), (5, b), (9, b), (7, c), (3, c), (3, c)]), 2))
+    assert {d: g["component_id"] for d, g in got.items()} == {5: 5, 9: 5, 7: 3, 3: 3}
+
+
+def test_deduplicated_rows(spark):
+    r = random.Random(8)
+    a, b, c = (" ".join("w" + str(r.randrange(500)) for _ in range(60)) for _ in range(3))
+    rows = [(5, a), (5, b), (9, b), (9, a + " more"), (7, c), (3, c), (3, c), (None, c), (None, "alone in here"), (1, None), (1, None), (2, ""), (4, "")]
+    out = M.deduplicated(docs(spark, rows), 5)
+    assert out.columns == docs(spark, rows).columns
+    assert sorted(map(repr, ((x["doc_id"], x["text"]) for x in out.collect()))) == sorted(map(repr, [(5, a), (5, b), (3, c), (None, "alone in here"), (1, None), (2, ""), (4, "")]))
+    assert M.deduplicated(docs(spark, []), 5).count() == 0
+
+
+def test_rounds_that_never_settle_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(M, "MAX_ROUNDS", 1)
+    try:
+        M.components(spark.createDataFrame([(i, i + 1) for i in range(9)], "a long, b long"), "t").count()
+    except RuntimeError:
+        return
+    raise AssertionError("an unfinished result")
