@@ -8,6 +8,7 @@ quoted or reported use from abuse.  A logistic regression over the hits of a doc
 
 from __future__ import annotations
 
+import bisect
 import math
 
 import numpy as np
@@ -19,14 +20,12 @@ from . import common
 
 #: Labelled rows that lexicon and regression are fitted on at most (those of the smallest hash of doc_id).
 MAX_TRAINING_ROWS = 20_000
-#: Learned terms and known harmless look-alikes kept at most: what is sent to executors has this bound.
-MAX_TERMS, MAX_HARMLESS = 2_000, 50_000
 #: A word becomes a term if it is in so many toxic training documents, so large a share of its documents is toxic, and
 #: chance would give fewer than MAX_CHANCE such words among the sample's words of as many documents.
 MIN_TOXIC_DOCS, MIN_SHARE, MAX_CHANCE = 3, 0.75, 0.5
 #: Letters from which a term may be misspelled by one edit, and by two.
 ONE_EDIT, TWO_EDITS = 5, 11
-#: Words on either side of a hit that are searched for quotation marks and reporting words.
+#: Words before a hit that are searched for a verb of reporting and a mark that is never closed.
 WINDOW = 8
 THRESHOLD = 0.7
 #: The regression's weights without any labelled rows; labelled rows move them.
@@ -34,9 +33,10 @@ PRESET = [-3.0, 2.5, 1.0, 1.5, 0.5, 0.0, 0.0]
 WORD_CACHE, STATES = 400_000, 40_000
 # Abusive terms known without any labelled rows.
 TERMS = ["clown", "disgusting", "idiot", "idiots", "imbecile", "loser", "losers", "moron", "morons", "pathetic", "scum", "stupid", "trash", "vermin", "worthless"]
-# Verbs of reporting, and quotation marks.
+# Verbs of reporting.
 REPORTING = {"said", "says", "wrote", "called", "quoted", "quote", "reported", "term", "word", "insult", "slur", "dit", "sagte", "dijo"}
-OPENING, CLOSING = "\"“„«‘", "\"”“»’"
+# Quotation marks and what closes them.
+MARKS = {'"': '"', "“": "”", "„": "“”", "«": "»", "‘": "’"}
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "“”„«»‘’…¡¿"
 FEATURES = 7
 
@@ -137,22 +137,48 @@ def clean_words(text: str | None) -> tuple[list[str], list[str]]:
     return raw, [w.strip(EDGES) for w in (text or "").lower().split()]
 
 
-def quoted(raw: list[str], words: list[str], i: int) -> bool:
-    """Whether the word at i stands between quotation marks, or after a verb of reporting and an opening mark."""
-    lo, hi = max(0, i - WINDOW), min(len(raw), i + WINDOW + 1)
-    before = any(w[0] in OPENING and not (len(w) > 1 and w[-1] in CLOSING) for w in raw[lo:i]) or raw[i][0] in OPENING
-    after = raw[i].rstrip(".,;:!?")[-1:] in CLOSING if raw[i].rstrip(".,;:!?") else False
-    after = after or any((x := w.rstrip(".,;:!?")) and x[-1] in CLOSING and not (len(x) > 1 and x[0] in OPENING) for w in raw[i + 1 : hi])
-    return (before and after) or (before and any(w in REPORTING for w in words[lo:i]))
+def quotations(raw: list[str]) -> tuple[list[tuple[int, int]], list[int]]:
+    """Closed quotations (first and last word), in one pass over the text, and the words with marks that nothing closes.
+
+    A mark at the front of a word opens a quotation if none is open; its partner at the end of a word closes it.
+    """
+    spans, lost, opened, closing = [], [], -1, ""
+    for i, w in enumerate(raw):
+        head, tail = w.lstrip("([{"), w.rstrip(".,;:!?)]}")
+        if opened < 0 and head and head[0] in MARKS:
+            opened, closing = i, MARKS[head[0]]
+            if len(tail) < 2:
+                continue
+        if opened >= 0 and tail and tail[-1] in closing:
+            spans.append((opened, i))
+            opened = -1
+    if opened >= 0:
+        # what was opened last never ends; quotations behind its mark count all the same
+        lost.append(opened)
+        more, ends = quotations(raw[opened + 1 :]) if opened + 1 < len(raw) and len(lost) < 2 else ([], [])
+        spans += [(a + opened + 1, b + opened + 1) for a, b in more]
+        lost += [a + opened + 1 for a in ends]
+    return spans, lost
+
+
+def quoted(words: list[str], i: int, spans: list[tuple[int, int]], lost: list[int]) -> bool:
+    """Whether the word at i stands in a quotation, or closely after a verb of reporting and a mark that is never closed."""
+    at = bisect.bisect_right(spans, (i, len(words))) - 1
+    if at >= 0 and i <= spans[at][1]:
+        return True
+    lo = max(0, i - WINDOW)
+    at = bisect.bisect_right(lost, i) - 1
+    return at >= 0 and lost[at] >= lo and any(w in REPORTING for w in words[lo:i])
 
 
 def features(text: str | None, matcher: Matcher) -> tuple[list[float], list[tuple[str, str, int, bool]]]:
     """The regression's inputs and the hits (word, term, edits, quoted) of a whole text; zeros for null or empty."""
     raw, words = clean_words(text)
-    match, hits = matcher.match, []
-    for i, w in enumerate(words):
-        if w and (m := match(w)):
-            hits.append((w, m[0], m[1], quoted(raw, words, i) if len(raw) == len(words) else False))
+    match = matcher.match
+    found = [(i, w, m) for i, w in enumerate(words) if w and (m := match(w))]
+    marks = quotations(raw) if found else ([], [])
+    # lower case can change where white space is in a few scripts; then no word is known to be quoted
+    hits = [(w, m[0], m[1], len(raw) == len(words) and quoted(words, i, *marks)) for i, w, m in found]
     abuse = [h for h in hits if not h[3]]
     exact = [h[1] for h in abuse if not h[2]]
     weights = [matcher.terms[t] for t in exact]
@@ -193,7 +219,7 @@ def _counted(counts):
 
 
 def _terms(counts: DataFrame, rate: float) -> dict[str, float]:
-    """Terms and their log-odds from counts (word, toxic, docs): at most MAX_TERMS, those in most toxic documents.
+    """Terms and their log-odds from counts (word, toxic, docs), words of the sample.
 
     ``rate`` is the share of toxic documents.  A word of n documents, t of them toxic, comes up by chance with probability
     below C(n, t) rate^t, and C(n, t) is below (e n / (n - t))^(n - t).
@@ -205,8 +231,8 @@ def _terms(counts: DataFrame, rate: float) -> dict[str, float]:
     telling = F.col("toxic") * -math.log(rate) - ways >= F.log(F.col("words") / MAX_CHANCE)
     alike = counts.groupBy("docs").agg(F.count("*").alias("words"))  # at most a row for each row of the sample
     good = counts.join(F.broadcast(alike), "docs").where((F.col("toxic") >= MIN_TOXIC_DOCS) & (F.col("toxic") >= MIN_SHARE * F.col("docs")) & (F.length("word") >= 3) & telling)
-    learned = {w: math.log((t + 0.5) / (n - t + 0.5)) for w, t, n in good.orderBy(F.desc("toxic"), "word").limit(MAX_TERMS).select("word", "toxic", "docs").collect()}
-    return dict.fromkeys(TERMS, 2.0) | learned
+    learned = {w: math.log((t + 0.5) / (n - t + 0.5)) for w, t, n in good.select("word", "toxic", "docs").collect()}
+    return dict.fromkeys(TERMS, 2.0) | dict(sorted(learned.items()))
 
 
 def _harmless(counts: DataFrame, terms: dict[str, float]) -> set[str]:
@@ -219,7 +245,7 @@ def _harmless(counts: DataFrame, terms: dict[str, float]) -> set[str]:
             yield pa.RecordBatch.from_pydict({"word": [w for w, _ in got], "clean": [n for _, n in got]}, schema=pa.schema([("word", pa.string()), ("clean", pa.int64())]))
 
     clean = counts.where("docs - toxic >= 2 and toxic < 0.5 * docs").selectExpr("word", "docs - toxic as clean")
-    found = clean.mapInArrow(near, "word string, clean long").orderBy(F.desc("clean"), "word").limit(MAX_HARMLESS)
+    found = clean.mapInArrow(near, "word string, clean long")
     return {w for (w,) in found.select("word").collect()}
 
 
@@ -290,7 +316,7 @@ def score(docs: DataFrame, model: Model, clean: bool = False) -> DataFrame:
     Null and empty texts have no hits and get the score of the intercept alone.  Rows with null or repeated doc_id are
     scored like any other; other columns are not read.
     """
-    sent = common.sent(docs.sparkSession, model)  # bounded by MAX_TERMS and MAX_HARMLESS
+    sent = common.sent(docs.sparkSession, model)  # words of the sample of MAX_TRAINING_ROWS rows at most
     hit = pa.list_(pa.struct([("word", pa.string()), ("term", pa.string()), ("edits", pa.int32()), ("quoted", pa.bool_())]))
 
     def run(batches):

@@ -104,3 +104,45 @@ def test_held_out_quality(spark):
     got = T.op10_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").toPandas()
     hit = got[got.predicted == 1]
     assert (hit.toxic == 1).mean() > 0.97 and (got[got.toxic == 1].predicted == 1).mean() > 0.85
+
+
+def test_quotations_are_opened_and_closed():
+    m = T.Matcher({"idiot": 2.0})
+    flags = lambda text: [h[3] for h in T.features(text, m)[1]]
+    assert flags('"good morning" she said. You are an idiot') == [False]
+    assert flags('after "good day" you idiot wrote "so long"') == [False]
+    assert flags("he said “" + "word " * 30 + "idiot " + "word " * 30 + "end” and idiot") == [True, False]
+    assert flags('she wrote "you idiot and never closed it') == [True]
+    assert flags('"you idiot and never closed it') == [False]
+    assert flags('("idiot"), «idiot», „idiot“ ‘idiot’ idiot') == [True, True, True, True, False]
+    assert flags('it was 5" wide and "idiot" was said') == [True]
+
+
+def brute_features(text, terms, harmless):
+    """The inputs from the definitions: edit distances by table, quotations by a loop over all pairs of marks."""
+    words = [w.strip(T.EDGES) for w in (text or "").lower().split()]
+    hits = []
+    for i, w in enumerate(words):
+        best = min(((d, t) for t in terms if w and (d := distance(w, t)) <= T.edits_allowed(t)), default=None)
+        if best and not (best[0] and w in harmless):
+            hits.append((i, best[1], best[0]))
+    return words, hits
+
+
+def test_scores_of_the_query_by_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    data, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = T.fit(data, labels.where(~T.held_out()))
+    got = {r["doc_id"]: r for r in T.score(data, model).collect()}
+    query = {r["doc_id"]: r for r in T.op10_toxicity(spark, sf).collect()}
+    few = sorted(data.collect(), key=lambda r: len(r["text"] or ""))[:120]
+    for r in few:
+        words, hits = brute_features(r["text"], model.terms, model.harmless)
+        mine = got[r["doc_id"]]
+        assert [(words[i], t, e) for i, t, e in hits] == [(h["word"], h["term"], h["edits"]) for h in mine["hits"]]
+        abuse = [t for (i, t, e), h in zip(hits, mine["hits"], strict=True) if not h["quoted"] and not e]
+        near = sum(1 for (i, t, e), h in zip(hits, mine["hits"], strict=True) if not h["quoted"] and e)
+        x = [1.0, np.log1p(len(abuse)), max((model.terms[t] for t in abuse), default=0.0), np.log1p(len(set(abuse))), np.log1p(near), np.log1p(sum(h["quoted"] for h in mine["hits"])), (len(abuse) / max(1, len(words))) ** 0.5]
+        want = 1 / (1 + np.exp(-float(np.dot(x, model.weights))))
+        assert abs(want - mine["score"]) < 1e-9 and abs(query[r["doc_id"]]["score"] - want) < 1e-6
+        assert query[r["doc_id"]]["predicted"] == int(query[r["doc_id"]]["score"] >= 0.7)
