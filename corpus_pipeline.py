@@ -21,17 +21,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component, that of the smallest doc_id; rows without a doc_id stay.
-
-    Rows that repeat a doc_id are copies too: one of them stays.
-    """
-    found = common.staged(minhash.near_duplicates(docs, SHINGLE_WORDS).select("doc_id", "kept"), "dedup")
-    gone = found.where("not kept").select("doc_id")
-    small = gone.count() <= minhash.BROADCAST_IDS
-    left = docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*docs.columns)
-    if found.count() < docs.where("doc_id is not null").count():
-        left = left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
-    return left
+    """One document of each group of near duplicates, that of the smallest doc_id; other texts under one doc_id stay apart."""
+    return minhash.deduplicated(docs, SHINGLE_WORDS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
