@@ -21,8 +21,6 @@ BUCKETS = 1 << 16
 SWITCH_PENALTY = 12.0
 #: Labelled rows that the model is fitted on at most (those of the smallest hash of doc_id).
 MAX_TRAINING_ROWS = 20_000
-#: Languages that a model may have; more is an error, since the model is sent to every executor.
-MAX_LANGUAGES = 500
 #: Words whose scores a worker remembers at once.
 SCORE_CACHE = 400_000
 # First and last code points of scripts, by Unicode blocks.
@@ -111,17 +109,16 @@ class Model:
 def fit(labelled: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> Model:
     """Fit on (doc_id, text, lang) rows with a label; ``max_rows`` of the smallest hash of doc_id bound the sample.
 
-    Counts are summed in Spark by language and hash bucket, so at most BUCKETS rows a language reach the driver.
+    Counts are summed in Spark by language and hash bucket, so at most BUCKETS rows a language reach the driver; the model
+    has half a megabyte for each language of the sample.
     Without any labelled row the model has no language and every text is ``und``.
     """
     named = labelled.where("lang is not null and text is not null").select("doc_id", "lang", "text")
     ids = named.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     sample = named.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("lang", "text")  # at most max_rows ids
     counts = sample.mapInArrow(_count_batches, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    languages = sorted(r[0] for r in counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     got = counts.toPandas()
+    languages = sorted(set(got.lang))
     at = {x: i for i, x in enumerate(languages)}
     names = sorted({s[0] for s in SCRIPTS})
     n = np.zeros((BUCKETS, len(languages)))
@@ -206,7 +203,16 @@ def label_words(words: list[str], scores: _Scores) -> tuple[str, float, list[tup
     best = int(by.argmax())
     cuts = np.flatnonzero(np.diff(path)) + 1
     spans = [(scores.model.languages[path[a]], int(a), int(b)) for a, b in zip([0, *cuts], [*cuts, len(path)], strict=True)]
-    return scores.model.languages[best], float(by[best] / by.sum()), spans
+    return scores.model.languages[best], float(by[best] / by.sum()) * _certainty(scores.matrix[ids[path == best]], best), spans
+
+
+def _certainty(s: np.ndarray, best: int) -> float:
+    """Logistic of the mean log-odds a word of the best language against the next; 1 if there is no other."""
+    if s.shape[1] < 2:
+        return 1.0
+    mean = s.sum(axis=0) / max(1, int(s.any(axis=1).sum()))
+    margin = mean[best] - np.delete(mean, best).max()
+    return float(1 / (1 + np.exp(-np.clip(margin, -30, 30))))
 
 
 SPAN = "array<struct<lang:string,first:long,last:long>>"
@@ -216,9 +222,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score and spans of every row of ``docs`` (doc_id, text; other columns are not read).
 
     Null, empty and letterless texts are ``und`` with score 0 and no spans.  Rows with a null or repeated doc_id are
-    labelled like any other.  ``score`` is the share of letters that the predicted language covers.
+    labelled like any other.  ``score`` is the share of letters that the predicted language covers, times how clearly
+    its words are that language's: the logistic of their mean log-odds against the next language.
     """
-    sent = common.sent(docs.sparkSession, model)  # bounded: BUCKETS x MAX_LANGUAGES numbers at most
+    sent = common.sent(docs.sparkSession, model)  # bounded: BUCKETS numbers for each language of the sample
     spans = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int64()), ("last", pa.int64())]))
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("spans", spans)])
 

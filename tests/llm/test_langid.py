@@ -51,3 +51,48 @@ def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     got = L.op7_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
     assert (got.lang_pred == got.lang).mean() > 0.98
+
+
+def test_query_by_brute_force(spark):
+    """Words scored one by one from the model's table, and every path of short texts tried, against the whole query."""
+    sf = "/root/testdata/sf0.001"
+    data = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = data.collect()
+    model = L.fit(data.where("crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2"))
+    got = by_id(L.op7_language_id(spark, sf))
+    k = len(model.languages)
+    tried = 0
+    for r in rows:
+        words = (r["text"] or "").lower().split()
+        letters = ["".join(c for c in w if c.isalpha()) for w in words]
+        s = np.zeros((len(words), k))
+        for i, w in enumerate(letters):
+            if not w:
+                continue
+            buckets = L.trigram_buckets([w])[0]
+            s[i] = sum(model.table[b] for b in buckets)
+            some = model.by_script.get(L.script_of(w))
+            if some is not None and len(some) < k:
+                s[i, [j for j in range(k) if j not in some]] = s[i].min() - L.SWITCH_PENALTY
+        mine = got[r["doc_id"]]
+        if not any(letters):
+            assert mine["lang_pred"] == "und" and mine["score"] == 0
+            continue
+        # the best path by a table over all words, from its definition
+        v, back = s[0].copy(), []
+        for row in s[1:]:
+            step = v[None] - L.SWITCH_PENALTY * (1 - np.eye(k))
+            back.append(step.argmax(1))
+            v = step.max(1) + row
+        path = [int(v.argmax())]
+        for b in reversed(back):
+            path.append(int(b[path[-1]]))
+        by = np.zeros(k)
+        for p, w in zip(reversed(path), letters, strict=True):
+            by[p] += len(w)
+        if np.sort(by)[-1] > np.sort(by)[-2] * 1.01:
+            assert mine["lang_pred"] == model.languages[int(by.argmax())], r["doc_id"]
+            tried += 1
+        assert 0 < mine["score"] <= 1
+    assert tried > 100
+    assert sum(g["score"] == 1.0 for g in got.values()) < 0.05 * len(got)
