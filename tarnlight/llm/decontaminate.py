@@ -18,8 +18,10 @@ from . import common
 
 #: Words in the shortest tile, and the share of an item's words that tiles must cover.
 MIN_MATCH, MIN_COVERAGE = 5, 0.5
-#: Words of benchmark items that one block holds at most; blocks are broadcast one after another.
+#: Words of benchmark items that one block holds on average; each block has a pass of its own over the documents.
 BLOCK_WORDS = 2_000_000
+#: Periods, in words, of repetition that is thinned out.
+PERIODS = 8
 #: The rolling hash's base (odd, so that it has an inverse modulo 2^64).
 BASE = 0x9E3779B97F4A7C15
 MARKS = b"".join(bytes([c]) for c in range(33, 127) if not chr(c).isalnum())
@@ -55,6 +57,24 @@ def windows(words: np.ndarray, n: int, powers: Powers) -> np.ndarray:
     return common.mix((total[n:] - total[:-n]) * down[: len(words) - n + 1])
 
 
+def inside_runs(h: np.ndarray, margin: int) -> np.ndarray:
+    """Windows deep inside a stretch that repeats with a short period: farther than ``margin`` from both of its ends.
+
+    An item of ``margin`` words can be laid over a longer stretch in the same ways at its ends as anywhere inside.
+    """
+    out = np.zeros(len(h), dtype=bool)
+    for p in range(1, PERIODS + 1):
+        if len(h) <= p + 2 * margin:
+            break
+        same = np.concatenate([[False], h[p:] == h[:-p], [False]])
+        edge = np.flatnonzero(np.diff(same.astype(np.int8)))
+        for a, b in zip(edge[::2], edge[1::2], strict=True):
+            # windows a to b + p - 1 repeat; whole periods are kept
+            if b + p - a > 2 * margin + 2 * p:
+                out[a + margin + p : b - margin] = True
+    return out
+
+
 def tile(item: np.ndarray, doc: np.ndarray, at_item: np.ndarray, at_doc: np.ndarray, n: int = MIN_MATCH) -> list[tuple[int, int, int]]:
     """Greedy tiles (length, start in item, start in doc) from seeds: pairs of starts of equal windows of n words.
 
@@ -88,6 +108,7 @@ class Block:
     def __init__(self, items: list[tuple[int, np.ndarray]], n: int):
         powers = Powers()
         self.ids, self.words, self.n = [i for i, _ in items], [w for _, w in items], n
+        self.longest = max(map(len, self.words), default=0)
         hashes = [windows(w, n, powers) for w in self.words]
         self.seed = np.concatenate([*hashes, np.zeros(0, dtype=np.uint64)])
         self.item = np.repeat(np.arange(len(items)), [len(h) for h in hashes])
@@ -101,7 +122,10 @@ class Block:
         if not len(h) or not len(self.seed):
             return
         lo = np.searchsorted(self.seed, h)
-        at = np.flatnonzero(self.seed[np.minimum(lo, len(self.seed) - 1)] == h)
+        known = self.seed[np.minimum(lo, len(self.seed) - 1)] == h
+        if known.sum() > 2 * self.longest:
+            known &= ~inside_runs(h, self.longest)
+        at = np.flatnonzero(known)
         if not len(at):
             return
         lo, hi = lo[at], np.searchsorted(self.seed, h[at], side="right")
@@ -122,8 +146,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MI
     With ``keep``, instead the rows of ``docs`` whose document contains no item, all columns as they are.
     Null and empty texts contain nothing.  Items of fewer than ``n`` words (also null and empty ones) can't be told from
     chance and match nothing; an item with a null or repeated id counts by itself.  Documents with null or repeated
-    doc_id are judged row by row.  The benchmark goes out in blocks of about BLOCK_WORDS words, one pass over the
-    documents for each.
+    doc_id are judged row by row.  The benchmark goes out in blocks of about BLOCK_WORDS words, with one pass over the
+    documents for each; if there are several, a pass is written out before the next block is sent.
     """
     spark = docs.sparkSession
     sized = benchmark.select("item_id", "text").where("text is not null")
@@ -137,8 +161,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MI
         sent = common.sent(spark, Block([(i, w) for i, t in rows if len(w := tokens(t, cache)) >= n], n))
         if keep:
             kept = kept.mapInArrow(_scan(sent, min_coverage, True), kept.schema)
+            kept = common.staged(kept, "decontaminated") if blocks > 1 else kept
         else:
             part = docs.select("doc_id", "text").mapInArrow(_scan(sent, min_coverage, False), OUT)
+            part = common.staged(part, "contaminated") if blocks > 1 else part
             found = part if found is None else found.unionByName(part)
     return kept if keep else found
 

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 
@@ -85,3 +86,40 @@ def test_corpus_separates(spark):
     sf = "/root/testdata/sf0.01"
     got = D.op9_decontamination(spark, sf).toPandas()
     assert len(got) and got.coverage.min() > 0.9
+
+
+def test_repetition_is_thinned_without_loss():
+    r = random.Random(2)
+    for _ in range(60):
+        unit = [r.randrange(3) for _ in range(r.randint(1, 4))]
+        item = np.array((unit * 9)[: r.randint(3, 14)] + [r.randrange(3) for _ in range(3)], dtype=np.uint64) + np.uint64(1)
+        doc = np.array([r.randrange(3) for _ in range(4)] + unit * r.randint(10, 40) + [r.randrange(3) for _ in range(6)], dtype=np.uint64) + np.uint64(1)
+        found = list(D.Block([(1, item)], 3).matches(doc, D.Powers()))
+        assert sum(t[0] for t in (found[0][1] if found else [])) == sum(t[0] for t in brute(item.tolist(), doc.tolist(), 3))
+    block = D.Block([(1, np.full(2_000, 7, dtype=np.uint64))], 5)
+    began = time.monotonic()
+    ((_, tiles),) = block.matches(np.full(1_000_000, 7, dtype=np.uint64), D.Powers())
+    assert sum(t[0] for t in tiles) == 2_000 and time.monotonic() - began < 60
+
+
+def test_query_by_brute_force(spark):
+    """Every document by every item of the smallest tables: pairs without a common window of five words have no tile."""
+    sf = "/root/testdata/sf0.001"
+    cache = common.WordHashes()
+    items = {r["item_id"]: D.tokens(r["text"], cache).tolist() for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    grams = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, w in items.items()}
+    want = []
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        words = D.tokens(r["text"], cache).tolist()
+        mine = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+        for k, w in items.items():
+            at = [i for i, g in enumerate(mine) if g in grams[k]]
+            if at:
+                # only the stretches around common windows can hold tiles; a gap stands for the rest
+                near = sorted({i + x for i in at for x in range(5)})
+                short = [v for p, q in zip([near[0], *near], near) for v in ([-1] if q - p > 1 else []) + [words[q]]]
+                covered = sum(t[0] for t in brute(w, short, 5))
+                if covered >= 0.5 * len(w):
+                    want.append((r["doc_id"], k, covered))
+    got = [(r["doc_id"], r["item_id"], r["covered"]) for r in D.op9_decontamination(spark, sf).collect()]
+    assert want and sorted(got) == sorted(want)
