@@ -54,8 +54,7 @@ def snp_knn(msa: DataFrame, length: int, k: int) -> DataFrame:
     """EDGES of the k nearest and all ties; the self pair counts and stays, so k + 1 rows at least where there are as many."""
     rows = plane_payload(encoded(msa, length), length)
     near = pairs.distances(rows, pairs.hamming_planes, pairs.smallest(k + 1, True, True))
-    rank = F.rank().over(W.partitionBy("i").orderBy("d"))
-    return near.withColumn("r", rank).where(F.col("r") <= k + 1).select("i", "j", (F.col("d") / length).alias("d"))
+    return near.select("i", "j", (F.col("d") / length).alias("d"))
 
 
 def snp_threshold(msa: DataFrame, length: int, threshold: float) -> DataFrame:
@@ -68,8 +67,8 @@ def snp_threshold(msa: DataFrame, length: int, threshold: float) -> DataFrame:
 
 def vector_knn(rows: DataFrame, id_col: str, vec_col: str, k: int) -> DataFrame:
     """EDGES of the k nearest by cosine distance, without self, ties to the smaller j."""
-    near = pairs.distances(vector_payload(rows, id_col, vec_col), pairs.cosine, pairs.smallest(k, False, False))
-    return first_k(near, k)
+    keep = pairs.smallest(k, False, False) if k > 0 else lambda i, j, d: i[:, None] != j[None]
+    return pairs.distances(vector_payload(rows, id_col, vec_col), pairs.cosine, keep)
 
 
 def first_k(edges: DataFrame, k: int) -> DataFrame:
@@ -80,49 +79,42 @@ def first_k(edges: DataFrame, k: int) -> DataFrame:
     return edges.withColumn("r", rank).where(F.col("r") <= k).drop("r")
 
 
+def set_payload(presence: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, v): the hashes of each node's distinct features (id, feature) as bytes; nodes (id) without any have none.
+
+    Null ids and features don't count, nor do ids that aren't nodes.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(np.array(x or [], dtype="<i8")).tobytes() for x in b.column(1).to_pylist()], pa.binary())], names=["id", "v"])
+
+    cells = presence.where("id is not null and feature is not null").select("id", F.xxhash64("feature").alias("h")).distinct()
+    sets = cells.groupBy("id").agg(F.collect_list("h").alias("h"))  # one sample's features
+    return nodes.select("id").distinct().join(sets, "id", "left").mapInArrow(run, "id long, v binary")
+
+
 def jaccard(presence: DataFrame, nodes: DataFrame, full: bool = True) -> DataFrame:
     """EDGES of Jaccard distances of feature sets, without self; presence: (id, feature), nodes: (id).
 
-    Pairs that share a feature come from a join on it.  With ``full`` all other pairs follow at distance 1 (0 between
-    two empty sets), which needs as many rows as there are pairs.
+    With ``full`` between all nodes: 1 between sets that share nothing, 0 between two empty ones; else of pairs that share a feature.
     """
-    cells = presence.where("id is not null and feature is not null").distinct()
-    size = cells.groupBy("id").agg(F.count("*").alias("n"))
-    a, b = cells.select(F.col("id").alias("i"), "feature"), cells.select(F.col("id").alias("j"), "feature")
-    both = a.join(b, "feature").where("i < j").groupBy("i", "j").agg(F.count("*").alias("both"))
-    one = both.join(size.select(F.col("id").alias("i"), F.col("n").alias("n_i")), "i").join(size.select(F.col("id").alias("j"), F.col("n").alias("n_j")), "j")
-    half = one.select("i", "j", (1 - F.col("both") / (F.col("n_i") + F.col("n_j") - F.col("both"))).alias("d"))
-    found = half.unionByName(half.select(F.col("j").alias("i"), F.col("i").alias("j"), "d"))
-    if not full:
-        return found
-    sized = nodes.select("id").distinct().join(size, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
-    rows = pairs.distances(sized.select("id", F.encode(F.lpad(F.col("n").cast("string"), 20, "0"), "utf-8").alias("v")), _both_empty, lambda i, j, d: i[:, None] != j[None])
-    rest = rows.join(found.select("i", "j"), ["i", "j"], "left_anti")
-    return found.unionByName(rest)
-
-
-def _both_empty(a, b):
-    """1, or 0 between payloads that are both the number zero."""
-    x, y = (a == 48).all(1), (b == 48).all(1)
-    return 1.0 - (x[:, None] & y[None])
+    if full:
+        return pairs.distances(set_payload(presence, nodes), pairs.jaccard, lambda i, j, d: i[:, None] != j[None])
+    worn = nodes.join(presence.where("feature is not null"), "id", "left_semi")
+    return pairs.distances(set_payload(presence, worn), pairs.jaccard, lambda i, j, d: (i[:, None] != j[None]) & (d < 1))
 
 
 def jaccard_knn(presence: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """The k nearest by Jaccard distance, ties to the smaller j; k is at most the number of other nodes.
+    """The k nearest by Jaccard distance, ties to the smaller j; fewer where there are fewer other nodes."""
+    return pairs.distances(set_payload(presence, nodes), pairs.jaccard, pairs.smallest(k, False, False))
 
-    Nodes with k overlapping others need no pair without overlap; only for the rest are those filled in.
-    """
-    near = storage.stored(first_k(jaccard(presence, nodes, full=False), k), "jaccard-near")
-    ids = nodes.select("id").distinct()
-    degree = near.groupBy("i").count()
-    short = ids.join(degree, ids.id == degree.i, "left").where(F.coalesce("count", F.lit(0)) < k).select("id")
-    size = presence.where("id is not null and feature is not null").select("id", "feature").distinct().groupBy("id").agg(F.count("*").alias("n"))
-    # the k smallest ids that a node doesn't overlap are among the k + degree + 1 smallest of all, empties first for an empty node
-    sized = ids.join(size, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
-    low = sized.orderBy("id").limit(2 * k + 1).unionByName(sized.where("n = 0").orderBy("id").limit(k + 1)).distinct()
-    fill = short.join(sized, "id").select(F.col("id").alias("i"), F.col("n").alias("n_i")).join(F.broadcast(low.select(F.col("id").alias("j"), F.col("n").alias("n_j"))), F.col("i") != F.col("j"))  # at most 3k + 2 rows
-    fill = fill.select("i", "j", F.when((F.col("n_i") == 0) & (F.col("n_j") == 0), 0.0).otherwise(1.0).alias("d")).join(near.select("i", "j"), ["i", "j"], "left_anti")
-    return first_k(near.unionByName(fill), k)
+
+def jaccard_threshold(presence: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """EDGES strictly below the threshold, without self."""
+    return pairs.distances(set_payload(presence, nodes), pairs.jaccard, lambda i, j, d: (i[:, None] != j[None]) & (d < threshold))
 
 
 def below(edges: DataFrame, threshold: float) -> DataFrame:

@@ -1,7 +1,8 @@
 """All-pairs distances in blocks.
 
-Rows are packed into blocks, one row a block; every block meets every other in a task that computes their distances as
-one matrix and emits only what the caller keeps of it.  A task holds two blocks and their distances, whatever the input.
+Rows are packed into blocks, one row a block.  A panel of a few blocks is held by a task, past which all blocks stream: it
+computes their distances as one matrix each and keeps only what the caller wants of them, so the k nearest of a row are
+settled where they are found.  A task holds a panel, a block and their distances, whatever the input.
 """
 
 from __future__ import annotations
@@ -15,13 +16,13 @@ from pyspark.sql import functions as F
 
 from . import storage
 
-#: Rows in a block on average.
-BLOCK = 512
+#: Rows in a block on average, blocks in a panel at most, and candidates that a panel collects before it drops the worse ones.
+BLOCK, PANEL, HELD = 512, 8, 2_000_000
 EDGES = "i long, j long, d double"
 
 
 def packed(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(b, ids, data) of rows (id long, v binary of one width)."""
+    """(b, ids, sizes, data) of rows (id long, v binary); sizes are those of the payloads."""
     blocks = max(1, -(-rows.count() // block))
     dealt = rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b"), "id", "v")
 
@@ -39,37 +40,82 @@ def packed(rows: DataFrame, block: int = BLOCK) -> DataFrame:
             yield _packed(b, ids, data)
 
     def _packed(b, ids, data):
-        return pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([np.array(ids, dtype="<i8").tobytes()], pa.binary()), pa.array([b"".join(data)], pa.binary())], names=["b", "ids", "data"])
+        parts = (np.array(ids, dtype="<i8").tobytes(), np.array([len(v) for v in data], dtype="<i8").tobytes(), b"".join(data))
+        return pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), *(pa.array([x], pa.binary()) for x in parts)], names=["b", "ids", "sizes", "data"])
 
-    return storage.stored(dealt.repartition(blocks, "b").sortWithinPartitions("b", "id").mapInArrow(pack, "b long, ids binary, data binary"), "blocks")
+    return storage.stored(dealt.repartition(blocks, "b").sortWithinPartitions("b", "id").mapInArrow(pack, "b long, ids binary, sizes binary, data binary"), "blocks")
 
 
 def distances(rows: DataFrame, kernel: Callable, keep: Callable, block: int = BLOCK) -> DataFrame:
-    """EDGES of the pairs that ``keep`` chooses from every block pair.
+    """EDGES of the pairs that ``keep`` chooses from all ordered pairs.
 
-    rows: (id, v); kernel(a, b): distances of the payloads of two blocks, each a uint8 array (rows x width);
-    keep(i, j, d): boolean matrix of what to emit for ids i and j and their distances d.
+    rows: (id, v); kernel(a, b): distances of the payloads of a panel and a block, each a uint8 array (rows x width), or, if
+    the kernel has ``ragged`` set, the payloads end to end and their sizes; keep(i, j, d): boolean matrix of what to emit for ids
+    i and j and their distances d.  If it has ``prune``, that chooses once more from what all blocks gave a panel.
     """
     return between(packed(rows, block), kernel, keep)
 
 
 def between(blocks: DataFrame, kernel: Callable, keep: Callable) -> DataFrame:
     """``distances`` over blocks that ``packed`` has made."""
-    number = [r[0] for r in blocks.select("b").collect()]  # one number a block
-    left = blocks.select(F.col("ids").alias("ids_i"), F.col("data").alias("data_i"), F.explode(F.array(*[F.lit(b) for b in number]) if number else F.expr("cast(array() as array<bigint>)")).alias("b"))
-    both = left.join(blocks, "b").select("ids_i", "data_i", "ids", "data")
+    tasks = 2 * blocks.sparkSession.sparkContext.defaultParallelism
+    n = (blocks.agg(F.max("b")).first()[0] or 0) + 1
+    wide = min(PANEL, max(1, n // tasks))
+    panels = -(-n // wide)
+    own = blocks.select(F.floor(F.col("b") / wide).alias("panel"), F.lit(0).alias("side"), "b", "ids", "sizes", "data")
+    every = blocks.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(panels - 1).cast("long"))).alias("panel"), F.lit(1).alias("side"), "b", "ids", "sizes", "data")
+    both = own.unionByName(every).repartition(panels, "panel").sortWithinPartitions("panel", "side", "b").select("panel", "side", "ids", "sizes", "data")
+    prune = getattr(keep, "prune", None)
+
+    def batch(found):
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["i", "j", "d"])
 
     def run(batches):
-        for batch in batches:
-            for p, a, q, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                i, j = np.frombuffer(p, dtype="<i8"), np.frombuffer(q, dtype="<i8")
-                d = kernel(np.frombuffer(a, dtype=np.uint8).reshape(len(i), -1), np.frombuffer(b, dtype=np.uint8).reshape(len(j), -1))
+        panel, mine, held, count = None, [], [], 0
+
+        def settled():
+            found = [np.concatenate(c) for c in zip(*held, strict=True)]
+            good = prune(*found)
+            return tuple(x[good] for x in found)
+
+        for rows in batches:
+            for number, side, *row in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+                if number != panel:
+                    if held:
+                        yield batch(settled())
+                    panel, mine, held, count = number, [], [], 0
+                if side == 0:
+                    mine.append(row)
+                    continue
+                if len(mine) > 1:
+                    mine = [[b"".join(r[k] for r in mine) for k in range(3)]]
+                if not mine:  # a number that no id was dealt to
+                    continue
+                i, j = (np.frombuffer(x, dtype="<i8") for x in (mine[0][0], row[0]))
+                a, b = (_payloads(r, kernel) for r in (mine[0], row))
+                d = kernel(a, b)
                 x, y = np.nonzero(keep(i, j, d))
-                yield pa.RecordBatch.from_arrays([pa.array(i[x]), pa.array(j[y]), pa.array(d[x, y].astype(np.float64))], names=["i", "j", "d"])
+                found = i[x], j[y], d[x, y].astype(np.float64)
+                if prune is None:
+                    yield batch(found)
+                    continue
+                held.append(found)
+                count += len(x)
+                if count > HELD:
+                    held = [settled()]
+                    count = len(held[0][0])
+        if held:
+            yield batch(settled())
 
     return both.mapInArrow(run, EDGES)
 
 
+def _payloads(row, kernel):
+    ids, sizes, data = row
+    flat = np.frombuffer(data, dtype=np.uint8)
+    return (flat, np.frombuffer(sizes, dtype="<i8")) if getattr(kernel, "ragged", False) else flat.reshape(len(ids) // 8, -1)
+
+
 def hamming_planes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Positions without a base in common, for payloads of a length (int64) and four planes of 64-bit words."""
     a, b = np.ascontiguousarray(a).view(np.uint64), np.ascontiguousarray(b).view(np.uint64)
@@ -100,8 +146,44 @@ def euclidean(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(out)
 
 
+def shared(a, b) -> np.ndarray:
+    """Sizes of the intersections of sets of 64-bit numbers, given end to end with their sizes in bytes.
+
+    Only numbers that both sides have are looked at, as 0/1 matrices whose product counts them, however common a number is.
+    """
+    (x, n), (y, m) = ((np.ascontiguousarray(flat).view(np.int64), sizes // 8) for flat, sizes in (a, b))
+    row_x, row_y = np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(m)), m)
+    both = np.intersect1d(x, y)
+    out = np.zeros((len(n), len(m)), dtype=np.float32)
+    at_x, at_y = (np.searchsorted(both, v) for v in (x, y))
+    in_x, in_y = (np.flatnonzero(both[np.minimum(at, max(0, len(both) - 1))] == v) if len(both) else np.zeros(0, dtype=int) for at, v in ((at_x, x), (at_y, y)))
+    at_x, row_x, at_y, row_y = at_x[in_x], row_x[in_x], at_y[in_y], row_y[in_y]
+    for lo in range(0, len(both), 4096):
+        sides = []
+        for at, row, rows in ((at_x, row_x, len(n)), (at_y, row_y, len(m))):
+            here = (at >= lo) & (at < lo + 4096)
+            side = np.zeros((rows, min(4096, len(both) - lo)), dtype=np.float32)
+            side[row[here], at[here] - lo] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.float64)
+
+
+def jaccard(a, b) -> np.ndarray:
+    """Jaccard distances of sets; 0 between two empty ones."""
+    both = shared(a, b)
+    union = (a[1] // 8)[:, None] + (b[1] // 8)[None] - both
+    return np.where(union > 0, 1 - both / np.maximum(1, union), 0.0)
+
+
+jaccard.ragged = True
+
+
 def smallest(k: int, ties: bool, self_too: bool):
-    """keep: of each row of a block pair the k smallest distances; with ``ties`` all that equal the last of them."""
+    """keep: the k smallest distances of each row, ties to the smaller j; with ``ties`` all that equal the last of them.
+
+    A matrix that holds a row's distances to one block gives its candidates, ``prune`` the final ones.
+    """
 
     def keep(i, j, d):
         e = d if self_too else np.where(i[:, None] == j[None], np.inf, d)
@@ -118,4 +200,15 @@ def smallest(k: int, ties: bool, self_too: bool):
         np.put_along_axis(out, order, True, axis=1)
         return out & ok
 
+    def prune(i, j, d):
+        order = np.lexsort((j, d, i))
+        start = np.flatnonzero(np.diff(i[order], prepend=i[order[:1]] - 1))
+        size = np.diff(start, append=len(order))
+        rank = np.arange(len(order)) - np.repeat(start, size)
+        last = d[order[start + np.minimum(size, k) - 1]]
+        good = np.zeros(len(order), dtype=bool)
+        good[order] = d[order] <= np.repeat(last, size) if ties else rank < k
+        return good
+
+    keep.prune = prune
     return keep

@@ -52,6 +52,12 @@ def point_styles(labels: DataFrame, column: str) -> DataFrame:
     return at.withColumn("size", F.when(noise, size).otherwise(2 * size)).withColumn("edge", F.col("_n") <= 10_000).drop("_n")
 
 
+def split_noise(labels: DataFrame, column: str) -> DataFrame:
+    """``labels`` with noise (whether the class is -1) and layer, its drawing order: noise lies under the classes."""
+    noise = F.coalesce(F.col(column).cast("string") == "-1", F.lit(False))
+    return labels.withColumn("noise", noise).withColumn("layer", F.when(noise, 0).otherwise(1))
+
+
 def plot_table(points: DataFrame, nodes: DataFrame, clusters: DataFrame) -> DataFrame:
     """(id, name, x, y, cluster, r, g, b): all that a scatter plot needs."""
     at = points.join(nodes, "id").join(clusters, "id")

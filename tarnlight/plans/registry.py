@@ -83,7 +83,7 @@ def jaccard_knn(spark, sf):
 
 
 def jaccard_threshold(spark, sf):
-    return edges.below(edges.jaccard(_presence(spark, sf), _suppliers(spark, sf), full=False), 0.85).select("i", "j", *_r("d"))
+    return edges.jaccard_threshold(_presence(spark, sf), _suppliers(spark, sf), 0.85).select("i", "j", *_r("d"))
 
 
 def vector_knn(spark, sf):
