@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Hexagons across, and classes that a legend names.
 GRID, LEGEND = 50, 30
+#: Steps of the colour parts from label to label, each without a factor in common with 255.
+STEPS = (97, 58, 203)
 
 
 def hexbin(points: DataFrame, grid: int = GRID) -> DataFrame:
@@ -38,9 +40,9 @@ def top_classes(labels: DataFrame, column: str, most: int = LEGEND) -> DataFrame
 
 
 def colours(labels: DataFrame, column: str, seed: int = 1) -> DataFrame:
-    """(label, r, g, b) with each part in 0 .. 254 by hash; noise (-1) is black."""
-    part = lambda k: F.when(F.col("label") == "-1", 0).otherwise(F.pmod(F.xxhash64("label", F.lit(seed), F.lit(k)), F.lit(255))).cast("int")
-    return labels.select(F.col(column).cast("string").alias("label")).distinct().select("label", part(1).alias("r"), part(2).alias("g"), part(3).alias("b"))
+    """(label, r, g, b) with each part in 0 .. 254, steps of the label's number in sorted order; noise (-1) is black."""
+    part = lambda step: F.when(F.col("label") == "-1", 0).otherwise((F.col("k") + seed) * step % 255).cast("int")
+    return sorted_labels(labels, column).select("label", *[part(s).alias(c) for c, s in zip("rgb", STEPS, strict=True)])
 
 
 def point_styles(labels: DataFrame, column: str) -> DataFrame:

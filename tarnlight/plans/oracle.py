@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions.bases import BASES, CODES
+from ..operators.plots import STEPS
 
 ALPHABET = "ACGTMRWSYKVHDBN-"
 # bit k of a code: it may stand for base k; unknown characters stand for all
@@ -45,8 +46,8 @@ z as (select frame, id, case when stddev_pop(x) over w > 0 then (x - avg(x) over
 steps as (select frame, abs(x - lag(x) over w) as dx, abs(y - lag(y) over w) as dy from z window w as (partition by id order by frame)),
 moves as (select frame, max(dx) as dx, max(dy) as dy from steps where dx is not null group by frame)"""
 _CORE = f"""{_POINTS},
-dd as (select a.id as i, b.id as j, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) as d from pts a join pts b on a.id <> b.id),
-core as (select i as id, max(d) as core from (select *, row_number() over (partition by i order by d, j) as r from dd) where r <= 2 group by i)"""
+dd as materialized (select a.id as i, b.id as j, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) as d from pts a join pts b on a.id <> b.id),
+core as materialized (select i as id, max(d) as core from (select *, row_number() over (partition by i order by d, j) as r from dd) where r <= 2 group by i)"""
 _TRIANGLE = "case when {0} <= 0.25 then 4 * {0} when {0} <= 0.75 then 2 - 4 * {0} else 4 * {0} - 4 end"
 _LEVEL = "case when {0} < 0.025 then {0} / 0.025 when {0} < 0.125 then 1 - ({0} - 0.025) / 0.1 * (1 - 0.9) when {0} < 0.7 then 0.9 else 0.9 / 0.3 * (1 - {0}) end"
 _SKETCH = """
@@ -61,6 +62,27 @@ ts as (select start, freq, unnest(range(cast(ceil(start * {rate}) as bigint), ca
 amps as (select t, (t / {rate}.0 - start) * freq - floor((t / {rate}.0 - start) * freq) as ph, least((t / {rate}.0 - start) / 0.125, 1.0) as x from ts),
 wave as (select t, sum(({triangle}) * ({level})) as amp from amps group by t)"""
 
+_COLOURS = """
+cl as (select vec_id as id, label - 1 as cluster from embeddings),
+ks as (select cluster, row_number() over (order by cast(cluster as varchar)) as k from (select distinct cluster from cl)),
+shade as (select cluster, """ + ", ".join(f"cast(case when cluster = -1 then 0 else (k + 1) * {step} % 255 end as integer) as {c}" for c, step in zip("rgb", STEPS, strict=True)) + """ from ks)"""
+_CORE_KNN = """
+pv as (select i, j, max(jaccard) filter (where k = 1) as j1, max(jaccard) filter (where k = 2) as j2, max(jaccard) filter (where k = 3) as j3 from jk group by i, j),
+su as (select i, j, j1, j2, j3, (case when j1 is null then 0 else 1 end + case when j2 is null then 0 else 1 end + case when j3 is null then 0 else 1 end)::double as n,
+              case when j1 is null then 0.0 else 1 end + case when j2 is null then 0 else 2 end + case when j3 is null then 0 else 3 end as sx,
+              case when j1 is null then 0.0 else 1 end + case when j2 is null then 0 else 4 end + case when j3 is null then 0 else 9 end as sxx,
+              coalesce(ln(j1), 0) + coalesce(ln(j2), 0) + coalesce(ln(j3), 0) as sy, coalesce(ln(j1), 0) + 2 * coalesce(ln(j2), 0) + 3 * coalesce(ln(j3), 0) as sxy from pv),
+half as (select i, j, case when n = 1 then 1 - coalesce(j1, j2, j3) else greatest(0, least(1, 1 - exp((n * sxy - sx * sy) / (n * sxx::double - sx::double * sx::double)))) end as d from su),
+dirs as (select i, j, d from half union all select j, i, d from half),
+every as (select a.s_suppkey as i, b.s_suppkey as j, coalesce(d, 1.0) as d from supplier a join supplier b on a.s_suppkey <> b.s_suppkey left join dirs on dirs.i = a.s_suppkey and dirs.j = b.s_suppkey)"""
+_STEREO = f"""{_FRAMES},
+lim as (select least(min(dx), min(dy)) as lo, greatest(max(dx), max(dy)) as hi from moves),
+fq as (select (row_number() over (order by frame) - 1) / 20.0::double as start, 120 + 1200 * (dx - lo) / (hi - lo) as fx, 120 + 1200 * (dy - lo) / (hi - lo) as fy from moves, lim),
+ts as (select start, fx, fy, unnest(range(cast(ceil(start * 200) as bigint), cast(floor((start + 0.125) * 200) as bigint) + 1)) as t from fq),
+ph as (select t, (t / 200.0::double - start) as x, (t / 200.0::double - start) * fx as a, (t / 200.0::double - start) * fy as b from ts),
+am as (select t, a - floor(a) as a, b - floor(b) as b, x / 0.125 as x from ph),
+"""
+
 
 def _notes(rate: int) -> str:
     return _NOTES.format(rate=rate, triangle=_TRIANGLE.format("ph"), level=_LEVEL.format("x"))
@@ -111,4 +133,23 @@ SQL = {
     "minhash_jaccard": f"with {_SKETCH} select i, j, k, round(jaccard, 6) as jaccard from jk",
     "core_accessory": f"with {_SKETCH}, f as (select i, j, regr_slope(ln(jaccard), k) as s, regr_intercept(ln(jaccard), k) as c, count(*) as n, min(jaccard) as one from jk group by 1, 2) select i, j, round(case when n = 1 then 1 - one else greatest(0, least(1, 1 - exp(s))) end, 6) as core, round(case when n = 1 then 0 else greatest(0, least(1, 1 - exp(c))) end, 6) as accessory from f",
     "sketch_kmers": "select distinct l_suppkey as name, '1,2,3' as ks from lineitem",
+    "sketch_knn": f"with {_SKETCH}, {_CORE_KNN} select i, j, round(d, 6) as d from (select *, row_number() over (partition by i order by d, j) as r from every) where r <= 15",
+    "colour_map": f"with {_COLOURS.replace('label - 1 as cluster', 'label as cluster')} select cast(cluster as varchar) as label, r, g, b from shade",
+    "noise_split": "select vec_id as id, label - 1 as cluster, label = 0 as noise, case when label = 0 then 0 else 1 end::integer as layer from embeddings",
+    "plot_table": f"with {_POINTS}, {_COLOURS} select id, 'v' || id as name, round(x, 6) as x, round(y, 6) as y, cluster, r, g, b from pts join cl using (id) join shade using (cluster)",
+    "self_draws": f"with {_POINTS}, f as (select a.id as k, b.id as l, 1 / (1 + (a.x - b.x) ** 2 + (a.y - b.y) ** 2) as q, a.x - b.x as dx, a.y - b.y as dy, a.id % 3 <> 0 as repel from pts a join pts b on b.id = a.id + 1 where a.id % 5 <> 0), g as (select *, 0.7 * case when repel then 2.0 / (0.5 * 5) * q * q else -2.0 * q end as g from f), m as (select id, sum(gx) as gx, sum(gy) as gy from (select k as id, g * dx as gx, g * dy as gy from g union all select l, -g * dx, -g * dy from g) group by id) select id, round(x + coalesce(gx, 0), 6) as x, round(y + coalesce(gy, 0), 6) as y from pts left join m using (id)",
+    "first_layout": "select count(*) as n, count(*) as inside from embeddings",
+    "run_frames": "select event_id as step from events where event_id in (select cast(round(n * (1 - sqrt(1 - frame / 400.0)), 0) as bigint) from range(399) r(frame), (select count(*) as n from events))",
+    "worker_split": "select s_suppkey as workers, cast(100000 // greatest(s_suppkey, 8) as bigint) as steps from supplier",
+    "stereo": f"with {_STEREO} lv as (select t, sum(({_TRIANGLE.format('a')}) * ({_LEVEL.format('x')})) as l, sum(({_TRIANGLE.format('b')}) * ({_LEVEL.format('x')})) as r from am group by t), mx as (select max(abs(l)) as ml, max(abs(r)) as mr from lv) select t, cast(trunc(l * 32767 / ml) as smallint) as left, cast(trunc(r * 32767 / mr) as smallint) as right from lv, mx",
+    "fasta_read": f"with {_MSA} select 'v' || id as name, string_agg(c, '' order by k) as seq, cast(64 as bigint) as length from chars group by id",
+    "rtab_read": "select distinct 's' || l_suppkey as name, 'p' || l_partkey as feature from lineitem",
+    "distances_reload": f"with {_KNN} select 'v' || i as name, j, round(d, 6) as d from knn",
+    "labels_file": "select 'doc' || doc_id as name, cast(toxic as varchar) as label from labels",
+    "weights_file": "select 'doc' || doc_id as name, cast(quality as double) as weight from labels",
+    "names_file": "select s_name as name from supplier",
+    "embedding_file": f"with {_POINTS} select round(x, 6) as x, round(y, 6) as y from pts",
+    "bare_names": "select s_suppkey, s_name as name from supplier",
+    "edge_count": f"with {_PLANES} select count(*) as n_edges from snp where snp <= 7",
+    "jaccard_knn_all": f"with {_JACCARD} select i, j, round(d, 6) as d from jac",
 }

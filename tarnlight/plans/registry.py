@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bases, schedule, wave
-from ..operators import audio, cluster, edges, layout, naming, plots, probability, sketches
+from ..operators import audio, cluster, edges, layout, naming, plots, probability, sketches, storage
 from ..sources import readers, writers
 from . import runs
 from .options import RunOptions
@@ -148,12 +148,12 @@ def sce_step(spark, sf):
 
 
 def eq_update(spark, sf):
-    """Eq after each label's nodes, taken as the draws of one step (a step's table is one row)."""
+    """Eq after each label's nodes, taken as the draws of one step: ten rows come to the driver, as a run's epochs do."""
     q = _table(spark, sf, "embeddings").select("label", (1 / (1 + F.element_at("embedding", 1).cast("double") ** 2)).alias("q"))
-    step = q.groupBy("label").agg(F.sum("q").alias("s"), F.count("*").alias("n"))
-    n = q.agg((F.count("*") * (F.count("*") - 1)).cast("double").alias("pairs"))
-    fold = F.aggregate(F.array_sort(F.collect_list(F.struct("label", "s", "n"))), F.lit(1.0), lambda eq, r: (eq * F.first("pairs") + r["s"]) / (F.first("pairs") + r["n"]))
-    return step.join(F.broadcast(n)).groupBy().agg(F.round(fold, 9).alias("eq"))  # one row is broadcast
+    eq, n = 1.0, q.count()
+    for r in q.groupBy("label").agg(F.sum("q").alias("s"), F.count("*").alias("n")).orderBy("label").collect():
+        eq = layout.eq_next(eq, n, r["s"], r["n"])
+    return spark.createDataFrame([(eq,)], "eq double").select(F.round("eq", 9).alias("eq"))
 
 
 def _pairs(spark, sf):
@@ -161,6 +161,30 @@ def _pairs(spark, sf):
     return p.select(F.col("id").alias("k"), (F.col("id") + 1).alias("l"), (F.col("id") % 3 != 0).alias("repel"))
 
 
+def self_draws(spark, sf):
+    """A step in which every fifth draw meets its own node: it moves nothing."""
+    p = _points(spark, sf)
+    drawn = _pairs(spark, sf).withColumn("l", F.when(F.col("k") % 5 == 0, F.col("k")).otherwise(F.col("l")))
+    return layout.moved(p, layout.forces(p, drawn, 0.5, 0.7, 2.0, 5)).select("id", *_r("x", "y"))
+
+
+def first_layout(spark, sf):
+    """How many nodes start, and how many of them within the disc."""
+    at = layout.start(_table(spark, sf, "embeddings").select(F.col("vec_id").alias("id")), 1)
+    return at.agg(F.count("*").alias("n"), F.count_if(F.col("x") ** 2 + F.col("y") ** 2 <= 1e-8).alias("inside"))
+
+
+def run_frames(spark, sf):
+    """Events taken as steps: those at which an animation of as many steps takes a frame."""
+    steps = _table(spark, sf, "events").select(F.col("event_id").alias("step"))
+    return schedule.frames_taken(steps, steps.count())
+
+
+def worker_split(spark, sf):
+    """Iterations of each worker, for suppliers' numbers taken as numbers of workers."""
+    return _table(spark, sf, "supplier").select(F.col("s_suppkey").alias("workers"), schedule.split_steps(F.lit(100_000), F.col("s_suppkey"), 8).alias("steps"))
+
+
 def step_collisions(spark, sf):
     return layout.collisions(_pairs(spark, sf))
 
@@ -221,6 +245,19 @@ def hexbin(spark, sf):
     return plots.hexbin(_points(spark, sf)).select(*_r("cx", "cy"), "n")
 
 
+def _classes(spark, sf):
+    return _table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), (F.col("label") - 1).alias("cluster"))
+
+
+def noise_split(spark, sf):
+    return plots.split_noise(_classes(spark, sf), "cluster")
+
+
+def plot_table(spark, sf):
+    """All that a scatter plot of the embeddings' first components needs."""
+    return plots.plot_table(_points(spark, sf).select("id", *_r("x", "y")), _vector_names(spark, sf), _classes(spark, sf))
+
+
 def class_sizes(spark, sf):
     return plots.class_sizes(_table(spark, sf, "embeddings"), "label")
 
@@ -261,6 +298,84 @@ def pcm_scale(spark, sf):
     return audio.pcm(audio.synthesised(notes, 100, 1e9))
 
 
+def stereo(spark, sf):
+    return audio.stereo(_frames(spark, sf), 20.0, 200, 1e9)
+
+
+def _vector_names(spark, sf):
+    return _table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("v"), "vec_id").alias("name"))
+
+
+def fasta_read(spark, sf):
+    """The alignment written as FASTA, lines of 20 bases, and read back."""
+    msa = _msa(spark, sf)
+    lines = F.concat(F.lit(">v"), "id", F.lit(" sample\n"), F.rtrim(F.regexp_replace("seq", "(.{20})", "$1\n"), F.lit("\n")))
+    path = storage.new_path(spark, "fasta")
+    msa.select(lines.alias("value")).write.text(path)
+    return readers.fasta(spark, path).select("name", "seq", F.length("seq").cast("long").alias("length"))
+
+
+def rtab_read(spark, sf):
+    """Suppliers and their parts written as a feature matrix and read back."""
+    order = F.array_sort(F.collect_set("id"))  # a matrix has a column for each supplier
+    suppliers = _suppliers(spark, sf).agg(order.alias("ids"))
+    sets = _presence(spark, sf).groupBy("feature").agg(F.collect_set("id").alias("has"))
+    rows = sets.join(F.broadcast(suppliers)).select(F.lit(1).alias("k"), F.col("feature").alias("at"), F.concat_ws("\t", F.concat(F.lit("p"), "feature"), F.transform("ids", lambda i: F.when(F.array_contains("has", i), "1").otherwise("0"))).alias("line"))
+    head = suppliers.select(F.lit(0).alias("k"), F.lit(0).cast("long").alias("at"), F.concat_ws("\t", F.lit("Gene"), F.transform("ids", lambda i: F.concat(F.lit("s"), i))).alias("line"))
+    path = storage.new_path(spark, "rtab")
+    head.unionByName(rows).orderBy("k", "at").select("line").coalesce(1).write.text(path)  # the format is one file
+    nodes, cells = readers.rtab(spark, path)
+    return cells.join(nodes, "id").select("name", "feature")
+
+
+def distances_reload(spark, sf):
+    """Nearest neighbours written as a run's distances, sorted by i and j, and read back."""
+    path = storage.new_path(spark, "distances")
+    writers.distances(_edges(spark, sf), _vector_names(spark, sf), path)
+    found, nodes = readers.distances(spark, path)
+    return found.join(nodes.withColumnRenamed("id", "i"), "i").select("name", "j", *_r("d"))
+
+
+def labels_file(spark, sf):
+    path = storage.new_path(spark, "labels")
+    _named_labels(spark, sf).select("name", "label").write.option("sep", "\t").csv(path)
+    return readers.labels(spark, path)
+
+
+def weights_file(spark, sf):
+    path = storage.new_path(spark, "weights")
+    _named_labels(spark, sf).select("name", "weight").write.option("sep", "\t").csv(path)
+    return readers.weights(spark, path)
+
+
+def names_file(spark, sf):
+    path = storage.new_path(spark, "names")
+    writers.names(_suppliers(spark, sf), path)
+    return spark.read.schema("name string").csv(path)
+
+
+def embedding_file(spark, sf):
+    path = storage.new_path(spark, "embedding")
+    writers.embedding(_points(spark, sf).select("id", *_r("x", "y")), path)
+    return spark.read.schema("x double, y double").option("sep", " ").csv(path)
+
+
+def bare_names(spark, sf):
+    """Supplier names of which every third ends as a sketch database does."""
+    named = _table(spark, sf, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 3 == 0, F.concat("s_name", F.lit(".h5"))).otherwise(F.col("s_name")).alias("file"))
+    return named.select("s_suppkey", naming.bare_names(F.col("file")).alias("name"))
+
+
+def edge_count(spark, sf):
+    return edges.snp_threshold(_msa(spark, sf), LENGTH, 0.1).agg(F.count("*").alias("n_edges"))
+
+
+def jaccard_knn_all(spark, sf):
+    """As many neighbours as there are other suppliers: what k = 0 means for feature sets."""
+    nodes = _suppliers(spark, sf)
+    return edges.jaccard_knn(_presence(spark, sf), nodes, nodes.count() - 1).select("i", "j", *_r("d"))
+
+
 def dot_lines(spark, sf):
     return writers.dot_lines(_points(spark, sf).select("id", *_r("x", "y", digits=3)), _points(spark, sf).select("id", F.concat(F.lit("v"), "id").alias("name")))
 
@@ -284,6 +399,10 @@ def core_accessory(spark, sf):
     return sketches.core_accessory(sketches.jaccard_by_k(_sketch(spark, sf))).select("i", "j", *_r("core", "accessory"))
 
 
+def sketch_knn(spark, sf):
+    return sketches.sketch_knn(_sketch(spark, sf), _suppliers(spark, sf), K, "core").select("i", "j", *_r("d"))
+
+
 def sketch_kmers(spark, sf):
     s = _sketch(spark, sf).withColumnRenamed("id", "name")
     return readers.sketch_names(s).select("name", F.lit(",".join(map(str, sketches.kmer_lengths(s)))).alias("ks"))
@@ -304,7 +423,8 @@ _QUERIES = (
     iupac_encode, snp_distance, snp_knn_ties, snp_threshold, jaccard_distance, jaccard_knn, jaccard_threshold, vector_knn, perplexity_p, edge_normalise, raw_similarity,
     labels_join, weights_join, weights_mismatch, name_symdiff, cdf_table, weighted_draw, sce_step, step_collisions, eq_update, eq_prefix, eta_schedule, frame_schedule, scale_centre, zscore_frame, frame_delta, freq_map,
     core_distance, mutual_reachability, mst_weight, hexbin, sorted_labels, class_sizes, top_classes, point_size, n_clusters, colour_map, triangle_wave, adsr, synth, pcm_scale, dot_lines, cluster_csv,
-    minhash_jaccard, core_accessory, sketch_kmers, embed_and_cluster,
+    minhash_jaccard, core_accessory, sketch_knn, sketch_kmers, embed_and_cluster,
+    self_draws, first_layout, run_frames, worker_split, noise_split, plot_table, stereo, fasta_read, rtab_read, distances_reload, labels_file, weights_file, names_file, embedding_file, bare_names, edge_count, jaccard_knn_all,
 )
 
 
