@@ -23,6 +23,8 @@ LISTED = ["free-bets.example.net", "free-bets.example.org", "spam-farm.example.o
 #: Bits that one level may have to be broadcast; a cascade with a larger one is replaced by a join on its keys.
 MAX_BITS = 1 << 30
 MAX_LEVELS = 64
+#: 64-bit words in a page of a level's bits.
+PAGE_WORDS = 1 << 14
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -71,24 +73,40 @@ class Cascade:
 
 
 def _bits(df: DataFrame, size: int, probes: int, seed: int) -> np.ndarray:
-    """The level's bits from rows (h): words are made in tasks, merged by a shuffle, and at most size / 64 reach the driver."""
+    """The level's bits from rows (h): words of bits are merged by a shuffle and laid into dense pages, which the driver joins."""
 
     def run(batches):
-        words: dict[int, int] = {}
         for b in batches:
             h = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for at in positions(h, size, probes, seed):
                 w, inverse = np.unique(at >> np.uint64(6), return_inverse=True)
                 v = np.zeros(len(w), dtype=np.uint64)
                 np.bitwise_or.at(v, inverse, np.uint64(1) << (at & np.uint64(63)))
-                for x, y in zip(w.tolist(), v.tolist(), strict=True):
-                    words[x] = words.get(x, 0) | y
-        yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.int64()), pa.array(np.array(list(words.values()), dtype=np.uint64).view(np.int64), pa.int64())], names=["w", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array(w.astype(np.int64)), pa.array(v.view(np.int64))], names=["w", "bits"])
 
-    got = df.select("h").mapInArrow(run, "w long, bits long").groupBy("w").agg(F.bit_or("bits").alias("bits")).toPandas()
-    out = np.zeros(-(-size // 64), dtype=np.uint64)
-    out[got.w.to_numpy(dtype=np.int64)] = got.bits.to_numpy(dtype=np.int64).view(np.uint64)
-    return out
+    def pages(batches):
+        page, held = None, None
+        for b in batches:
+            for number, w, bits in common.rows(b, "page", "w", "bits"):
+                if number != page:
+                    if held is not None:
+                        yield _page(page, held)
+                    page, held = number, np.zeros(PAGE_WORDS, dtype=np.int64)
+                held[w % PAGE_WORDS] = bits
+        if held is not None:
+            yield _page(page, held)
+
+    def _page(number, held):
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([held.tobytes()], pa.binary())], names=["page", "bits"])
+
+    words = df.select("h").mapInArrow(run, "w long, bits long").groupBy("w").agg(F.bit_or("bits").alias("bits"))
+    paged = words.select(F.floor(F.col("w") / PAGE_WORDS).alias("page"), "w", "bits")
+    # a few partitions are enough for the pages of a small level
+    parts = max(1, min(256, size // 64 // PAGE_WORDS + 1))
+    out = np.zeros((-(-size // 64) // PAGE_WORDS + 1) * PAGE_WORDS, dtype=np.uint64)
+    for page, bits in paged.repartition(parts, "page").sortWithinPartitions("page").mapInArrow(pages, "page long, bits binary").toLocalIterator():  # size bits in all
+        out[page * PAGE_WORDS : (page + 1) * PAGE_WORDS] = np.frombuffer(bits, dtype=np.uint64)
+    return out[: -(-size // 64)]
 
 
 def build(universe: DataFrame) -> Cascade | None:
@@ -139,10 +157,11 @@ def _passing(keys: DataFrame, levels: list[Level]) -> DataFrame:
     return keys.select("h").mapInArrow(run, "h long")
 
 
-def suffixes(host: Column) -> Column:
-    """A host and its parent domains, longest first."""
+def suffixes(host: Column, most: int) -> Column:
+    """A host and its parent domains, longest first, of at most ``most`` labels: no key of the lists has more."""
     labels = F.split(host, r"\.")
-    return F.when(host == "", F.expr("cast(array() as array<string>)")).otherwise(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+    first = F.greatest(F.lit(1), F.size(labels) - most + 1)
+    return F.when((host == "") | F.lit(most < 1), F.expr("cast(array() as array<string>)")).otherwise(F.transform(F.sequence(first, F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
 
 
 def judge(pages: DataFrame, rules=RULES, listed=LISTED) -> DataFrame:
@@ -150,24 +169,33 @@ def judge(pages: DataFrame, rules=RULES, listed=LISTED) -> DataFrame:
 
     The longest fitting rule decides; without one a URL is blocked if its host or a parent domain is listed, else
     allowed.  Null urls and urls without '://' have empty host and path, no rule, and are allowed.  Repeated and null
-    page_ids are judged row by row.
+    page_ids are judged row by row.  ``rules`` are (verdict, rule) pairs or a table of these columns, ``listed`` hosts or a table
+    (host); tables may be of any size, and neither they nor their keys pass through the driver.
     """
     spark = pages.sparkSession
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame(list(rules), "verdict string, rule string")
+    if not isinstance(listed, DataFrame):
+        listed = spark.createDataFrame([(h,) for h in listed], "host string")
     host, path = host_and_path(F.col("url"))
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
-    lengths = sorted({len(r[r.index("/") :]) for _, r in rules}, reverse=True)
+    slash = F.instr("rule", "/")
+    lengths = sorted((r[0] for r in rules.select((F.length("rule") - slash + 1).alias("n")).where("n is not null").distinct().collect()), reverse=True)  # a row for each length of a path
+    labels = lambda h: F.max(F.size(F.split(h, r"\.")))
+    most = max(rules.agg(labels(F.substring("rule", F.lit(1), slash - 1))).first()[0] or 0, listed.agg(labels(F.col("host"))).first()[0] or 0)
     # candidate keys, each (kind and key): rule keys are suffix and path prefix, list keys the suffix
-    named = urls.withColumn("suffix", suffixes(F.col("host")))
-    prefixes = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring(F.col("path"), 1, n)) for n in lengths]), lambda p: p.isNotNull())
+    named = urls.withColumn("suffix", suffixes(F.col("host"), most))
+    no_prefix = F.expr("cast(array() as array<string>)")
+    prefixes = no_prefix if not lengths else F.filter(F.array(*[F.when(F.length("path") >= n, F.substring(F.col("path"), 1, n)) for n in lengths]), lambda p: p.isNotNull())
     rule_keys = F.flatten(F.transform("suffix", lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
     named = named.withColumn("rule_keys", rule_keys)
     hashed = lambda kind: lambda k: F.xxhash64(F.lit(kind), k)
     distinct = named.select("host", F.substring("path", 1, max([0, *lengths])).alias("path"), "suffix", "rule_keys").distinct()
     distinct = common.staged(distinct, "url-keys")
     verdicts = {}
-    for name, keys, kind, column in (("allow", [r for v, r in rules if v == "allow"], "rule", "rule_keys"), ("block", [r for v, r in rules if v == "block"], "rule", "rule_keys"), ("listed", list(listed), "host", "suffix")):
+    for name, keys, kind, column in (("allow", rules.where("verdict = 'allow'").select("rule"), "rule", "rule_keys"), ("block", rules.where("verdict = 'block'").select("rule"), "rule", "rule_keys"), ("listed", listed.select("host"), "host", "suffix")):
         universe = distinct.select(F.explode(column).alias("key")).distinct().select(hashed(kind)(F.col("key")).alias("h"))
-        on_list = spark.createDataFrame([(k,) for k in keys], "key string").select(hashed(kind)(F.col("key")).alias("h"), F.lit(1).alias("on"))
+        on_list = keys.toDF("key").where("key is not null").distinct().select(hashed(kind)(F.col("key")).alias("h"), F.lit(1).alias("on"))
         # which keys of the universe are listed is counted, not joined: 2 is in the universe only, 3 in both
         marked = universe.select("h", F.lit(2).alias("on")).unionByName(on_list).groupBy("h").agg(F.sum("on").alias("on")).where("on >= 2")
         marked = common.staged(marked.select("h", (F.col("on") == 3).alias("listed")), f"url-{name}")

@@ -50,6 +50,19 @@ def test_lists_too_large_for_filters_are_joined(spark, monkeypatch):
     check(U.judge(pages(spark, urls)).collect(), urls)
 
 
+def test_lists_as_tables(spark, monkeypatch):
+    monkeypatch.setattr(U, "PAGE_WORDS", 2)
+    r = random.Random(1)
+    rules = [(r.choice(["allow", "block"]), f"h{k}.com/{r.choice(['', 'a/', 'b/c/'])}") for k in range(40)]
+    listed = [f"x{k}.org" for k in range(500)]
+    urls = list(enumerate(URLS + [f"http://{r.choice(['', 'www.'])}h{r.randrange(50)}.com/{r.choice(['', 'a/', 'b/c/d'])}" for _ in range(300)] + [f"http://m.x{r.randrange(800)}.org/" for _ in range(400)]))
+    tables = spark.createDataFrame(rules + rules[:3], "verdict string, rule string"), spark.createDataFrame([(h,) for h in [*listed, listed[0], None]], "host string")
+    got = U.judge(pages(spark, urls), *tables).collect()
+    assert sorted(map(repr, ((x["page_id"], x["host"], x["path"], x["rule"], x["verdict"]) for x in got))) == sorted(repr((k, *brute(u, rules, listed))) for k, u in urls)
+    none = U.judge(pages(spark, urls), tables[0].limit(0), tables[1].limit(0)).collect()
+    assert len(none) == len(urls) and {x["verdict"] for x in none} == {"allow"}
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     rng = np.random.default_rng(0)
     keys = rng.integers(-(1 << 62), 1 << 62, 6000)
