@@ -11,6 +11,7 @@ ends; what is left of it is the next seed.  A last window that isn't full goes t
 from __future__ import annotations
 
 import math
+import pickle
 import re
 import zlib
 from array import array
@@ -381,10 +382,15 @@ def _tree(rests: DataFrame, n: int, idf: np.ndarray, mean: float, shard_rows: in
             x = project(_rests(b))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["salt", "x"])
 
+    def fit(batches):
+        got = [b.column(1).to_pylist() for b in batches]
+        x = np.frombuffer(b"".join(v for g in got for v in g), dtype=np.float32).reshape(-1, DIMENSIONS)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_tree(x, max(1, len(x)) / n, shard_rows / LEAVES))], pa.binary())], names=["tree"])
+
     some = rests if share == 1 else rests.where(F.col("salt") < int((2 * share - 1) * (1 << 63)))
-    got = sorted(map(tuple, some.select("salt", "rest").mapInArrow(run, "salt long, x binary").collect()))  # about SAMPLE rows of DIMENSIONS floats
-    x = np.frombuffer(b"".join(r[1] for r in got), dtype=np.float32).reshape(len(got), DIMENSIONS)
-    return fit_tree(x, len(got) / n, shard_rows / LEAVES)
+    # one task has about SAMPLE rows of DIMENSIONS floats
+    vectors = some.select("salt", "rest").mapInArrow(run, "salt long, x binary").repartition(1).sortWithinPartitions("salt", "x")
+    return pickle.loads(vectors.mapInArrow(fit, "tree binary").first()[0])
 
 
 def op4_packing(spark, sf_dir: str) -> DataFrame:
