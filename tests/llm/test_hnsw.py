@@ -75,3 +75,20 @@ def test_stored_graph_is_flat_and_connected():
                 seen.add(t)
                 todo.append(t)
     assert len(seen) == 300
+
+
+def test_recall_of_the_query_over_the_embeddings(spark, monkeypatch):
+    sf = "/root/testdata/sf0.1"
+    data = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()
+    x, ids = np.stack(data.embedding).astype(np.float64), data.vec_id.to_numpy()
+    for shard in (H.SHARD, 500):  # one shard and several
+        graph = H.index(H.distinct_vectors(spark.read.parquet(f"{sf}/embeddings.parquet"), 10), shard)
+        asked = spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 100 = 0")
+        got = H.nearest(graph, asked, 10).toPandas()
+        hits = 0
+        for q, mine in got.groupby("query_id"):
+            d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(1))
+            order = [v for _, v in sorted(zip(d, ids, strict=True)) if v != q][:10]
+            hits += len(set(order) & set(mine.vec_id))
+        n = int((ids % 100 == 0).sum())
+        assert got.query_id.nunique() == n and hits >= 0.9 * 10 * n
