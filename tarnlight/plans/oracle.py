@@ -152,4 +152,18 @@ SQL = {
     "bare_names": "select s_suppkey, s_name as name from supplier",
     "edge_count": f"with {_PLANES} select count(*) as n_edges from snp where snp <= 7",
     "jaccard_knn_all": f"with {_JACCARD} select i, j, round(d, 6) as d from jac",
+    # Prim's algorithm: a row a point with its least edge to the tree, one point joins in each step
+    "mst_weight": f"""with recursive {_POINTS.replace("pts as", "p0 as")},
+lim as (select avg(x) as ax, avg(y) as ay, (max(x) - min(x)) / 2 as hx, (max(y) - min(y)) / 2 as hy from p0),
+pts as materialized (select id, (x - ax) / hx as x, (y - ay) / hy as y from p0, lim),
+{_CORE[len(_POINTS) + 1 :].lstrip()},
+reach as materialized (select i, j, greatest(d, a.core, b.core) as d from dd join core a on a.id = i join core b on b.id = j),
+prim(id, d, done) using key (id) as (
+  select id, case when id = (select min(id) from pts) then 0.0 else 1e308 end::double, false from pts
+  union all
+  select p.id, case when p.id = u.id then p.d else least(p.d, r.d) end, p.id = u.id
+  from (select id, d from recurring.prim where not done order by d, id limit 1) u, recurring.prim p
+  left join reach r on r.j = p.id and r.i = (select id from recurring.prim where not done order by d, id limit 1)
+  where not p.done)
+select count(*) - 1 as n_edges, round(sum(d), 6) as weight from prim""",
 }
