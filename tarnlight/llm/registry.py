@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .align import op12_alignment
 from .hnsw import op3_hnsw
 from .langid import op7_language_id
 from .decontaminate import op9_decontamination
@@ -15,7 +16,7 @@ from .warc import OP8_SQL, op8_warc
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii, op2_minhash, op3_hnsw, op4_packing, op5_tool_calls, op6_url_filter, op7_language_id, op8_warc, op9_decontamination, op10_toxicity)}
+    return {f.__name__: f for f in (op1_pii, op2_minhash, op3_hnsw, op4_packing, op5_tool_calls, op6_url_filter, op7_language_id, op8_warc, op9_decontamination, op10_toxicity, op12_alignment)}
 
 
 def oracle_sql() -> dict:
