@@ -11,12 +11,13 @@ from .packing import op4_packing
 from .pii import op1_pii
 from .toolcalls import OP5_SQL, op5_tool_calls
 from .toxicity import op10_toxicity
+from .turns import op13_repair
 from .urlfilter import op6_sql, op6_url_filter
 from .warc import OP8_SQL, op8_warc
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii, op2_minhash, op3_hnsw, op4_packing, op5_tool_calls, op6_url_filter, op7_language_id, op8_warc, op9_decontamination, op10_toxicity, op12_alignment)}
+    return {f.__name__: f for f in (op1_pii, op2_minhash, op3_hnsw, op4_packing, op5_tool_calls, op6_url_filter, op7_language_id, op8_warc, op9_decontamination, op10_toxicity, op12_alignment, op13_repair)}
 
 
 def oracle_sql() -> dict:
