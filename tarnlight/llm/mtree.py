@@ -393,9 +393,9 @@ def op11_mtree(spark, sf_dir: str) -> DataFrame:
 
 
 OP11_SQL = """
-with v as (select vec_id, list_transform(embedding, x -> floor(1024 * x::double)) as v from embeddings
-           where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
-s as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2]))::bigint as score
+with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as v from embeddings
+           where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score
       from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0)
 select query_id, rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s) where rank <= 10
 """
