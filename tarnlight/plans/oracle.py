@@ -118,7 +118,9 @@ SQL = {
     "frame_delta": f"with {_FRAMES} select frame, round(dx, 6) as dx, round(dy, 6) as dy from moves",
     "freq_map": f"with {_FRAMES}, s as (select least(min(dx), min(dy)) as lo, greatest(max(dx), max(dy)) as hi from moves) select frame, round(120 + 1200 * (dx - lo) / (hi - lo), 6) as fx, round(120 + 1200 * (dy - lo) / (hi - lo), 6) as fy from moves, s",
     "core_distance": f"with {_CORE} select id, round(core, 6) as core from core",
-    "mutual_reachability": f"with {_CORE} select i, j, round(greatest(d, a.core, b.core), 6) as d from dd join core a on a.id = i join core b on b.id = j",
+    "mutual_reachability": f"""with {_POINTS},
+near as materialized (select a.id, any_value(a.x) as x, any_value(a.y) as y, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 2)[2] as core from pts a join pts b on a.id <> b.id group by a.id)
+select a.id as i, b.id as j, round(greatest(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), a.core, b.core), 6) as d from near a join near b on a.id <> b.id""",
     "hexbin": f"with {_POINTS}, s as (select min(x) as x0, min(y) as y0, (max(x) - min(x)) / 50 as sx, (max(y) - min(y)) / 28 as sy from pts), t as (select (x - x0) / sx as u, (y - y0) / sy as v, s.* from pts, s), c as (select *, (u - round_even(u, 0)) ** 2 + 3 * (v - round_even(v, 0)) ** 2 < (u - floor(u) - 0.5) ** 2 + 3 * (v - floor(v) - 0.5) ** 2 as a from t), h as (select case when a then round_even(u, 0) else floor(u) + 0.5 end * sx + x0 as cx, case when a then round_even(v, 0) else floor(v) + 0.5 end * sy + y0 as cy from c) select round(cx, 6) as cx, round(cy, 6) as cy, count(*) as n from h group by 1, 2",
     "class_sizes": "select cast(label as varchar) as label, count(*) as n from embeddings group by 1",
     "top_classes": "select cast(user_id as varchar) as label, count(*) as n from events group by 1 order by n desc, label limit 30",
@@ -152,6 +154,46 @@ SQL = {
     "bare_names": "select s_suppkey, s_name as name from supplier",
     "edge_count": f"with {_PLANES} select count(*) as n_edges from snp where snp <= 7",
     "jaccard_knn_all": f"with {_JACCARD} select i, j, round(d, 6) as d from jac",
+    # Points in the order of Prim's algorithm: parts of the hierarchy are the intervals between longer joins, clusters those that split off
+    "hdbscan_labels": f"""with recursive {_POINTS.replace("pts as", "p0 as")},
+lim as (select avg(x) as ax, avg(y) as ay, (max(x) - min(x)) / 2 as hx, (max(y) - min(y)) / 2 as hy from p0),
+pts as materialized (select id, (x - ax) / hx as x, (y - ay) / hy as y from p0, lim),
+dd as materialized (select a.id as i, b.id as j, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) as d from pts a join pts b on a.id <> b.id),
+core as materialized (select i as id, list_sort(list(d))[2] as core from dd group by i),
+reach as materialized (select i, j, greatest(d, a.core, b.core) as d from dd join core a on a.id = i join core b on b.id = j),
+prim(id, d, step) using key (id) as (
+  select id, case when id = (select min(id) from pts) then 0.0 else 1e308 end::double, null::bigint from pts
+  union all
+  select p.id, case when p.id = u.id then p.d else least(p.d, r.d) end, case when p.id = u.id then u.n end
+  from (select id, d, (select count(step) from recurring.prim) as n from recurring.prim where step is null order by d, id limit 1) u, recurring.prim p
+  left join reach r on r.j = p.id and r.i = (select id from recurring.prim where step is null order by d, id limit 1)
+  where p.step is null),
+seq as materialized (select id, step as t, case when step = 0 then 'inf'::double else d end as w from prim union all select null, (select count(*) from pts), 'inf'::double),
+low as materialized (select s.t, s.w, max(o.t) filter (o.t < s.t) as l, min(o.t) filter (o.t > s.t) - 1 as r from seq s join seq o on o.w > s.w where s.w < 'inf'::double group by s.t, s.w),
+node as materialized (select distinct l, r, w as h, r - l + 1 as size, case when w > 0 then least(1 / w, 1e290) else 1e290 end as rate from low),
+up as materialized (select a.*, p.l as pl, p.r as pr, p.rate as birth from node a left join node p on p.h = least((select w from seq where t = a.l), (select w from seq where t = a.r + 1)) and p.l <= a.l and p.r >= a.r),
+point as materialized (select s.id, s.t, n.l, n.r, n.rate from seq s join seq o on o.t = s.t + 1 join node n on n.h = least(s.w, o.w) and n.l <= s.t and n.r >= s.t where s.id is not null),
+inner_ as materialized (select pl as l, pr as r, count(*) as parts, sum(size) as part_points from up where pl is not null group by 1, 2),
+single as materialized (select l, r, count(*) as points from point group by 1, 2),
+head as materialized (select u.l, u.r, u.size, coalesce(u.birth, 0) as birth, row_number() over (order by u.size, u.l) as k from up u left join inner_ i on i.l = u.pl and i.r = u.pr where u.pl is null or i.parts >= 2),
+owned as materialized (select n.l, n.r, n.rate, arg_min(h.k, h.size) as k from node n join head h on h.l <= n.l and h.r >= n.r group by all),
+cl as materialized (select h.k, h.l, h.r, h.size, h.birth, sum(o.rate * (coalesce(s.points, 0) + case when i.parts >= 2 then i.part_points else 0 end)) - h.size * h.birth as stable
+  from head h join owned o using (k) left join single s on s.l = o.l and s.r = o.r left join inner_ i on i.l = o.l and i.r = o.r group by h.k, h.l, h.r, h.size, h.birth),
+kid as materialized (select h.k as kid, o.k from head h join up u on u.l = h.l and u.r = h.r join owned o on o.l = u.pl and o.r = u.pr),
+best(k, best, taken) using key (k) as (
+  select 0::bigint, 0::double, false
+  union all
+  select c.k, greatest(c.stable, coalesce(b.below, 0)), coalesce(b.below, 0) <= c.stable
+  from cl c left join (select kid.k, sum(x.best) as below from recurring.best x join kid on kid.kid = x.k group by kid.k) b on b.k = c.k
+  where c.k = (select max(k) + 1 from recurring.best)),
+ok as materialized (select c.k, c.l, c.r, c.size, c.birth, taken from cl c join best using (k)),
+top as materialized (select * from ok a where taken and not exists (select 1 from ok b where b.taken and b.size > a.size and b.l <= a.l and b.r >= a.r)),
+risen as materialized (select distinct arg_min(b.k, b.size) as k from top a join ok b on b.l <= a.l and b.r >= a.r and b.birth <= 1 / 0.02 group by a.k),
+final as materialized (select a.* from risen join ok a using (k) where not exists (select 1 from risen s join ok b on s.k = b.k where b.size > a.size and b.l <= a.l and b.r >= a.r)),
+stay as (select case when (select count(*) from final) = 1 and (select birth from final limit 1) = 0 then least(1 / 0.02, (select max(p.rate) from point p join owned o on o.l = p.l and o.r = p.r join final f on f.k = o.k)) else 0 end as rate),
+found as (select p.id, f.k from point p join final f on p.t between f.l and f.r, stay where p.rate >= stay.rate),
+named as (select k, row_number() over (order by min(id)) - 1 as cluster from found group by k)
+select pts.id, coalesce(cluster, -1)::int as cluster from pts left join found using (id) left join named using (k)""",
     # Prim's algorithm: a row a point with its least edge to the tree, one point joins in each step
     "mst_weight": f"""with recursive {_POINTS.replace("pts as", "p0 as")},
 lim as (select avg(x) as ax, avg(y) as ay, (max(x) - min(x)) / 2 as hx, (max(y) - min(y)) / 2 as hy from p0),

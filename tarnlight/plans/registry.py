@@ -237,10 +237,14 @@ def mutual_reachability(spark, sf):
 
 def mst_weight(spark, sf):
     p = cluster.scaled(_points(spark, sf))
-    tree = cluster.spanning_tree(p, cluster.core_distances(p))
+    tree = cluster.spanning_tree(p)
     return tree.agg(F.count("*").alias("n_edges"), F.round(F.sum("d"), 6).alias("weight"))
 
 
+def hdbscan_labels(spark, sf):
+    return cluster.hdbscan(_points(spark, sf))
+
+
 def hexbin(spark, sf):
     return plots.hexbin(_points(spark, sf)).select(*_r("cx", "cy"), "n")
 
@@ -422,7 +426,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES = (
     iupac_encode, snp_distance, snp_knn_ties, snp_threshold, jaccard_distance, jaccard_knn, jaccard_threshold, vector_knn, perplexity_p, edge_normalise, raw_similarity,
     labels_join, weights_join, weights_mismatch, name_symdiff, cdf_table, weighted_draw, sce_step, step_collisions, eq_update, eq_prefix, eta_schedule, frame_schedule, scale_centre, zscore_frame, frame_delta, freq_map,
-    core_distance, mutual_reachability, mst_weight, hexbin, sorted_labels, class_sizes, top_classes, point_size, n_clusters, colour_map, triangle_wave, adsr, synth, pcm_scale, dot_lines, cluster_csv,
+    core_distance, mutual_reachability, mst_weight, hdbscan_labels, hexbin, sorted_labels, class_sizes, top_classes, point_size, n_clusters, colour_map, triangle_wave, adsr, synth, pcm_scale, dot_lines, cluster_csv,
     minhash_jaccard, core_accessory, sketch_knn, sketch_kmers, embed_and_cluster,
     self_draws, first_layout, run_frames, worker_split, noise_split, plot_table, stereo, fasta_read, rtab_read, distances_reload, labels_file, weights_file, names_file, embedding_file, bare_names, edge_count, jaccard_knn_all,
 )
