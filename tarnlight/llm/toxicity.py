@@ -140,24 +140,25 @@ def clean_words(text: str | None) -> tuple[list[str], list[str]]:
 def quotations(raw: list[str]) -> tuple[list[tuple[int, int]], list[int]]:
     """Closed quotations (first and last word), in one pass over the text, and the words with marks that nothing closes.
 
-    A mark at the front of a word opens a quotation if none is open; its partner at the end of a word closes it.
+    A mark at the front of a word opens a quotation if none is open; its partner at the end of a word closes it, at the next such word.
+    A mark whose partner ends no later word opens none, so quotations behind it count all the same.
     """
+    tails = [w.rstrip(".,;:!?)]}") for w in raw]
+    last = {t[-1]: i for i, t in enumerate(tails) if t}
     spans, lost, opened, closing = [], [], -1, ""
-    for i, w in enumerate(raw):
-        head, tail = w.lstrip("([{"), w.rstrip(".,;:!?)]}")
+    for i, (w, tail) in enumerate(zip(raw, tails, strict=True)):
+        head = w.lstrip("([{")
         if opened < 0 and head and head[0] in MARKS:
-            opened, closing = i, MARKS[head[0]]
-            if len(tail) < 2:
-                continue
-        if opened >= 0 and tail and tail[-1] in closing:
+            closing = MARKS[head[0]]
+            if len(tail) > 1 and tail[-1] in closing:
+                spans.append((i, i))
+            elif any(last.get(c, -1) > i for c in closing):
+                opened = i
+            else:
+                lost.append(i)
+        elif opened >= 0 and tail and tail[-1] in closing:
             spans.append((opened, i))
             opened = -1
-    if opened >= 0:
-        # what was opened last never ends; quotations behind its mark count all the same
-        lost.append(opened)
-        more, ends = quotations(raw[opened + 1 :]) if opened + 1 < len(raw) and len(lost) < 2 else ([], [])
-        spans += [(a + opened + 1, b + opened + 1) for a, b in more]
-        lost += [a + opened + 1 for a in ends]
     return spans, lost
 
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from tarnlight.llm import toxicity as T
 
@@ -146,3 +147,37 @@ def test_scores_of_the_query_by_brute_force(spark):
         want = 1 / (1 + np.exp(-float(np.dot(x, model.weights))))
         assert abs(want - mine["score"]) < 1e-9 and abs(query[r["doc_id"]]["score"] - want) < 1e-6
         assert query[r["doc_id"]]["predicted"] == int(query[r["doc_id"]]["score"] >= 0.7)
+
+
+def naive_quotations(raw):
+    """As the text says it: look for the partner of each mark, word by word."""
+    spans, lost, i = [], [], 0
+    while i < len(raw):
+        head = raw[i].lstrip("([{")
+        if head and head[0] in T.MARKS:
+            ends = [j for j in range(i, len(raw)) if (t := raw[j].rstrip(".,;:!?)]}")) and t[-1] in T.MARKS[head[0]] and (j > i or len(t) > 1)]
+            if ends:
+                spans.append((i, ends[0]))
+                i = ends[0]
+            else:
+                lost.append(i)
+        i += 1
+    return spans, lost
+
+
+def test_quotations_equal_a_search_for_each_mark():
+    rng = random.Random(4)
+    marks = [*T.MARKS, *{c for v in T.MARKS.values() for c in v}]
+    for _ in range(400):
+        raw = [rng.choice(["", "(", *marks]) + rng.choice(["a", "bc", ""]) + rng.choice(["", ".", ")", *marks, *marks]) for _ in range(rng.randrange(1, 25))]
+        raw = [w for w in raw if w]
+        assert T.quotations(raw) == naive_quotations(raw)
+
+
+@pytest.mark.parametrize("word", ['"word', "\u201ea", "\u2018tis", "\u00abmot"])
+def test_marks_that_never_close(word):
+    import time
+
+    began = time.time()
+    spans, lost = T.quotations([word] * 200_000)
+    assert not spans and len(lost) == 200_000 and time.time() - began < 10
