@@ -29,7 +29,7 @@ BLOCK = 2_048
 #: Pairs with the same first document that one task verifies; more are dealt over several keys.
 PAIRS_PER_KEY = 256
 #: Documents whose ids are broadcast to pick texts; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 100_000
 #: Rounds that finding components may take; the paths in them shorten by a constant factor a round.
 MAX_ROUNDS = 100
 #: Bits of a set's bitmap for each shingle, rounded up to a power of two.
