@@ -48,6 +48,15 @@ moves as (select frame, max(dx) as dx, max(dy) as dy from steps where dx is not
 _CORE = f"""{_POINTS},
 dd as materialized (select a.id as i, b.id as j, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) as d from pts a join pts b on a.id <> b.id),
 core as materialized (select i as id, max(d) as core from (select *, row_number() over (partition by i order by d, j) as r from dd) where r <= 2 group by i)"""
+_TELEMETRY = f"""{_POINTS.replace("pts as", "at0 as")}, nsq as (select (count(*) * (count(*) - 1))::double as n from embeddings), start as (select 1.0::double as eq),
+""" + ",\n".join(
+    f"""f{e} as (select a.id as k, b.id as l, 1 / (1 + (a.x - b.x) ** 2 + (a.y - b.y) ** 2) as q, a.x - b.x as dx, a.y - b.y as dy, a.id % 3 <> 0 as repel from at{e} a join at{e} b on b.id = a.id + 1 join embeddings v on v.vec_id = a.id where v.label % 3 = {e}),
+g{e} as (select *, greatest(1 - {e} / 3.0::double, 1e-4) * case when repel then 2.0 / (eq * 5) * q * q else -2.0 * q end as g from f{e}, {f"after{e - 1}" if e else "start"}),
+m{e} as (select id, sum(gx) as gx, sum(gy) as gy, count(*) as ends from (select k as id, g * dx as gx, g * dy as gy from g{e} union all select l, -g * dx, -g * dy from g{e}) group by id),
+at{e + 1} as (select id, x + coalesce(gx, 0) as x, y + coalesce(gy, 0) as y from at{e} left join m{e} using (id)),
+after{e} as (select greatest(1 - {e} / 3.0::double, 1e-4) as eta, (eq * n + (select sum(q) from f{e})) / (n + (select count(*) from f{e})) as eq, (select count(*) from f{e}) as draws, (select sum(ends - 1) from m{e})::bigint as clashes from {f"after{e - 1}" if e else "start"}, nsq)"""
+    for e in range(3)
+)
 _TRIANGLE = "case when {0} <= 0.25 then 4 * {0} when {0} <= 0.75 then 2 - 4 * {0} else 4 * {0} - 4 end"
 _LEVEL = "case when {0} < 0.025 then {0} / 0.025 when {0} < 0.125 then 1 - ({0} - 0.025) / 0.1 * (1 - 0.9) when {0} < 0.7 then 0.9 else 0.9 / 0.3 * (1 - {0}) end"
 _SKETCH = """
@@ -108,11 +117,26 @@ SQL = {
     "weighted_draw": "with w as (select l_suppkey as id, count(*) as n from lineitem group by 1), c as (select id, sum(n) over (order by id) as hi, n from w), t as (select sum(n) as t from w), u as (select o_orderkey as draw, (o_orderkey * 7919 % 100003) / 100003.0 + 1e-6 as u from orders) select draw, id from u, t, c where u * t < hi and u * t >= hi - n",
     "sce_step": f"with {_POINTS}, f as (select a.id as k, b.id as l, 1 / (1 + (a.x - b.x) ** 2 + (a.y - b.y) ** 2) as q, a.x - b.x as dx, a.y - b.y as dy, a.id % 3 <> 0 as repel from pts a join pts b on b.id = a.id + 1), g as (select *, 0.7 * case when repel then 2.0 / (0.5 * 5) * q * q else -2.0 * q end as g from f), m as (select id, sum(gx) as gx, sum(gy) as gy from (select k as id, g * dx as gx, g * dy as gy from g union all select l, -g * dx, -g * dy from g) group by id) select id, round(x + coalesce(gx, 0), 6) as x, round(y + coalesce(gy, 0), 6) as y from pts left join m using (id)",
     "eq_update": "with recursive s as (select row_number() over (order by label) as t, sum(1 / (1 + cast(embedding[1] as double) ** 2)) as s, count(*) as n from embeddings group by label), n as (select cast(count(*) * (count(*) - 1) as double) as pairs from embeddings), r(t, eq) as (select 0::bigint, 1::double union all select r.t + 1, (eq * pairs + s.s) / (pairs + s.n) from r join s on s.t = r.t + 1, n) select round(arg_max(eq, t), 9) as eq from r",
+    "telemetry": f"with {_TELEMETRY} {' union all '.join(f'select {e + 1}::int as epoch, round(100.0::double * {e + 1} / 3, 9) as percent, round(eta, 9) as eta, round(eq, 9) as eq, draws, clashes from after{e}' for e in range(3))}",
+    "alias_mass": "select l_suppkey as id, round(count(*) / sum(count(*)) over ()::double, 9) as p from lineitem group by l_suppkey",
+    # the slots in Walker's way: the last that lacks is filled from the last that has over
+    "alias_draws": """with recursive w as (select l_suppkey as id, count(*)::double as w from lineitem group by 1),
+f as (select list(id order by id) as ids, list(w * ((select count(*) from w) / (select sum(w) from w)) order by id) as fill from w),
+slots(step, lack, more, fill, keep, other) as (
+  select 0, list_filter(range(1, len(fill) + 1), lambda i: fill[i] < 1), list_filter(range(1, len(fill) + 1), lambda i: fill[i] > 1), fill, list_transform(fill, lambda x: 1.0::double), range(1, len(fill) + 1) from f
+  union all
+  select step + 1, case when left_b < 1 then list_append(lack[:-2], b) else lack[:-2] end, case when left_b <= 1 then more[:-2] else more end,
+    list_transform(fill, lambda x, i: case when i = b then left_b else x end), list_transform(keep, lambda x, i: case when i = s then fill[s] else x end), list_transform(other, lambda x, i: case when i = s then b else x end)
+  from (select *, lack[-1] as s, more[-1] as b, fill[more[-1]] - (1 - fill[lack[-1]]) as left_b from slots where len(lack) > 0 and len(more) > 0)),
+last as (select keep, other, ids, len(ids) as n from (select * from slots order by step desc limit 1), f),
+d as (select o_orderkey as draw, (o_orderkey * 7919 % 100003) / 100003.0::double as v from orders),
+hit as (select draw, v * n as x, least(floor(v * n), n - 1)::bigint + 1 as k, keep, other, ids from d, last)
+select draw, case when x - (k - 1) < keep[k] then ids[k] else ids[other[k]] end as id from hit""",
     "step_collisions": "with e as (select unnest([vec_id, vec_id + 1]) as id from embeddings), n as (select id, count(*) as n from e group by id) select cast(sum(n) as bigint) as touched, cast(sum(n - 1) as bigint) as collisions from n",
     "eq_prefix": "with s as (select label as step, round(avg(cast(embedding[1] as double)), 6) as eq from embeddings group by label) select f.step as frame, s.step, s.eq from s f join s on s.step <= f.step",
     "sorted_labels": "select label, cast(row_number() over (order by label) as integer) as k from (select distinct event_type as label from events)",
-    "eta_schedule": "select step, round(greatest(1 - step / 1000.0, 1e-4)::double, 9) as eta, case when step < 100 then 8 else 2 end as attraction, round(2.0 / (1.0 / (step + 1) * 5)::double, 9)::double as repulsion from range(1000) r(step)",
-    "frame_schedule": "select frame, cast(round(100000 * (1 - sqrt(1 - frame / 400.0)), 0) as bigint) as step from range(399) r(frame)",
+    "eta_schedule": "with n as (select count(*)::double as n from events) select event_id as step, round(greatest(1 - event_id / n, 1e-4)::double, 9) as eta, case when event_id < n / 10 then 8 else 2 end as attraction, round(2.0 / (1.0 / (event_id + 1) * 5)::double, 9)::double as repulsion from events, n",
+    "frame_schedule": "with n as (select count(*) as n from events) select s_suppkey as supplier, cast(round(n * (1 - sqrt(1 - (s_suppkey % 399) / 400.0)), 0) as bigint) as step from supplier, n",
     "scale_centre": f"with {_POINTS}, s as (select avg(x) as ax, avg(y) as ay, (max(x) - min(x)) / 2 as hx, (max(y) - min(y)) / 2 as hy from pts) select id, round((x - ax) / hx, 6) as x, round((y - ay) / hy, 6) as y from pts, s",
     "zscore_frame": f"with {_FRAMES} select frame, id, round(x, 6) as x, round(y, 6) as y from z",
     "frame_delta": f"with {_FRAMES} select frame, round(dx, 6) as dx, round(dy, 6) as dy from moves",
@@ -140,7 +164,7 @@ select a.id as i, b.id as j, round(greatest(sqrt((a.x - b.x) ** 2 + (a.y - b.y)
     "noise_split": "select vec_id as id, label - 1 as cluster, label = 0 as noise, case when label = 0 then 0 else 1 end::integer as layer from embeddings",
     "plot_table": f"with {_POINTS}, {_COLOURS} select id, 'v' || id as name, round(x, 6) as x, round(y, 6) as y, cluster, r, g, b from pts join cl using (id) join shade using (cluster)",
     "self_draws": f"with {_POINTS}, f as (select a.id as k, b.id as l, 1 / (1 + (a.x - b.x) ** 2 + (a.y - b.y) ** 2) as q, a.x - b.x as dx, a.y - b.y as dy, a.id % 3 <> 0 as repel from pts a join pts b on b.id = a.id + 1 where a.id % 5 <> 0), g as (select *, 0.7 * case when repel then 2.0 / (0.5 * 5) * q * q else -2.0 * q end as g from f), m as (select id, sum(gx) as gx, sum(gy) as gy from (select k as id, g * dx as gx, g * dy as gy from g union all select l, -g * dx, -g * dy from g) group by id) select id, round(x + coalesce(gx, 0), 6) as x, round(y + coalesce(gy, 0), 6) as y from pts left join m using (id)",
-    "first_layout": "select count(*) as n, count(*) as inside from embeddings",
+    "first_layout": f"with u as (select vec_id as id, {', '.join(f"(('0x' || substr(md5(vec_id || ':1:{k}'), 1, 13))::bigint + 0.5::double) / 4503599627370496.0::double as u{k}" for k in (1, 2))} from embeddings) select id, round(sqrt(u1) * cos(u2 * 2 * pi()), 6) as x, round(sqrt(u1) * sin(u2 * 2 * pi()), 6) as y from u",
     "run_frames": "select event_id as step from events where event_id in (select cast(round(n * (1 - sqrt(1 - frame / 400.0)), 0) as bigint) from range(399) r(frame), (select count(*) as n from events))",
     "worker_split": "select s_suppkey as workers, cast(100000 // greatest(s_suppkey, 8) as bigint) as steps from supplier",
     "stereo": f"with {_STEREO} lv as (select t, sum(({_TRIANGLE.format('a')}) * ({_LEVEL.format('x')})) as l, sum(({_TRIANGLE.format('b')}) * ({_LEVEL.format('x')})) as r from am group by t), mx as (select max(abs(l)) as ml, max(abs(r)) as mr from lv) select t, cast(trunc(l * 32767 / ml) as smallint) as left, cast(trunc(r * 32767 / mr) as smallint) as right from lv, mx",

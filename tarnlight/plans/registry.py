@@ -142,6 +142,22 @@ def weighted_draw(spark, sf):
     return probability.weighted_draw(table, draws).select("draw", "id")
 
 
+def _lines(spark, sf):
+    return _presence(spark, sf).groupBy("id").agg(F.count("*").cast("double").alias("w"))
+
+
+def alias_mass(spark, sf):
+    """The probability of each supplier in the alias table of their order lines."""
+    return probability.alias_mass(probability.alias_table(_lines(spark, sf))).select("id", *_r("p", digits=9))
+
+
+def alias_draws(spark, sf):
+    """A supplier for each order, drawn from that table."""
+    u = lambda by: F.pmod(F.col("o_orderkey") * by, F.lit(100_003)) / 100_003.0
+    draws = _table(spark, sf, "orders").select(F.col("o_orderkey").alias("draw"), u(104_729).alias("u"), u(7919).alias("v"))
+    return probability.alias_draw(probability.alias_table(_lines(spark, sf)), draws).select("draw", "id")
+
+
 def sce_step(spark, sf):
     p = _points(spark, sf)
     return layout.moved(p, layout.forces(p, _pairs(spark, sf), 0.5, 0.7, 2.0, 5)).select("id", *_r("x", "y"))
@@ -169,9 +185,16 @@ def self_draws(spark, sf):
 
 
 def first_layout(spark, sf):
-    """How many nodes start, and how many of them within the disc."""
+    """Where nodes start, in ten-thousandths."""
     at = layout.start(_table(spark, sf, "embeddings").select(F.col("vec_id").alias("id")), 1)
-    return at.agg(F.count("*").alias("n"), F.count_if(F.col("x") ** 2 + F.col("y") ** 2 <= 1e-8).alias("inside"))
+    return at.select("id", *[F.round(F.col(c) * 1e4, 6).alias(c) for c in "xy"])
+
+
+def telemetry(spark, sf):
+    """What a layout of three epochs with given draws reports: each vector with the next, in the epoch of its label."""
+    epochs = _table(spark, sf, "embeddings").select(F.col("vec_id").alias("k"), (F.col("label") % 3).cast("int").alias("epoch"))
+    made = layout.steps(_points(spark, sf), _pairs(spark, sf).join(epochs, "k"))
+    return made.telemetry().select("epoch", *_r("percent", "eta", "eq", digits=9), "draws", "clashes")
 
 
 def run_frames(spark, sf):
@@ -200,14 +223,17 @@ def sorted_labels(spark, sf):
 
 
 def eta_schedule(spark, sf):
-    steps = 1000
-    at = spark.range(steps).select(F.col("id").alias("step"))
+    """Rates of a run with a step for each event."""
+    at = _table(spark, sf, "events").select(F.col("event_id").alias("step"))
+    steps = at.count()
     eta, a = schedule.eta(F.col("step"), steps), schedule.attraction(F.col("step"), steps, True)
     return at.select("step", F.round(eta, 9).alias("eta"), a.alias("attraction"), F.round(schedule.repulsion(1.0 / (F.col("step") + 1), 5), 9).alias("repulsion"))
 
 
 def frame_schedule(spark, sf):
-    return spark.range(schedule.FRAMES - 1).select(F.col("id").alias("frame"), schedule.frame_point(F.col("id"), 100_000).alias("step"))
+    """The step at which a run with a step for each event takes the frame of each supplier's number."""
+    steps = _table(spark, sf, "events").count()
+    return _table(spark, sf, "supplier").select(F.col("s_suppkey").alias("supplier"), schedule.frame_point(F.col("s_suppkey") % (schedule.FRAMES - 1), steps).alias("step"))
 
 
 def scale_centre(spark, sf):
@@ -425,7 +451,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES = (
     iupac_encode, snp_distance, snp_knn_ties, snp_threshold, jaccard_distance, jaccard_knn, jaccard_threshold, vector_knn, perplexity_p, edge_normalise, raw_similarity,
-    labels_join, weights_join, weights_mismatch, name_symdiff, cdf_table, weighted_draw, sce_step, step_collisions, eq_update, eq_prefix, eta_schedule, frame_schedule, scale_centre, zscore_frame, frame_delta, freq_map,
+    labels_join, weights_join, weights_mismatch, name_symdiff, cdf_table, weighted_draw, alias_mass, alias_draws, sce_step, telemetry, step_collisions, eq_update, eq_prefix, eta_schedule, frame_schedule, scale_centre, zscore_frame, frame_delta, freq_map,
     core_distance, mutual_reachability, mst_weight, hdbscan_labels, hexbin, sorted_labels, class_sizes, top_classes, point_size, n_clusters, colour_map, triangle_wave, adsr, synth, pcm_scale, dot_lines, cluster_csv,
     minhash_jaccard, core_accessory, sketch_knn, sketch_kmers, embed_and_cluster,
     self_draws, first_layout, run_frames, worker_split, noise_split, plot_table, stereo, fasta_read, rtab_read, distances_reload, labels_file, weights_file, names_file, embedding_file, bare_names, edge_count, jaccard_knn_all,
