@@ -12,6 +12,8 @@ from ..functions import bases
 from . import pairs, storage
 
 DOUBLES = "array<double>"
+#: Ways to read the ambiguous codes of a segment that have keys of their own.
+READINGS = 64
 
 
 def vector_payload(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -47,28 +49,80 @@ def plane_payload(planes: DataFrame, length: int) -> DataFrame:
 def snp_all(msa: DataFrame, length: int) -> DataFrame:
     """(i, j, snp) of all ordered pairs, self included: positions without a base in common."""
     rows = plane_payload(encoded(msa, length), length)
-    return pairs.distances(rows, pairs.hamming_planes, lambda i, j, d: d >= 0).select("i", "j", F.col("d").cast("long").alias("snp"))
+    return pairs.distances(rows, pairs.hamming_planes, lambda i, j, d: d >= 0, n=msa.count()).select("i", "j", F.col("d").cast("long").alias("snp"))
 
 
 def snp_knn(msa: DataFrame, length: int, k: int) -> DataFrame:
     """EDGES of the k nearest and all ties; the self pair counts and stays, so k + 1 rows at least where there are as many."""
     rows = plane_payload(encoded(msa, length), length)
-    near = pairs.distances(rows, pairs.hamming_planes, pairs.smallest(k + 1, True, True))
+    near = pairs.distances(rows, pairs.hamming_planes, pairs.smallest(k + 1, True, True), n=msa.count())
     return near.select("i", "j", (F.col("d") / length).alias("d"))
 
 
+def segment_keys(msa: DataFrame, length: int, budget: int) -> DataFrame:
+    """(id, key) of an alignment (id, seq): a key for each of budget + 1 segments and each way to read its ambiguous codes; stored.
+
+    Rows within the budget have a segment without a SNP, so a reading of it in common.  Rows of which a segment has more than
+    READINGS have one row without key.
+    """
+    import itertools
+
+    import numpy as np
+    import pyarrow as pa
+
+    cuts = np.linspace(0, length, min(length, budget + 1) + 1).astype(int)
+    bits = {c: sorted(s) for c, s in bases.CODES.items()}
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for i, seq in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                own = []
+                for at, (lo, hi) in enumerate(itertools.pairwise(cuts)):
+                    read = [bits.get(c, bases.BASES) for c in seq[lo:hi].upper()]
+                    many = 1
+                    for r in read:
+                        many *= len(r)
+                    if many > READINGS:
+                        own = [(i, None)]
+                        break
+                    own += [(i, f"{at}:{''.join(r)}") for r in itertools.product(*read)]
+                out += own
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[], []], (pa.int64(), pa.string()), strict=True)], names=["id", "key"])
+
+    return storage.stored(msa.select("id", "seq").mapInArrow(run, "id long, key string"), "segments")
+
+
 def snp_threshold(msa: DataFrame, length: int, threshold: float) -> DataFrame:
-    """EDGES of at most the threshold's budget of SNPs, the self pair among them."""
+    """EDGES of at most the threshold's budget of SNPs, the self pair among them.
+
+    Pairs that share a segment's key are compared; rows too ambiguous for keys are compared with all.  Where segments are so common
+    that this compares more pairs than there are, all pairs are compared in blocks instead.
+    """
     budget = bases.snp_budget(threshold, length)
     rows = plane_payload(encoded(msa, length), length)
-    near = pairs.distances(rows, pairs.hamming_planes, lambda i, j, d: (d <= budget) | (budget < 0))
-    return near.select("i", "j", (F.col("d") / length).alias("d"))
+    few = lambda i, j, d: (d <= budget) | (budget < 0)
+    scaled = lambda near: near.select("i", "j", (F.col("d") / length).alias("d"))
+    if 0 <= budget < length:
+        n, keys = msa.count(), segment_keys(msa, length, budget)
+        wide = keys.where("key is null").select("id")
+        many = wide.count()
+        narrow = keys.where("key is not null")
+        if pairs.comparisons(narrow) + 2 * n * many < n * n:
+            rows = storage.stored(rows, "planes")
+            near = pairs.keyed(narrow, rows, pairs.hamming_planes, few)
+            itself = rows.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(0.0).alias("d"))
+            # ambiguous rows are marked by an id set of their own: each with all others, both ways
+            meets = pairs.across(rows.join(wide, "id"), rows, pairs.hamming_planes, few) if many else None
+            return scaled(near.unionByName(itself) if meets is None else near.unionByName(meets).unionByName(itself).distinct())
+        return scaled(pairs.distances(rows, pairs.hamming_planes, few, n=n))
+    return scaled(pairs.distances(rows, pairs.hamming_planes, few))
 
 
 def vector_knn(rows: DataFrame, id_col: str, vec_col: str, k: int) -> DataFrame:
     """EDGES of the k nearest by cosine distance, without self, ties to the smaller j."""
     keep = pairs.smallest(k, False, False) if k > 0 else lambda i, j, d: i[:, None] != j[None]
-    return pairs.distances(vector_payload(rows, id_col, vec_col), pairs.cosine, keep)
+    return pairs.distances(vector_payload(rows, id_col, vec_col), pairs.cosine, keep, n=rows.count())
 
 
 def first_k(edges: DataFrame, k: int) -> DataFrame:
@@ -112,9 +166,33 @@ def jaccard_knn(presence: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return pairs.distances(set_payload(presence, nodes), pairs.jaccard, pairs.smallest(k, False, False))
 
 
+def prefix_keys(presence: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """(id, key): each set's rarest features, so many that sets of a Jaccard distance below the threshold share one; stored.
+
+    Sets that similar share more than (1 - threshold) times the size of either; in an order that all agree on, the first features of both,
+    but for so many, must meet.
+    """
+    cells = presence.where("id is not null and feature is not null").select("id", F.xxhash64("feature").alias("h")).distinct().join(nodes.select("id").distinct(), "id", "left_semi")
+    cells = storage.stored(cells, "cells")
+    often = cells.groupBy("h").agg(F.count("*").alias("n"))
+    sets = cells.join(often, "h").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("x"))  # one sample's features
+    size = F.size("x")
+    shared = F.greatest(F.lit(1), F.ceil(size * (1 - threshold - 1e-9)))
+    return storage.stored(sets.select("id", F.explode(F.slice("x", F.lit(1), (size - shared + 1).cast("int"))).alias("f")).select("id", F.col("f.h").alias("key")), "prefixes")
+
+
 def jaccard_threshold(presence: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """EDGES strictly below the threshold, without self."""
-    return pairs.distances(set_payload(presence, nodes), pairs.jaccard, lambda i, j, d: (i[:, None] != j[None]) & (d < threshold))
+    """EDGES strictly below the threshold, without self.
+
+    Sets that share a feature of their prefixes are compared, and empty sets with each other.  Where that is more than all pairs, these are compared in blocks.
+    """
+    low = lambda i, j, d: (i[:, None] != j[None]) & (d < threshold)
+    rows = storage.stored(set_payload(presence, nodes), "sets")
+    n, keys = rows.count(), prefix_keys(presence, nodes, threshold)
+    if pairs.comparisons(keys) >= n * n:
+        return pairs.distances(rows, pairs.jaccard, low, n=n)
+    empty = rows.where(F.length("v") == 0)
+    return pairs.keyed(keys, rows, pairs.jaccard, low).unionByName(pairs.distances(empty, pairs.jaccard, low))
 
 
 def below(edges: DataFrame, threshold: float) -> DataFrame:

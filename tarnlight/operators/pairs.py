@@ -18,12 +18,19 @@ from . import storage
 
 #: Rows in a block on average, blocks in a panel at most, and candidates that a panel collects before it drops the worse ones.
 BLOCK, PANEL, HELD = 512, 8, 2_000_000
+#: Rows of a block at least.
+LEAST = 64
 EDGES = "i long, j long, d double"
 
 
-def packed(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(b, ids, sizes, data) of rows (id long, v binary); sizes are those of the payloads."""
-    blocks = max(1, -(-rows.count() // block))
+def packed(rows: DataFrame, block: int = BLOCK, n: int | None = None) -> tuple[DataFrame, int]:
+    """(b, ids, sizes, data) of the n rows (id long, v binary), and the number of blocks; sizes are those of the payloads.
+
+    Few rows make smaller blocks, so that all cores have some.
+    """
+    n = rows.count() if n is None else n
+    block = min(block, max(LEAST, -(-n // (2 * rows.sparkSession.sparkContext.defaultParallelism))))
+    blocks = max(1, -(-n // block))
     dealt = rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b"), "id", "v")
 
     def pack(batches):
@@ -43,39 +50,49 @@ def packed(rows: DataFrame, block: int = BLOCK) -> DataFrame:
         parts = (np.array(ids, dtype="<i8").tobytes(), np.array([len(v) for v in data], dtype="<i8").tobytes(), b"".join(data))
         return pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), *(pa.array([x], pa.binary()) for x in parts)], names=["b", "ids", "sizes", "data"])
 
-    return storage.stored(dealt.repartition(blocks, "b").sortWithinPartitions("b", "id").mapInArrow(pack, "b long, ids binary, sizes binary, data binary"), "blocks")
+    return storage.stored(dealt.repartition(blocks, "b").sortWithinPartitions("b", "id").mapInArrow(pack, "b long, ids binary, sizes binary, data binary"), "blocks"), blocks
 
 
-def distances(rows: DataFrame, kernel: Callable, keep: Callable, block: int = BLOCK) -> DataFrame:
+def distances(rows: DataFrame, kernel: Callable, keep: Callable, block: int = BLOCK, n: int | None = None, out: str = EDGES) -> DataFrame:
     """EDGES of the pairs that ``keep`` chooses from all ordered pairs.
 
     rows: (id, v); kernel(a, b): distances of the payloads of a panel and a block, each a uint8 array (rows x width), or, if
     the kernel has ``ragged`` set, the payloads end to end and their sizes; keep(i, j, d): boolean matrix of what to emit for ids
-    i and j and their distances d.  If it has ``prune``, that chooses once more from what all blocks gave a panel.
+    i and j and their distances d.  If it has ``prune``, that chooses once more from what all blocks gave a panel.  A kernel may give
+    several matrices as an array of one more axis, of which ``out`` names the columns; ``keep`` sees the first.  n: the number of rows, where it is known.
     """
-    return between(packed(rows, block), kernel, keep)
+    blocks, n = packed(rows, block, n)
+    return _streamed(blocks, n, blocks, kernel, keep, out)
+
 
+def across(few: DataFrame, rows: DataFrame, kernel: Callable, keep: Callable, block: int = BLOCK) -> DataFrame:
+    """EDGES between rows of ``few`` and others of ``rows``, which holds them too, in both directions and without self, as ``distances`` finds them."""
+    own, n = packed(few, block)
+    found = _streamed(own, n, packed(rows, block)[0], kernel, keep, EDGES).where("i <> j")
+    return found.unionByName(found.select(F.col("j").alias("i"), F.col("i").alias("j"), "d")).distinct()
 
-def between(blocks: DataFrame, kernel: Callable, keep: Callable) -> DataFrame:
-    """``distances`` over blocks that ``packed`` has made."""
+
+def _streamed(blocks: DataFrame, n: int, past: DataFrame, kernel: Callable, keep: Callable, out: str) -> DataFrame:
+    """Panels of the n ``blocks``, by each of which all blocks of ``past`` stream."""
     tasks = 2 * blocks.sparkSession.sparkContext.defaultParallelism
-    n = (blocks.agg(F.max("b")).first()[0] or 0) + 1
     wide = min(PANEL, max(1, n // tasks))
     panels = -(-n // wide)
     own = blocks.select(F.floor(F.col("b") / wide).alias("panel"), F.lit(0).alias("side"), "b", "ids", "sizes", "data")
-    every = blocks.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(panels - 1).cast("long"))).alias("panel"), F.lit(1).alias("side"), "b", "ids", "sizes", "data")
+    every = past.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(panels - 1).cast("long"))).alias("panel"), F.lit(1).alias("side"), "b", "ids", "sizes", "data")
     both = own.unionByName(every).repartition(panels, "panel").sortWithinPartitions("panel", "side", "b").select("panel", "side", "ids", "sizes", "data")
     prune = getattr(keep, "prune", None)
 
+    names = [c.split()[0] for c in out.split(", ")]
+
     def batch(found):
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["i", "j", "d"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=names)
 
     def run(batches):
         panel, mine, held, count = None, [], [], 0
 
         def settled():
             found = [np.concatenate(c) for c in zip(*held, strict=True)]
-            good = prune(*found)
+            good = prune(*found[:3])
             return tuple(x[good] for x in found)
 
         for rows in batches:
@@ -94,8 +111,9 @@ def between(blocks: DataFrame, kernel: Callable, keep: Callable) -> DataFrame:
                 i, j = (np.frombuffer(x, dtype="<i8") for x in (mine[0][0], row[0]))
                 a, b = (_payloads(r, kernel) for r in (mine[0], row))
                 d = kernel(a, b)
-                x, y = np.nonzero(keep(i, j, d))
-                found = i[x], j[y], d[x, y].astype(np.float64)
+                layers = d if d.ndim == 3 else d[None]
+                x, y = np.nonzero(keep(i, j, layers[0]))
+                found = i[x], j[y], *(m[x, y].astype(np.float64) for m in layers)
                 if prune is None:
                     yield batch(found)
                     continue
@@ -107,7 +125,7 @@ def between(blocks: DataFrame, kernel: Callable, keep: Callable) -> DataFrame:
         if held:
             yield batch(settled())
 
-    return both.mapInArrow(run, EDGES)
+    return both.mapInArrow(run, out)
 
 
 def _payloads(row, kernel):
@@ -194,11 +212,11 @@ def smallest(k: int, ties: bool, self_too: bool):
         below = ok & (e <= cut)
         if ties:
             return below
-        # exactly k: of those at the cut, the smallest ids
-        order = np.lexsort((np.broadcast_to(j, e.shape), e), axis=1)[:, :k]
-        out = np.zeros_like(below)
-        np.put_along_axis(out, order, True, axis=1)
-        return out & ok
+        # exactly k: of those at the cut, the smallest ids; only rows with ties there have more
+        for row in np.flatnonzero(below.sum(1) > k):
+            at = np.flatnonzero(below[row])
+            below[row, at[np.lexsort((j[at], e[row, at]))[k:]]] = False
+        return below
 
     def prune(i, j, d):
         order = np.lexsort((j, d, i))
@@ -212,3 +230,56 @@ def smallest(k: int, ties: bool, self_too: bool):
 
     keep.prune = prune
     return keep
+
+
+def keyed(keys: DataFrame, rows: DataFrame, kernel: Callable, keep: Callable, block: int = BLOCK) -> DataFrame:
+    """EDGES of the ordered pairs that share a key and that ``keep`` chooses; keys: (id, key) without repeats, rows: (id, v) as for ``distances``.
+
+    Rows of a key meet within tasks; those of a key of many are dealt into blocks, each two of which meet in a task.
+    """
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    grid = F.ceil(F.col("n") / block).cast("long")
+    own = keys.join(sizes, "key").select("key", "id", F.pmod(F.xxhash64("id", F.lit(5)), grid).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), grid - 1)).alias("other"))
+    dealt = own.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id").join(rows, "id")
+    dealt = dealt.select("key", "lo", "hi", "side", "id", "v").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "side", "id")
+
+    def run(batches):
+        key, held, found, count = None, [[], []], [], 0
+
+        def met():
+            a, b = held[0], held[1] if key[1] != key[2] else held[0]
+            if not a or not b:
+                return
+            ids = [np.array([i for i, _ in side], dtype=np.int64) for side in (a, b)]
+            d = kernel(*(_payloads((i.tobytes(), np.array([len(v) for _, v in side], dtype="<i8").tobytes(), b"".join(v for _, v in side)), kernel) for i, side in zip(ids, (a, b), strict=True)))
+            x, y = np.nonzero(keep(ids[0], ids[1], d) & (ids[0][:, None] != ids[1][None]))
+            i, j, e = ids[0][x], ids[1][y], d[x, y].astype(np.float64)
+            found.append((i, j, e))
+            if key[1] != key[2]:
+                found.append((j, i, e))
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["i", "j", "d"])
+
+        for b in batches:
+            for k, lo, hi, side, i, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (k, lo, hi) != key:
+                    if key is not None:
+                        met()
+                    key, held = (k, lo, hi), [[], []]
+                    count = sum(len(f[0]) for f in found)
+                    if count > 100_000:
+                        yield batch()
+                        found.clear()
+                held[side].append((i, v))
+        if key is not None:
+            met()
+        if found:
+            yield batch()
+
+    return dealt.mapInArrow(run, EDGES).distinct()
+
+
+def comparisons(keys: DataFrame) -> int:
+    """Pairs that ``keyed`` compares, self pairs among them."""
+    return keys.groupBy("key").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0

@@ -65,6 +65,11 @@ h as (select distinct l_suppkey as id, k, case k when 1 then cast(l_partkey as v
 hn as (select id, k, count(*) as n from h group by 1, 2),
 hs as (select a.id as i, b.id as j, a.k, count(*) as c from h a join h b on a.k = b.k and a.hash = b.hash and a.id < b.id group by 1, 2, 3),
 jk as (select i, j, hs.k, c / cast(x.n + y.n - c as double) as jaccard from hs join hn x on x.id = i and x.k = hs.k join hn y on y.id = j and y.k = hs.k)"""
+_CHANCE = """
+ge as (select l_suppkey as id, avg(l_quantity) / 25 as n, avg((l_partkey % 4 = 0)::int) as a, avg((l_partkey % 4 = 1)::int) as c, avg((l_partkey % 4 = 2)::int) as g, avg((l_partkey % 4 = 3)::int) as t from lineitem group by 1),
+qs as (select i, j, k, jaccard, x.n as n, y.n as m, (x.a * y.a + x.c * y.c + x.g * y.g + x.t * y.t) ** k as q from jk join ge x on x.id = i join ge y on y.id = j),
+rs as (select *, (n * (1 - (1 - q) ** m) + m * (1 - (1 - q) ** n)) / 2 as shared from qs),
+fixed as (select i, j, k, case when shared / (n + m - shared) < 1 then greatest(0, (jaccard - shared / (n + m - shared)) / (1 - shared / (n + m - shared))) else 0 end as jaccard from rs)"""
 _NOTES = """
 notes as (select event_id / 20.0 as start, 120.0 + event_id % 1200 as freq from events),
 ts as (select start, freq, unnest(range(cast(ceil(start * {rate}) as bigint), cast(floor((start + 0.125) * {rate}) as bigint) + 1)) as t from notes),
@@ -158,6 +163,8 @@ select a.id as i, b.id as j, round(greatest(sqrt((a.x - b.x) ** 2 + (a.y - b.y)
     "cluster_csv": "select 'v' || vec_id as id, label as hdbscan_cluster__autocolour from embeddings",
     "minhash_jaccard": f"with {_SKETCH} select i, j, k, round(jaccard, 6) as jaccard from jk",
     "core_accessory": f"with {_SKETCH}, f as (select i, j, regr_slope(ln(jaccard), k) as s, regr_intercept(ln(jaccard), k) as c, count(*) as n, min(jaccard) as one from jk group by 1, 2) select i, j, round(case when n = 1 then 1 - one else greatest(0, least(1, 1 - exp(s))) end, 6) as core, round(case when n = 1 then 0 else greatest(0, least(1, 1 - exp(c))) end, 6) as accessory from f",
+    "random_jaccard": f"with {_SKETCH}, {_CHANCE} select i, j, k, round(jaccard, 6) as jaccard from fixed",
+    "corrected_distances": f"with {_SKETCH}, {_CHANCE}, f as (select i, j, regr_slope(ln(jaccard), k) as s, regr_intercept(ln(jaccard), k) as c, count(*) as n, min(jaccard) as one from fixed where jaccard > 0 group by 1, 2) select i, j, round(case when n = 1 then 1 - one else greatest(0, least(1, 1 - exp(s))) end, 6) as core, round(case when n = 1 then 0 else greatest(0, least(1, 1 - exp(c))) end, 6) as accessory from f",
     "sketch_kmers": "select distinct l_suppkey as name, '1,2,3' as ks from lineitem",
     "sketch_knn": f"with {_SKETCH}, {_CORE_KNN} select i, j, round(d, 6) as d from (select *, row_number() over (partition by i order by d, j) as r from every) where r <= 15",
     "colour_map": f"with {_COLOURS.replace('label - 1 as cluster', 'label as cluster')} select cast(cluster as varchar) as label, r, g, b from shade",

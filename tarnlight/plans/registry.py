@@ -426,7 +426,21 @@ def minhash_jaccard(spark, sf):
 
 
 def core_accessory(spark, sf):
-    return sketches.core_accessory(sketches.jaccard_by_k(_sketch(spark, sf))).select("i", "j", *_r("core", "accessory"))
+    return sketches.all_distances(_sketch(spark, sf)).select("i", "j", *_r("core", "accessory"))
+
+
+def _genomes(spark, sf):
+    """Suppliers' order lines as genomes: short ones, by the quantities, with the remainders of part numbers as bases."""
+    share = lambda k: F.avg((F.col("l_partkey") % 4 == k).cast("double"))
+    return _table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg((F.avg("l_quantity") / 25).alias("length"), *[share(k).alias(b) for k, b in enumerate(sketches.BASES)])
+
+
+def random_jaccard(spark, sf):
+    return sketches.random_jaccard(sketches.jaccard_by_k(_sketch(spark, sf)), _genomes(spark, sf)).select("i", "j", "k", *_r("jaccard"))
+
+
+def corrected_distances(spark, sf):
+    return sketches.all_distances(_sketch(spark, sf), _genomes(spark, sf)).select("i", "j", *_r("core", "accessory"))
 
 
 def sketch_knn(spark, sf):
@@ -453,7 +467,7 @@ _QUERIES = (
     iupac_encode, snp_distance, snp_knn_ties, snp_threshold, jaccard_distance, jaccard_knn, jaccard_threshold, vector_knn, perplexity_p, edge_normalise, raw_similarity,
     labels_join, weights_join, weights_mismatch, name_symdiff, cdf_table, weighted_draw, alias_mass, alias_draws, sce_step, telemetry, step_collisions, eq_update, eq_prefix, eta_schedule, frame_schedule, scale_centre, zscore_frame, frame_delta, freq_map,
     core_distance, mutual_reachability, mst_weight, hdbscan_labels, hexbin, sorted_labels, class_sizes, top_classes, point_size, n_clusters, colour_map, triangle_wave, adsr, synth, pcm_scale, dot_lines, cluster_csv,
-    minhash_jaccard, core_accessory, sketch_knn, sketch_kmers, embed_and_cluster,
+    minhash_jaccard, core_accessory, random_jaccard, corrected_distances, sketch_knn, sketch_kmers, embed_and_cluster,
     self_draws, first_layout, run_frames, worker_split, noise_split, plot_table, stereo, fasta_read, rtab_read, distances_reload, labels_file, weights_file, names_file, embedding_file, bare_names, edge_count, jaccard_knn_all,
 )
 
