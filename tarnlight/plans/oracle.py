@@ -176,6 +176,7 @@ select a.id as i, b.id as j, round(greatest(sqrt((a.x - b.x) ** 2 + (a.y - b.y)
     "worker_split": "select s_suppkey as workers, cast(100000 // greatest(s_suppkey, 8) as bigint) as steps from supplier",
     "stereo": f"with {_STEREO} lv as (select t, sum(({_TRIANGLE.format('a')}) * ({_LEVEL.format('x')})) as l, sum(({_TRIANGLE.format('b')}) * ({_LEVEL.format('x')})) as r from am group by t), mx as (select max(abs(l)) as ml, max(abs(r)) as mr from lv) select t, cast(trunc(l * 32767 / ml) as smallint) as left, cast(trunc(r * 32767 / mr) as smallint) as right from lv, mx",
     "fasta_read": f"with {_MSA} select 'v' || id as name, string_agg(c, '' order by k) as seq, cast(64 as bigint) as length from chars group by id",
+    "fastq_read": f"with {_MSA} select 'v' || id as name, string_agg(c, '' order by k) as seq, cast(64 as bigint) as length from chars group by id",
     "rtab_read": "select distinct 's' || l_suppkey as name, 'p' || l_partkey as feature from lineitem",
     "distances_reload": f"with {_KNN} select 'v' || i as name, j, round(d, 6) as d from knn",
     "labels_file": "select 'doc' || doc_id as name, cast(toxic as varchar) as label from labels",

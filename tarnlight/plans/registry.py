@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bases, schedule, wave
 from ..operators import audio, cluster, edges, layout, naming, plots, probability, sketches, storage
-from ..sources import readers, writers
+from ..sources import readers, sequences, writers
 from . import runs
 from .options import RunOptions
 
@@ -345,6 +345,15 @@ def fasta_read(spark, sf):
     return readers.fasta(spark, path).select("name", "seq", F.length("seq").cast("long").alias("length"))
 
 
+def fastq_read(spark, sf):
+    """The alignment written as FASTQ, with lines of 20 bases and quality strings of the characters that begin other lines, and read back."""
+    cut = lambda c: F.rtrim(F.regexp_replace(c, "(.{20})", "$1\n"), F.lit("\n"))
+    lines = F.concat(F.lit("@v"), "id", F.lit(" sample\n"), cut(F.col("seq")), F.lit("\n+\n"), cut(F.translate("seq", "ACGTMRWSYKVHDBN-", "@+>!@+>!@+>!@+>!")))
+    path = storage.new_path(spark, "fastq")
+    _msa(spark, sf).select(lines.alias("value")).write.text(path)
+    return sequences.sequences(spark, path).select("name", "seq", F.length("seq").cast("long").alias("length"))
+
+
 def rtab_read(spark, sf):
     """Suppliers and their parts written as a feature matrix and read back."""
     order = F.array_sort(F.collect_set("id"))  # a matrix has a column for each supplier
@@ -468,7 +477,7 @@ _QUERIES = (
     labels_join, weights_join, weights_mismatch, name_symdiff, cdf_table, weighted_draw, alias_mass, alias_draws, sce_step, telemetry, step_collisions, eq_update, eq_prefix, eta_schedule, frame_schedule, scale_centre, zscore_frame, frame_delta, freq_map,
     core_distance, mutual_reachability, mst_weight, hdbscan_labels, hexbin, sorted_labels, class_sizes, top_classes, point_size, n_clusters, colour_map, triangle_wave, adsr, synth, pcm_scale, dot_lines, cluster_csv,
     minhash_jaccard, core_accessory, random_jaccard, corrected_distances, sketch_knn, sketch_kmers, embed_and_cluster,
-    self_draws, first_layout, run_frames, worker_split, noise_split, plot_table, stereo, fasta_read, rtab_read, distances_reload, labels_file, weights_file, names_file, embedding_file, bare_names, edge_count, jaccard_knn_all,
+    self_draws, first_layout, run_frames, worker_split, noise_split, plot_table, stereo, fasta_read, fastq_read, rtab_read, distances_reload, labels_file, weights_file, names_file, embedding_file, bare_names, edge_count, jaccard_knn_all,
 )
 
 
