@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import hierarchy
 from . import common
 
 GROUPS, PER_GROUP = 13, 2
@@ -30,6 +31,8 @@ BLOCK = 2_048
 PAIRS_PER_KEY = 256
 #: Documents whose ids are broadcast to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 100_000
+#: Links that a task makes a forest of at once.
+LOCAL_LINKS = 200_000
 #: Rounds that finding components may take; the paths in them shorten by a constant factor a round.
 MAX_ROUNDS = 100
 #: Bits of a set's bitmap for each shingle, rounded up to a power of two.
@@ -97,16 +100,47 @@ def table_keys(classes: DataFrame) -> DataFrame:
     return classes.select("id", F.explode(pairs).alias("k")).select("k.key", "id", "k.t")
 
 
+def _forests(batches):
+    """(u, v) rows -> for each piece of at most LOCAL_LINKS of them, each end that isn't the smallest of its part with the smallest."""
+    held, size = [], 0
+
+    def forest():
+        u, v = (np.concatenate(c) for c in zip(*held, strict=True))
+        ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        union = hierarchy.Union(len(ids))
+        for a, b in zip(at[: len(u)].tolist(), at[len(u) :].tolist(), strict=True):
+            union.join(a, b)
+        root = np.array([union.find(k) for k in range(len(ids))], dtype=np.int64)
+        low = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[low]), pa.array(ids[root[low]])], names=["u", "v"])
+
+    for b in batches:
+        for lo in range(0, b.num_rows, LOCAL_LINKS):
+            part = b.slice(lo, LOCAL_LINKS)
+            held.append(tuple(c.to_numpy() for c in part.columns))
+            size += part.num_rows
+            if size >= LOCAL_LINKS:
+                yield forest()
+                held, size = [], 0
+    if held:
+        yield forest()
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(id, component) of every node of the edges (a, b): the smallest id reachable.
 
-    Large-star and small-star steps in turn until nothing changes; each result is a table in the shared folder.
+    Tasks first keep a forest of the links that they have, so what repeats or closes a cycle there is gone before any shuffle.  At most LOCAL_LINKS that are left
+    are one task's forest; with more, large-star and small-star steps take turns until nothing changes, each result a table in the shared folder.
     """
     spark = edges.sparkSession
     old, paths = None, []
     path = common.staged_path(spark, name)
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    for step in range(MAX_ROUNDS):
+    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    e = common.staged(e.mapInArrow(_forests, "u long, v long"), name, f"{path}-forests")
+    many = e.count() > LOCAL_LINKS
+    if not many:
+        e = common.staged(e.repartition(1).mapInArrow(_forests, "u long, v long"), name, f"{path}-all")
+    for step in range(MAX_ROUNDS if many else 0):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         e = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -121,7 +155,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
             break
         old = now
     else:
-        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
+        if many:
+            raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 

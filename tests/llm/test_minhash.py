@@ -1,7 +1,8 @@
 import random
 
-import numpy as np
 
+import numpy as np
+import pytest
 from tarnlight.llm import common
 from tarnlight.llm import minhash as M
 
@@ -91,7 +92,9 @@ def test_bound_never_rules_out_a_link():
         assert got >= j - 1e-12 if j >= 0.8 else True
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("local", [M.LOCAL_LINKS, 4])
+def test_components_of_chains_and_stars(spark, monkeypatch, local):
+    monkeypatch.setattr(M, "LOCAL_LINKS", local)
     edges = [(i, i + 1) for i in range(50)] + [(100, k) for k in range(101, 140)] + [(7, 7), (200, 201), (201, 200)]
     got = {r["id"]: r["component"] for r in M.components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
     assert got == {i: 0 for i in range(51)} | {i: 100 for i in range(100, 140)} | {200: 200, 201: 200}
@@ -117,6 +120,7 @@ def test_deduplicated_rows(spark):
 
 def test_rounds_that_never_settle_are_an_error(spark, monkeypatch):
     monkeypatch.setattr(M, "MAX_ROUNDS", 1)
+    monkeypatch.setattr(M, "LOCAL_LINKS", 2)
     try:
         M.components(spark.createDataFrame([(i, i + 1) for i in range(9)], "a long, b long"), "t").count()
     except RuntimeError:
