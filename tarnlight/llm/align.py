@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import common, packing
 
 #: Bytes of text that fill a block, and bytes whose ends are counted at once.
-BLOCK_BYTES, MARK_BYTES = 8 << 20, 4 << 20
+BLOCK_BYTES, MARK_BYTES = 4 << 20, 4 << 20
 #: The two tokenizers' files: byte-level BPE and pieces with byte fallback.
 TOKENIZER_A, TOKENIZER_B = packing.TOKENIZER, "piece_bpe_32k.model"
 #: An id pair is one number, a << B_BITS | b; vocabularies must fit.
