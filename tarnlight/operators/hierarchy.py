@@ -110,8 +110,11 @@ def components(links: DataFrame) -> DataFrame:
 
     Numbers fall along links and along what was found before, so rounds grow with the logarithm of the longest way.
     """
-    both = storage.stored(links.select("i", "j").unionByName(links.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct(), "links")
-    label = storage.stored(both.groupBy(F.col("i").alias("v")).agg(F.least(F.min("j"), F.first("i")).alias("c")), "labels")
+    spark = links.sparkSession
+    ends = storage.new_path(spark, "links")
+    both = storage.stored(links.select("i", "j").unionByName(links.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct(), "links", ends)
+    old = storage.new_path(spark, "labels")
+    label = storage.stored(both.groupBy(F.col("i").alias("v")).agg(F.least(F.min("j"), F.first("i")).alias("c")), "labels", old)
     while True:
         low = both.join(label.select(F.col("v").alias("j"), "c"), "j").groupBy("i").agg(F.min("c").alias("o"))
         # the part that a point was in follows the least number seen by any of it
@@ -119,9 +122,12 @@ def components(links: DataFrame) -> DataFrame:
         hook = seen.groupBy("c").agg(F.min("o").alias("o"))
         step = seen.select("v", "c", F.col("o").alias("own")).join(hook, "c").select("v", F.col("c").alias("old"), F.least("own", "o").alias("n"))
         jump = step.select(F.col("v").alias("n"), F.col("n").alias("top"))
-        new = storage.stored(step.join(jump, "n").select("v", F.col("top").alias("c"), (F.col("top") != F.col("old")).alias("moved")), "labels")
-        label = new.select("v", "c")
+        path = storage.new_path(spark, "labels")
+        new = storage.stored(step.join(jump, "n").select("v", F.col("top").alias("c"), (F.col("top") != F.col("old")).alias("moved")), "labels", path)
+        storage.drop(spark, old)
+        label, old = new.select("v", "c"), path
         if not new.where("moved").limit(1).count():
+            storage.drop(spark, ends)
             return label
 
 
