@@ -112,3 +112,9 @@ def test_very_many_matches(spark):
     assert clean[1] == "<email> " * 200_000 and clean[2] == "<ip> " * 200_000 and clean[3] == "<card>, " * 50_000
     assert "<phone> <email> <ip>" in clean[4] and "@" not in clean[4]
     assert time.monotonic() - began < 180
+
+
+def test_no_documents(spark):
+    none = docs(spark, [(1, "x")]).limit(0)
+    assert P.find(none).collect() == [] and P.redact(none).collect() == []
+    assert P.redact(none).columns == none.columns

@@ -181,3 +181,11 @@ def test_marks_that_never_close(word):
     began = time.time()
     spans, lost = T.quotations([word] * 200_000)
     assert not spans and len(lost) == 200_000 and time.time() - began < 10
+
+
+def test_no_documents_and_no_labels(spark):
+    some = docs(spark, [(k, f"plain words {k}") for k in range(12)])
+    none, labels = some.limit(0), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    model = T.fit(some, labels)
+    assert T.score(none, model).collect() == [] and T.score(none, model, clean=True).collect() == []
+    assert T.fit(none, labels) is not None and len(T.score(some, model).collect()) == 12

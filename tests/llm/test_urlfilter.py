@@ -76,3 +76,9 @@ def test_cascade_is_exact_over_its_universe(spark):
 
 def test_by_id_helper(spark):
     assert by_id(pages(spark, [(1, "u")]), "page_id")[1]["url"] == "u"
+
+
+def test_no_pages(spark):
+    none = spark.createDataFrame([], "page_id long, url string, html string, host string")
+    assert U.judge(none).collect() == []
+    assert [r["verdict"] for r in U.judge(spark.createDataFrame([(1, None)], "page_id long, url string")).collect()] == ["allow"]
