@@ -317,13 +317,16 @@ def classes(docs: DataFrame, n: int, percent: int = PERCENT) -> tuple[DataFrame,
     ends = bucket.groupBy("key").agg(*[f(t).alias(f"{n}{k}") for k, t in enumerate(turned) for n, f in (("lo", F.min), ("hi", F.max))])
     mine = bucket.select("key", "id").join(ends, "key").groupBy("id").agg(*[f(f"{n}{k}").alias(f"{n}{k}") for k in range(len(ORDERS)) for n, f in (("lo", F.min), ("hi", F.max))])
     others = F.array(*[F.col(f"{n}{k}").bitwiseXOR(F.lit(x)) for k, x in enumerate(ORDERS) for n in ("lo", "hi")])
-    pivots = mine.select(F.explode(F.array_distinct(others)).alias("a"), F.col("id").alias("b")).where("a <> b").unionByName(twos)
+    pivots = mine.select(F.explode(F.array_distinct(others)).alias("a"), F.col("id").alias("b")).where("a <> b")
     maps = of.select("id", "n", "bitmap", "groups")
     links = verified(bounded(_once(pivots), maps, percent), docs, heads, n, percent, path + "-links0")
     # what shares a key but not a component: first the likeliest partners only, then all that are left
     for step, most in ((1, 1), (2, None)):
         comp = common.staged(components(links, "near-component"), "near-comp", f"{path}-comp{step}")
-        links = links.unionByName(verified(_candidates(bucket, comp, maps, percent, most), docs, heads, n, percent, f"{path}-links{step}"))
+        asked = _candidates(bucket, comp, maps, percent, most)
+        if step == 1:  # buckets of two classes, where these aren't joined yet
+            asked = asked.unionByName(bounded(_once(_apart(twos, comp)), maps, percent)).distinct()
+        links = links.unionByName(verified(asked, docs, heads, n, percent, f"{path}-links{step}"))
     return member, links, path
 
 
@@ -382,6 +385,13 @@ def _once(pairs: DataFrame) -> DataFrame:
     return low.select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"))
 
 
+def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs (a, b) that lie in different components."""
+    of = lambda x: comp.select(F.col("id").alias(x), F.col("component").alias(f"c_{x}"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+
+
 def _candidates(bucket: DataFrame, comp: DataFrame, maps: DataFrame, percent: int, most: int | None) -> DataFrame:
     """Pairs of classes that share a key, lie in different components and may be linked by their bitmaps."""
     sizes = comp.groupBy("component").agg(F.count("*").alias("members"))
