@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import hierarchy
@@ -33,7 +33,7 @@ PAIRS_PER_KEY = 256
 BROADCAST_IDS = 100_000
 #: Links that a task makes a forest of at once.
 LOCAL_LINKS = 200_000
-#: Rounds that finding components may take; the paths in them shorten by a constant factor a round.
+#: Rounds that finding components (the paths in them shorten by a constant factor a round) and naming classes may take.
 MAX_ROUNDS = 100
 #: Bits of a set's bitmap for each shingle, rounded up to a power of two.
 BITS_PER_SHINGLE = 4
@@ -94,6 +94,11 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, SIGNATURE)
 
 
+def class_hash(digest: str, salt: int) -> Column:
+    """A class's 64-bit name from its digest; null without one."""
+    return F.when(F.col(digest).isNotNull(), F.xxhash64(digest, F.lit(salt)))
+
+
 def table_keys(classes: DataFrame) -> DataFrame:
     """(key, id, t) of every pair of collections of every class; t numbers the table."""
     pairs = F.array(*[F.struct(F.xxhash64(F.lit(i * GROUPS + j), F.col("groups")[i], F.col("groups")[j]).alias("key"), F.lit(i * GROUPS + j).alias("t")) for i in range(GROUPS) for j in range(i)])
@@ -297,14 +302,25 @@ def _pairs(found):
 def classes(docs: DataFrame, n: int, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, str]:
     """Members, links and the path of their tables, for each row of ``docs`` (doc_id, text).
 
-    Members are (doc_id, text_hash, n_shingles, id): equal sets are one class ``id``, a hash of the set; null without words.
+    Members are (doc_id, text_hash, n_shingles, id): equal sets, told by digests of 128 bits, are one class ``id``, a
+    64-bit hash that no two of them share; null without words.
     Links (a, b) are pairs of classes that are linked, enough of them to join all that are.
     """
     path = common.staged_path(docs.sparkSession, "near")
-    sig = common.staged(signatures(docs, n), "near", path).withColumn("id", F.when(F.col("digest").isNotNull(), F.xxhash64("digest")))
+    sig = common.staged(signatures(docs, n), "near", path).withColumn("id", class_hash("digest", 0))
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("head")
+    for salt in range(1, MAX_ROUNDS):
+        one = sig.where("id is not null").groupBy("id").agg(head, F.first("n_shingles").alias("n"), F.first("groups").alias("groups"), F.first("bitmap").alias("bitmap"), F.min("digest").alias("least"), F.max("digest").alias("most"))
+        of = common.staged(one.select("id", "head.doc_id", "head.text_hash", "n", "groups", "bitmap", "least", "most"), "near-classes", f"{path}-classes{salt}")
+        clash = of.where("least <> most").select("id", "least")
+        if not clash.limit(1).count():
+            break
+        # different sets under one id: all but that of the smallest digest are named anew
+        renamed = F.when(F.col("digest") != F.col("least"), class_hash("digest", salt)).otherwise(F.col("id"))
+        sig = common.staged(sig.join(clash, "id", "left").withColumn("id", renamed).drop("least"), "near-named", f"{path}-ids{salt}")
+    else:
+        raise RuntimeError(f"class ids still clash after {MAX_ROUNDS} rounds")
     member = sig.select("doc_id", "text_hash", "n_shingles", "id")
-    one = sig.where("id is not null").groupBy("id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("head"), F.first("n_shingles").alias("n"), F.first("groups").alias("groups"), F.first("bitmap").alias("bitmap"))
-    of = common.staged(one.select("id", "head.doc_id", "head.text_hash", "n", "groups", "bitmap"), "near-classes", path + "-classes")
     heads = of.select("id", "doc_id", "text_hash")
     keys = table_keys(of)
     shared = keys.groupBy("key").agg(F.count("*").alias("rows"), F.min("id").alias("p"), F.max("id").alias("q")).where("p <> q")

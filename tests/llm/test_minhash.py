@@ -75,6 +75,14 @@ def test_large_buckets_in_blocks(spark, monkeypatch):
     same(spark, corpus(2), 2)
 
 
+def test_sets_that_share_a_hash_stay_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    # eight names for all classes at first, sixteen times as many each round
+    monkeypatch.setattr(M, "class_hash", lambda digest, salt: F.when(F.col(digest).isNotNull(), F.pmod(F.xxhash64(digest, F.lit(salt)), F.lit(8 << 4 * salt))))
+    same(spark, corpus(4), 2)
+
+
 def test_empty_table(spark):
     assert M.near_duplicates(docs(spark, []), 2).count() == 0
 
