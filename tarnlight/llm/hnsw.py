@@ -11,7 +11,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -257,7 +257,8 @@ def _shard(key, held) -> pa.RecordBatch:
 def nearest(graphs: DataFrame, queries: DataFrame, k: int = 10, beam: int = BEAM) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every query row (vec_id, embedding) but itself.
 
-    Queries go to every shard of their vector length in blocks of at most QUERY_BLOCK, a row for each block and shard.
+    Queries go to every shard of their vector length and are searched there in blocks of at most QUERY_BLOCK.  Rows that
+    repeat a vec_id with other vectors are one row at the smallest of their distances.
     """
     shards = [(r["shard"], r["dim"]) for r in graphs.select("shard", "dim").collect()]  # two numbers a shard
     if not shards:
@@ -301,9 +302,10 @@ def nearest(graphs: DataFrame, queries: DataFrame, k: int = 10, beam: int = BEAM
             yield _answers(graph, block, k, beam)
 
     found = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
-    # at most k rows of each query and shard are merged
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_set(F.struct("score", "vec_id"))), 1, k).alias("best"))
-    return best.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"))
+    # at most k rows of each query and shard are merged in one shuffle, as sorted rows that can spill
+    once = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _answers(graph, block, k: int, beam: int) -> pa.RecordBatch:
@@ -314,8 +316,12 @@ def _answers(graph, block, k: int, beam: int) -> pa.RecordBatch:
     for i, (qid, _) in enumerate(block):
         nodes = held[i][held[i] >= 0]
         exact = np.sqrt(((vectors[nodes] - queries[i]) ** 2).sum(1))
-        pairs = sorted((float(d), int(v)) for d, node in zip(exact, nodes.tolist(), strict=True) for v in ids[node] if v != qid)
-        out += [(qid, v, d) for d, v in pairs[:k]]
+        least: dict[int, float] = {}
+        for d, node in sorted(zip(exact.tolist(), nodes.tolist(), strict=True)):
+            for v in ids[node].tolist():
+                if v != qid:
+                    least.setdefault(v, d)
+        out += [(qid, v, d) for d, v in sorted((d, v) for v, d in least.items())[:k]]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[], [], []], (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
 
 

@@ -47,6 +47,21 @@ def test_copies_odd_vectors_and_dimensions(spark):
         assert got.get(q, []) == brute(rows, q, 10), q
 
 
+def test_rows_that_repeat_an_id_are_one(spark):
+    r = np.random.default_rng(4)
+    rows = [(i % 70, r.normal(size=4).astype(np.float32)) for i in range(200)]
+    got = run(spark, rows, 7, shard=60)
+    for q in range(0, 70, 7):
+        want = {}
+        for a in (v for i, v in rows if i == q):
+            for i, v in rows:
+                if i != q:
+                    d = float(np.sqrt(((v.astype(float) - a.astype(float)) ** 2).sum()))
+                    want[i] = min(want.get(i, d), d)
+        best = sorted((d, i) for i, d in want.items())[:10]
+        assert [i for _, i in got[q]] == [i for _, i in best] and np.allclose([d for d, _ in got[q]], [d for d, _ in best])
+
+
 def test_clusters_stay_reachable(spark):
     r = np.random.default_rng(2)
     rows = [(k * 60 + i, np.eye(8)[k] * 100 + r.normal(size=8) * 0.01) for k in range(8) for i in range(60)]
