@@ -2,8 +2,8 @@
 
 A message whose text is a JSON object may carry ``tool_calls`` (a list of id, name and arguments); one of role ``tool``
 carries ``tool_call_id``.  Calls and results are hash-joined by conversation and identifier and ordered topologically, along
-chains of any length, so that every result comes after its call.  Arguments are checked against the tools' schemas, and every
-message becomes one line of canonical JSON: keys sorted, no white space, numbers and strings in one form.
+chains of any length, so that every result comes after its call.  Arguments are checked against the tools' schemas, a table or what
+the conversations declare, and every message becomes one line of canonical JSON: keys sorted, no white space, numbers and strings in one form.
 
 While JSON is taken apart, a number is a string that begins with MARK, as variants would round long ones; a string that begins
 with MARK itself gets a second one.
@@ -62,6 +62,59 @@ def schema_table(spark, tools: dict[str, dict]) -> DataFrame:
     return table.withColumn("options", F.transform("raw", lambda x: canonical(x))).select(*[c.split()[0] for c in SCHEMA_COLUMNS.split(", ")])
 
 
+def _some(condition: Column, array: Column) -> Column:
+    return F.when(condition, array).otherwise(F.array())
+
+
+def declared(messages: DataFrame) -> DataFrame:
+    """Schemas that conversations declare themselves: SCHEMA_COLUMNS with conv_id before them, checked as those of ``schema_table``.
+
+    A message whose text is a JSON object may carry ``tools``: objects with a name and a schema in ``parameters`` or
+    ``input_schema``, or such an object in ``function``; without a schema any object fits.  Of declarations that repeat a name in a conversation the first
+    counts, for all its calls.  A null conv_id declares nothing.  A round a level of the deepest schema.
+    """
+    like = F.col("conv_id").isNotNull() & F.ltrim("text").startswith("{") & (F.contains("text", F.lit("tools")) | F.contains("text", F.lit("\\u")))
+    tools = F.try_variant_get(F.when(like, _variant(F.col("text"))), "$.tools", "array<variant>")
+    one = messages.where(like).select("conv_id", F.coalesce("turn", F.lit(-(1 << 63))).alias("turn"), F.xxhash64("role", "text").alias("h"), F.posexplode(tools).alias("at", "t"))
+    get = lambda *paths: F.coalesce(*[F.try_variant_get("t", f"$.{p}", "variant") for p in paths])
+    name = F.coalesce(F.try_variant_get("t", "$.name", "string"), F.try_variant_get("t", "$.function.name", "string"))
+    schema = get("parameters", "input_schema", "function.parameters", "function.input_schema")
+    one = one.select("conv_id", "turn", "h", "at", name.alias("name"), F.when(_kind(schema) == "object", F.to_json(schema)).otherwise("{}").alias("schema")).where("name is not null")
+    here = one.groupBy("conv_id", "name").agg(F.min(F.struct("turn", "h", "at", "schema"))["schema"].alias("schema")).select("conv_id", "name", F.expr("cast(array() as array<string>)").alias("path"), "schema")
+    table = None
+    while True:
+        here = common.staged(here, "tool-schemas")
+        if table is not None and here.isEmpty():
+            return table
+        s = here.withColumn("s", F.parse_json("schema"))
+        rules = s.select("conv_id", "name", "path", *_rules())
+        table = rules if table is None else table.unionByName(rules)
+        items = F.try_variant_get("s", "$.items", "variant")
+        below = F.concat(
+            F.coalesce(F.transform(_entries(F.try_variant_get("s", "$.properties", "variant")), lambda e: F.struct(F.concat(F.lit("/"), e["key"]).alias("step"), F.when(_kind(e["value"]) == "object", F.to_json(e["value"])).otherwise("{}").alias("schema"))), F.array()),
+            _some(_kind(items) == "object", F.array(F.struct(F.lit(ITEMS).alias("step"), F.to_json(items).alias("schema")))),
+        )
+        here = s.select("conv_id", "name", "path", F.explode(below).alias("b")).select("conv_id", "name", F.concat("path", F.array("b.step")).alias("path"), "b.schema")
+
+
+def _rules() -> list[Column]:
+    """The rest of SCHEMA_COLUMNS from a schema ``s``, a variant with marked numbers."""
+    get = lambda key, kind="variant": F.try_variant_get("s", f"$.{key}", kind)
+    has = lambda key: F.array_contains(F.transform(_entries(F.col("s")), lambda e: e["key"]), key)
+    text = lambda v: F.coalesce(_json(v), F.lit("null"))
+    number = lambda key: F.when(_kind(get(key)).isin("integer", "number"), F.substring(get(key, "string"), F.lit(2), F.length(get(key, "string"))).try_cast("double"))
+    types = F.when(_kind(get("type")) == "string", F.array(get("type", "string"))).when(_kind(get("type")) == "array", get("type", "array<string>"))
+    return [
+        F.coalesce(types, F.when(F.size("path") == 0, F.array(F.lit("object")))).alias("types"),
+        F.when(has("const"), F.array(text(get("const")))).when(_kind(get("enum")) == "array", F.transform(get("enum", "array<variant>"), text)).alias("options"),
+        F.coalesce(F.when(_kind(get("required")) == "array", get("required", "array<string>")), F.expr("cast(array() as array<string>)")).alias("required"),
+        F.coalesce(F.transform(_entries(get("properties")), lambda e: e["key"]), F.expr("cast(array() as array<string>)")).alias("keys"),
+        F.coalesce((_kind(get("additionalProperties")) == "boolean") & ~get("additionalProperties", "boolean"), F.lit(False)).alias("closed"),
+        *[number(f"{m}imum").alias(c) for m, c in (("min", "least"), ("max", "most"))],
+        *[F.coalesce(number(f"{m}Length"), number(f"{m}Items")).cast("int").alias(c) for m, c in (("min", "least_size"), ("max", "most_size"))],
+    ]
+
+
 def _number(token: Column) -> Column:
     """A JSON number in its canonical form: 1, 1.0 and 1e0 are alike, and no digit is lost."""
     part = lambda k: F.regexp_extract(token, r"^(-?)([0-9]+)(?:\.([0-9]+))?(?:[eE]([+-]?[0-9]+))?$", k)
@@ -187,13 +240,14 @@ def _order(parents: DataFrame) -> DataFrame:
 def _invalid(call: DataFrame, tools: DataFrame) -> DataFrame:
     """(conv_id, turn, h, at) of calls of an unknown tool, or whose arguments don't fit its schema."""
     call_key = [*MESSAGE, "at"]
-    known = tools.select("name").distinct()
-    out = call.join(known, "name", "left_anti").select(*call_key)
+    tool = [c for c in ("conv_id", "name") if c in tools.columns]
+    known = tools.select(*tool).distinct()
+    out = call.join(known, tool, "left_anti").select(*call_key)
     levels = tools.agg(F.max(F.size("path"))).first()[0]
-    here = call.join(known, "name", "left_semi").select(*call_key, "name", F.expr("cast(array() as array<string>)").alias("path"), F.col("args").alias("value"))
+    here = call.join(known, tool, "left_semi").select(*call_key, "name", F.expr("cast(array() as array<string>)").alias("path"), F.col("args").alias("value"))
     for level in range((-1 if levels is None else levels) + 1):
         rules = tools.where(F.size("path") == level)
-        met = here.join(rules, ["name", "path"])
+        met = here.join(rules, [*tool, "path"])
         kind, keys = _kind(F.col("value")), F.transform(_entries(F.col("value")), lambda e: e["key"])
         text = F.try_variant_get("value", "$", "string")
         number = F.substring(text, F.lit(2), F.length(text)).try_cast("double")
@@ -223,7 +277,7 @@ def _invalid(call: DataFrame, tools: DataFrame) -> DataFrame:
 def link(messages: DataFrame, tools: DataFrame) -> DataFrame:
     """One row (OUT) for each row of ``messages`` (conv_id, turn, role, text; other columns are not read).
 
-    ``tools`` has SCHEMA_COLUMNS.  sort_turn, sort_rank and turn order a conversation topologically: a result that stands before its
+    ``tools`` has SCHEMA_COLUMNS, and conv_id where a schema holds for one conversation only.  sort_turn, sort_rank and turn order a conversation topologically: a result that stands before its
     call moves behind it, and what answers a call in that result behind it in turn; a cycle of messages that answer each other is
     cut before the first of them.  ``link`` is 'call' for messages with calls, for results 'linked' or 'orphan', else null.  n_calls counts
     a message's calls, n_answered those with a result, n_invalid those whose tool is unknown, whose arguments aren't an
@@ -263,14 +317,14 @@ def link(messages: DataFrame, tools: DataFrame) -> DataFrame:
     parents = linked.where("first is not null").select(*MESSAGE, F.struct("first.turn", "first.h").alias("parent"))
     order = _order(parents.where((F.col("parent.turn") != F.col("turn")) | (F.col("parent.h") != F.col("h"))))
     invalid = _invalid(call, tools).withColumn("invalid", F.lit(1))
+    renamed = lambda df, p: df.withColumnsRenamed({c: f"{p}_{c}" for c in df.columns})
+    same = lambda p: F.col("conv_id").eqNullSafe(F.col(f"{p}_conv_id")) & (F.col("turn") == F.col(f"{p}_turn")) & (F.col("h") == F.col(f"{p}_h"))
     own = F.when(_kind(F.col("c")) == "object", _object(F.concat(_fields(F.col("c"), ["arguments"]), F.when(F.col("own_args").isNull(), F.array().cast("array<struct<key:string,json:string>>")).otherwise(F.array(_field("arguments", _json(F.col("own_args")))))))).otherwise(_json(F.col("c")))
-    per_call = call.join(invalid, [*MESSAGE, "at"], "left").join(answered, [*MESSAGE, "at"], "left")
+    per_call = call.join(renamed(invalid, "i"), same("i") & (F.col("at") == F.col("i_at")), "left").select(*call.columns, F.col("i_invalid").alias("invalid")).join(answered, [*MESSAGE, "at"], "left")
     per_message = per_call.groupBy(*MESSAGE).agg(
         F.count("*").alias("n_calls"), F.count("answered").alias("n_answered"), F.count("invalid").alias("n_invalid"),
         F.sort_array(F.collect_list(F.struct("at", own.alias("j")))).alias("js"),  # the calls of one message
     )
-    renamed = lambda df, p: df.withColumnsRenamed({c: f"{p}_{c}" for c in df.columns})
-    same = lambda p: F.col("conv_id").eqNullSafe(F.col(f"{p}_conv_id")) & (F.col("turn") == F.col(f"{p}_turn")) & (F.col("h") == F.col(f"{p}_h"))
     tooly = some.join(renamed(per_message, "m"), same("m"), "left").join(renamed(linked, "r"), same("r"), "left").join(renamed(order, "o"), same("o"), "left")
     calls_json = F.concat(F.lit("["), F.array_join(F.transform("m_js", lambda x: x["j"]), ","), F.lit("]"))
     content = F.coalesce(_json(F.try_variant_get("v", "$.content", "variant")), F.lit('""'))
@@ -292,8 +346,9 @@ def link(messages: DataFrame, tools: DataFrame) -> DataFrame:
 
 
 def op5_tool_calls(spark, sf_dir: str) -> DataFrame:
-    """Every message of conversations as canonical JSON, with its tool calls linked and checked (no schemas are known here)."""
-    return link(spark.read.parquet(f"{sf_dir}/conversations.parquet"), schema_table(spark, {}))
+    """Every message of conversations as canonical JSON, with its tool calls linked and checked against the schemas that their conversation declares."""
+    messages = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return link(messages, declared(messages))
 
 
 # Holds for tables in which no message carries tool calls or results; tests cover those by hand-made conversations.

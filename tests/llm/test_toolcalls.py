@@ -200,3 +200,35 @@ def test_linking_equals_brute_force(spark):
         assert (r["sort_turn"], r["sort_rank"], r["n_calls"], r["n_answered"], r["n_invalid"], r["link"]) == w[:6], (r, w)
         assert json.loads(r["message_json"]) == w[6]
         assert r["message_json"] == json.dumps(json.loads(r["message_json"]), sort_keys=True, separators=(",", ":"), ensure_ascii=False).replace("\x01", "\\u0001") or "." in r["message_json"]
+
+
+def test_query_checks_calls_by_the_schemas_that_conversations_declare(spark, tmp_path):
+    nested = lambda tools: [{"type": "function", "function": {"name": n, "parameters": s}} for n, s in tools.items()]
+    flat = lambda tools: [{"name": n, "input_schema": s} for n, s in tools.items()]
+    other = {"find": {"required": ["x"], "properties": {"x": {"const": None}, "list": {"items": {"type": ["number", "null"], "maximum": 2.5}}, "any": True}}, "free": {}}
+    calls = [("add", {"a": 1, "b": 2.5}), ("add", {"a": 1.5, "b": 2}), ("nope", {}), ("free", {"z": 1}), ("free", [])]
+    calls += [("find", x) for x in ({"q": "abc"}, {"q": "a"}, {"q": "abc", "how": None}, {"q": "abc", "how": "b"}, {"q": "abc", "how": 1.0}, {"q": "ab", "tags": ["x", 3]}, {"q": "ab", "tags": ["x"] * 3}, {"q": "ab", "page": {"n": 10}}, {"q": "ab", "page": {"n": 9}}, {"q": "ab", "page": {}}, {"q": "ab", "more": 1}, {"x": None}, {"x": 1}, {"x": None, "list": [1, None, 2.5]}, {"x": None, "list": [3]}, {"x": None, "any": "y"}, "no json")]
+    # the first declaration of a name in a conversation counts; one conversation's tools are unknown to another
+    heads = {1: [nested(KINDS)], 2: [flat(other), nested(KINDS)], 3: [], None: [nested(KINDS)]}
+    known = {1: KINDS, 2: {**KINDS, **other}, 3: {}, None: {}}
+    rows = []
+    for conv, tools in heads.items():
+        rows += [(conv, k, "system", json.dumps({"content": "Use them.", "tools": t})) for k, t in enumerate(tools)]
+        rows += [(conv, 10 + k, "assistant", json.dumps({"tool_calls": [{"id": f"c{k}", "name": n, "arguments": a}]})) for k, (n, a) in enumerate(calls)]
+    rows += [(3, 0, "system", text) for text in ('{"tools": {"name": "add"}}', '{"tools": [1, null, {"name": null}]}', '{"tools": [', "tools")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = T.op5_tool_calls(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    wrong = set()
+    for conv, tools in known.items():
+        for k, (n, a) in enumerate(calls):
+            s = tools.get(n)
+            if conv == 2 and n == "find":
+                ok = isinstance(a, dict) and a.get("x", 0) is None and all(x is None or x <= 2.5 for x in a.get("list", []))
+            else:
+                ok = s is not None and fits(json.loads(json.dumps(a).replace("1.0", "1")), {"type": "object", **s})
+            if not ok:
+                wrong.add((conv, 10 + k))
+    assert {(r["conv_id"], r["turn"]) for r in got if r["n_invalid"]} == wrong
+    assert {c for c, _ in wrong} == {1, 2, 3, None} and all(0 < sum(c == conv for c, _ in wrong) < len(calls) for conv in (1, 2))
+    assert {r["link"] for r in got if r["turn"] < 10} == {None}
