@@ -25,6 +25,8 @@ MAX_BITS = 1 << 30
 MAX_LEVELS = 64
 #: 64-bit words in a page of a level's bits.
 PAGE_WORDS = 1 << 14
+#: Pages that one task lays out and the driver takes at once.
+PART_PAGES = 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -73,7 +75,7 @@ class Cascade:
 
 
 def _bits(df: DataFrame, size: int, probes: int, seed: int) -> np.ndarray:
-    """The level's bits from rows (h): words of bits are merged by a shuffle and laid into dense pages, which the driver joins."""
+    """The level's bits from rows (h): words of bits are shuffled by page and laid into dense pages, which the driver joins."""
 
     def run(batches):
         for b in batches:
@@ -82,29 +84,34 @@ def _bits(df: DataFrame, size: int, probes: int, seed: int) -> np.ndarray:
                 w, inverse = np.unique(at >> np.uint64(6), return_inverse=True)
                 v = np.zeros(len(w), dtype=np.uint64)
                 np.bitwise_or.at(v, inverse, np.uint64(1) << (at & np.uint64(63)))
-                yield pa.RecordBatch.from_arrays([pa.array(w.astype(np.int64)), pa.array(v.view(np.int64))], names=["w", "bits"])
+                w = w.astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(w // PAGE_WORDS), pa.array(w % PAGE_WORDS), pa.array(v.view(np.int64))], names=["page", "w", "bits"])
 
     def pages(batches):
         page, held = None, None
         for b in batches:
-            for number, w, bits in common.rows(b, "page", "w", "bits"):
-                if number != page:
+            number, w, bits = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            cuts = np.flatnonzero(np.diff(number)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(number)], strict=True):
+                if lo == hi:
+                    continue
+                if number[lo] != page:
                     if held is not None:
                         yield _page(page, held)
-                    page, held = number, np.zeros(PAGE_WORDS, dtype=np.int64)
-                held[w % PAGE_WORDS] = bits
+                    page, held = int(number[lo]), np.zeros(PAGE_WORDS, dtype=np.int64)
+                np.bitwise_or.at(held, w[lo:hi], bits[lo:hi])
         if held is not None:
             yield _page(page, held)
 
     def _page(number, held):
         return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([held.tobytes()], pa.binary())], names=["page", "bits"])
 
-    words = df.select("h").mapInArrow(run, "w long, bits long").groupBy("w").agg(F.bit_or("bits").alias("bits"))
-    paged = words.select(F.floor(F.col("w") / PAGE_WORDS).alias("page"), "w", "bits")
-    # a few partitions are enough for the pages of a small level
-    parts = max(1, min(256, size // 64 // PAGE_WORDS + 1))
+    words = df.select("h").mapInArrow(run, "page long, w long, bits long")
+    # the driver takes a partition at a time, each with a job of its own: as few as hold PART_PAGES pages, however many shuffles have
+    count = size // 64 // PAGE_WORDS + 1
+    parts = max(1, min(256, -(-count // PART_PAGES)))
     out = np.zeros((-(-size // 64) // PAGE_WORDS + 1) * PAGE_WORDS, dtype=np.uint64)
-    for page, bits in paged.repartition(parts, "page").sortWithinPartitions("page").mapInArrow(pages, "page long, bits binary").toLocalIterator():  # size bits in all
+    for page, bits in words.repartition(parts, "page").coalesce(parts).sortWithinPartitions("page").mapInArrow(pages, "page long, bits binary").toLocalIterator():  # size bits in all
         out[page * PAGE_WORDS : (page + 1) * PAGE_WORDS] = np.frombuffer(bits, dtype=np.uint64)
     return out[: -(-size // 64)]
 
