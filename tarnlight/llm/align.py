@@ -127,10 +127,12 @@ class Aligned:
 
 
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
-#: A block: its distinct pairs in order and the documents that hold each; by document its id, counts, digest of groups and number of
-#: distinct links; of these the number of the pair and how often it is linked.  Numbers are little-endian int32.
-BLOCKS = pa.schema([("block", pa.int64()), ("pairs", pa.binary()), ("holding", pa.binary()), ("doc_id", pa.list_(pa.int64())), *[(c, pa.list_(pa.int64())) for c in COUNTS], ("groups_sha256", pa.list_(pa.string())), ("distinct", pa.binary()), ("at", pa.binary()), ("times", pa.binary())])
-BLOCKS_DDL = "block long, pairs binary, holding binary, doc_id array<long>, " + ", ".join(f"{c} array<long>" for c in COUNTS) + ", groups_sha256 array<string>, distinct binary, at binary, times binary"
+#: A block: its distinct pairs in order, the documents that hold each, and the rest as one value.  Numbers are little-endian int32.
+BLOCKS = pa.schema([("block", pa.int64()), ("pairs", pa.binary()), ("holding", pa.binary()), ("rest", pa.binary())])
+BLOCKS_DDL = "block long, pairs binary, holding binary, rest binary"
+#: A block's rest, an Arrow stream of one row, so that rows of pairs need no columns for it: by document its id, counts, digest of groups and
+#: number of distinct links; of these the number of the pair and how often it is linked; the pairs once more.
+REST = pa.schema([("doc_id", pa.list_(pa.int64())), *[(c, pa.list_(pa.int64())) for c in COUNTS], ("groups_sha256", pa.list_(pa.string())), *[(c, pa.binary()) for c in ("pairs", "distinct", "at", "times")]])
 
 
 def aligned_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, path_a: str | None = None, path_b: str | None = None) -> DataFrame:
@@ -143,7 +145,11 @@ def aligned_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, path_a: str
         distinct = np.bincount(held >> 31, minlength=len(ids))
         digest = [hashlib.sha256(x.groups(k)).hexdigest() if n else "" for k, n in enumerate(x.n_groups.tolist())]
         small = lambda v: [v.astype("<i4").tobytes()]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([number], small(pairs), small(holding), [ids], *[[getattr(x, c)] for c in COUNTS], [digest], small(distinct), small(at), small(times)), BLOCKS, strict=True)], schema=BLOCKS)
+        batch = lambda schema, columns: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, REST) as w:
+            w.write_batch(batch(REST, ([ids], *[[getattr(x, c)] for c in COUNTS], [digest], small(pairs), small(distinct), small(at), small(times))))
+        return batch(BLOCKS, ([number], small(pairs), small(holding), [out.getvalue().to_pybytes()]))
 
     def run(batches):
         both, number = tokenizers(path_a, path_b), TaskContext.get().partitionId() << 32
@@ -195,34 +201,35 @@ def documents(blocks: DataFrame, counts: DataFrame) -> DataFrame:
     n_best: links whose pair is the most common of its A id, ties included; count_sum: sum of the links' counts.  Null and empty
     texts, and such that either tokenizer doesn't give back byte for byte, have zeros and an empty digest.
     """
-    known = _exploded(blocks).select("block", "pair").join(counts.select("pair", "n", "best"), "pair")
-    of_pairs = known.select("block", F.lit(0).alias("kind"), "pair", "n", "best", *[F.lit(None).cast(f.dataType).alias(f.name) for f in blocks.schema if f.name != "block"])
-    whole = blocks.select("block", F.lit(1).alias("kind"), F.lit(None).cast("int").alias("pair"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("boolean").alias("best"), *[c for c in blocks.columns if c != "block"])
+    known = _exploded(blocks).select("block", "pair").join(counts.select("pair", (F.shiftleft("n", 1) + F.col("best").cast("long")).alias("value")), "pair")
+    of_pairs = known.select("block", "pair", "value", F.lit(None).cast("binary").alias("rest"))
+    whole = blocks.select("block", F.lit(None).cast("int").alias("pair"), F.lit(None).cast("long").alias("value"), "rest")
 
     def run(batches):
         held = []
         for b in batches:
-            kind = b.column(1).to_numpy(zero_copy_only=False)
+            pair, value, rest = (b.column(k) for k in (1, 2, 3))
             start = 0
-            for stop in [*np.flatnonzero(kind == 1).tolist(), len(kind)]:
+            for stop in [*np.flatnonzero(pair.is_null().to_numpy(zero_copy_only=False)).tolist(), len(pair)]:
                 if stop > start:
-                    held.append([b.column(c).slice(start, stop - start).to_numpy(zero_copy_only=False) for c in (2, 3, 4)])
-                if stop < len(kind):
-                    pair, n, best = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, dtype=np.int64),) * 3
+                    held.append([c.slice(start, stop - start).to_numpy() for c in (pair, value)])
+                if stop < len(pair):
+                    yield result(rest[stop].as_buffer(), *((np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, dtype=np.int64),) * 2))
                     held = []
-                    yield result(b.slice(stop, 1), pair, n.astype(np.int64), best.astype(np.int64))
                 start = stop + 1
 
-    def result(row, pair, n, best):
-        x = {f.name: row.column(k)[0].as_py() for k, f in enumerate(row.schema) if k > 4}
-        pairs, distinct, at, times = (np.frombuffer(x[c], dtype="<i4").astype(np.int64) for c in ("pairs", "distinct", "at", "times"))
+    def result(rest, pair, value):
+        row = pa.ipc.open_stream(rest).read_next_batch()
+        pairs, distinct, at, times = (np.frombuffer(row.column(c)[0].as_buffer(), dtype="<i4").astype(np.int64) for c in ("pairs", "distinct", "at", "times"))
         if not np.array_equal(pair, pairs):
             raise ValueError("a block's pairs and their counts differ")
         upto = np.cumsum(distinct)
-        by_doc = lambda v: np.diff(np.concatenate([[0], np.cumsum(times * v[at])])[upto], prepend=0)
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((x["doc_id"], *[x[c] for c in COUNTS], by_doc(best), by_doc(n), x["groups_sha256"]), RESULTS, strict=True)], schema=RESULTS)
+        by_doc = lambda v: pa.array(np.diff(np.concatenate([[0], np.cumsum(times * v[at])])[upto], prepend=0))
+        of = lambda c: row.column(c).flatten()
+        return pa.RecordBatch.from_arrays([of("doc_id"), *[of(c) for c in COUNTS], by_doc(value & 1), by_doc(value >> 1), of("groups_sha256")], schema=RESULTS)
 
-    dealt = of_pairs.unionByName(whole).repartition("block").sortWithinPartitions("block", "kind", "pair")
+    # a block's pairs in order, then its rest
+    dealt = of_pairs.unionByName(whole).repartition("block").sortWithinPartitions("block", F.asc_nulls_last("pair"))
     return dealt.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in (*COUNTS, "n_best", "count_sum")) + ", groups_sha256 string")
 
 

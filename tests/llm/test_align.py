@@ -78,3 +78,18 @@ def test_query_equals_brute_force(spark, tmp_path):
     docs(spark, list(enumerate(rows))).write.parquet(f"{tmp_path}/documents.parquet")
     got = align.op12_alignment(spark, str(tmp_path)).collect()
     assert sorted((r["doc_id"], r["n_best"], r["count_sum"]) for r in got) == [(k, x[4], x[5]) for k, x in enumerate(brute(rows))]
+
+
+def test_pairs_are_dealt_in_narrow_rows_of_any_batches(spark):
+    """Rows of pairs once held empty columns for all that a block has, which cost more than the pairs."""
+    rows = texts()
+    blocks = align.aligned_blocks(docs(spark, list(enumerate(rows))).repartition(2), 300)
+    assert blocks.columns == ["block", "pairs", "holding", "rest"] and blocks.count() > 3
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = align.documents(blocks, align.pair_counts(blocks)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    columns = (*align.COUNTS, "n_best", "count_sum", "groups_sha256")
+    assert {r["doc_id"]: tuple(r[c] for c in columns) for r in got} == dict(enumerate(brute(rows)))
