@@ -1,5 +1,7 @@
 """Joins by a threshold: the pairs of all comparisons, found with far fewer."""
 
+import math
+
 import numpy as np
 import pytest
 
@@ -114,3 +116,20 @@ def test_random_matches(spark):
     nodes = spark.createDataFrame([(i,) for i in seqs], "id long")
     far = {(x["i"], x["j"]): x["d"] for x in sketches.sketch_knn(long, nodes, 3, "core", genomes=genomes).collect()}
     assert min(far[0, 2], far[2, 3]) > 0.999 and far[0, 1] < 0.1
+
+
+def test_sketch_neighbours_follow_the_last_bit_of_the_formula(spark):
+    """Three samples of sf0.1 by their counts: the two distances to the first are equal but for rounding."""
+    sizes = {0: (571, 578, 580), 1: (590, 594, 596), 2: (590, 595, 596)}
+    both = (12, 6, 5)  # that either shares with the first, length by length
+    rows = [(i, k + 1, f"{'a' if i == 0 or x < both[k] else i}:{x}") for i, ns in sizes.items() for k, n in enumerate(ns) for x in range(n)]
+
+    def core(other):
+        logs = [math.log(c / (n + m - c)) for c, n, m in zip(both, sizes[0], sizes[other], strict=True)]
+        sy, sxy = logs[0] + logs[1] + logs[2], logs[0] + 2 * logs[1] + 3 * logs[2]
+        return max(0.0, min(1.0, 1 - math.exp((3.0 * sxy - 6.0 * sy) / (3.0 * 14.0 - 36.0))))
+
+    want = min((core(j), j) for j in (1, 2))
+    assert 0 < abs(core(1) - core(2)) < 1e-12
+    near = sketches.sketch_knn(spark.createDataFrame(rows, "id long, k int, hash string"), spark.createDataFrame([(i,) for i in sizes], "id long"), 1, "core")
+    assert {r["i"]: (r["d"], r["j"]) for r in near.collect()}[0] == want
