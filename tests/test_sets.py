@@ -66,3 +66,19 @@ def test_threshold_makes_no_copy_of_a_set_for_each_key(spark, monkeypatch, small
 def test_thresholds_among_groups(tables, small, monkeypatch, threshold):
     monkeypatch.setattr(edges, "KEYED", 0)
     assert found(edges.jaccard_threshold(*tables, threshold)) == {k: d for k, d in WANT.items() if d < threshold}
+
+
+@pytest.mark.parametrize("k", [3, 30])
+def test_nearest_among_groups(tables, small, k):
+    """Rows with fewer relatives than k get the smallest ids of those that they share nothing with, from blocks that they don't meet."""
+    want = {(i, j): d for i in SETS for d, j in sorted((WANT[i, j], j) for j in SETS if j != i)[:k]}
+    assert found(edges.jaccard_knn(*tables, k)) == want
+
+
+def test_groups_meet_their_own_blocks(tables, small):
+    cells, nodes = tables
+    whole = cells.join(nodes, "id", "left_semi").where("feature is not null and id < 50000")  # without empty sets and the one of three groups
+    blocks = edges.set_blocks(whole, whole.select("id"))
+    known = [r[0] for r in blocks.select("b").orderBy("b").collect()]
+    meets = sets._meeting(blocks, {b: at for at, b in enumerate(known)}, len(known))
+    assert sum(len(r["past"]) for r in meets.collect()) < len(known) * (len(known) - 1) / 2
