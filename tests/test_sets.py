@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tarnlight.operators import edges, pairs, sets
+from tarnlight.operators import edges, pairs, sets, sketches
 
 
 def groups():
@@ -82,3 +82,31 @@ def test_groups_meet_their_own_blocks(tables, small):
     known = [r[0] for r in blocks.select("b").orderBy("b").collect()]
     meets = sets._meeting(blocks, {b: at for at, b in enumerate(known)}, len(known))
     assert sum(len(r["past"]) for r in meets.collect()) < len(known) * (len(known) - 1) / 2
+
+
+KS = (2, 5)
+
+
+@pytest.fixture(scope="module")
+def hashes(spark):
+    """Sketches of two lengths, the longer of fewer hashes; some rows twice, others without id or hash."""
+    rows = [(i, k, f"{k}:{x}") for i, s in SETS.items() for x in s for k in KS if k == 2 or x % 3]
+    return spark.createDataFrame([*rows, *rows[:50], (0, 2, None), (None, 2, "2:1")], "id long, k int, hash string")
+
+
+def indices(k):
+    own = {i: {x for x in s if k == 2 or x % 3} for i, s in SETS.items()}
+    return {(i, j, k): len(a & b) / len(a | b) for i, a in own.items() for j, b in own.items() if i < j and a & b}
+
+
+@pytest.fixture
+def no_dense_pairs(monkeypatch):
+    def never(*_args, **_kwargs):
+        raise AssertionError("all blocks met")
+
+    monkeypatch.setattr(pairs, "distances", never)
+
+
+def test_sketch_indices_among_groups(hashes, small, no_dense_pairs):
+    got = {(r["i"], r["j"], r["k"]): r["jaccard"] for r in sketches.jaccard_by_k(hashes).collect()}
+    assert got == indices(2) | indices(5)
