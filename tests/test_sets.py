@@ -110,3 +110,14 @@ def no_dense_pairs(monkeypatch):
 def test_sketch_indices_among_groups(hashes, small, no_dense_pairs):
     got = {(r["i"], r["j"], r["k"]): r["jaccard"] for r in sketches.jaccard_by_k(hashes).collect()}
     assert got == indices(2) | indices(5)
+
+
+@pytest.fixture(scope="module")
+def genomes(spark):
+    return spark.createDataFrame([(i, 5.0 + i % 7, 0.1, 0.2, 0.3, 0.4) for i in SETS], "id long, length double, a double, c double, g double, t double")
+
+
+def test_sketch_indices_with_genomes_need_no_join(hashes, genomes, small, no_dense_pairs):
+    got = {(r["i"], r["j"], r["k"]): r["jaccard"] for r in sketches.jaccard_by_k(hashes, genomes).collect()}
+    want = {(r["i"], r["j"], r["k"]): r["jaccard"] for r in sketches.random_jaccard(sketches.jaccard_by_k(hashes), genomes).collect()}
+    assert got == pytest.approx(want) and min(got.values()) == 0 < max(got.values())
