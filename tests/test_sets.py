@@ -121,3 +121,9 @@ def test_sketch_indices_with_genomes_need_no_join(hashes, genomes, small, no_den
     got = {(r["i"], r["j"], r["k"]): r["jaccard"] for r in sketches.jaccard_by_k(hashes, genomes).collect()}
     want = {(r["i"], r["j"], r["k"]): r["jaccard"] for r in sketches.random_jaccard(sketches.jaccard_by_k(hashes), genomes).collect()}
     assert got == pytest.approx(want) and min(got.values()) == 0 < max(got.values())
+
+
+def test_sketch_distances_among_groups(hashes, small, no_dense_pairs):
+    got = {(r["i"], r["j"]): (r["core"], r["accessory"]) for r in sketches.all_distances(hashes).collect()}
+    want = {(r["i"], r["j"]): (r["core"], r["accessory"]) for r in sketches.core_accessory(sketches.jaccard_by_k(hashes)).collect()}
+    assert set(got) == set(want) and all(got[p] == pytest.approx(want[p]) for p in want)
