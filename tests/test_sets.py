@@ -127,3 +127,9 @@ def test_sketch_distances_among_groups(hashes, small, no_dense_pairs):
     got = {(r["i"], r["j"]): (r["core"], r["accessory"]) for r in sketches.all_distances(hashes).collect()}
     want = {(r["i"], r["j"]): (r["core"], r["accessory"]) for r in sketches.core_accessory(sketches.jaccard_by_k(hashes)).collect()}
     assert set(got) == set(want) and all(got[p] == pytest.approx(want[p]) for p in want)
+
+
+def test_corrected_distances_among_groups(hashes, genomes, small, no_dense_pairs):
+    got = {(r["i"], r["j"]): (r["core"], r["accessory"]) for r in sketches.all_distances(hashes, genomes).collect()}
+    want = {(r["i"], r["j"]): (r["core"], r["accessory"]) for r in sketches.core_accessory(sketches.jaccard_by_k(hashes, genomes)).collect()}
+    assert set(got) == set(want) and all(got[p] == pytest.approx(want[p]) for p in want)
