@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from tarnlight.operators import edges, pairs, sets, sketches
+from tarnlight.plans import registry
 
 
 def groups():
@@ -133,3 +134,14 @@ def test_corrected_distances_among_groups(hashes, genomes, small, no_dense_pairs
     got = {(r["i"], r["j"]): (r["core"], r["accessory"]) for r in sketches.all_distances(hashes, genomes).collect()}
     want = {(r["i"], r["j"]): (r["core"], r["accessory"]) for r in sketches.core_accessory(sketches.jaccard_by_k(hashes, genomes)).collect()}
     assert set(got) == set(want) and all(got[p] == pytest.approx(want[p]) for p in want)
+
+
+def test_full_distances_among_groups(tables, small):
+    """Blocks that share nothing are written as distance 1 from their ids alone."""
+    assert found(edges.jaccard(*tables)) == WANT
+
+
+def test_rounding_as_sql_does(spark):
+    values = [0.9765625, 0.0, 1.0, 0.1234564999, 2.5, float("inf"), 0.5703125, None]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "d double").select(*registry._rd("d")).collect()]
+    assert got == [0.976563, 0.0, 1.0, 0.123456, 2.5, float("inf"), 0.570313, None]
