@@ -145,3 +145,14 @@ def test_rounding_as_sql_does(spark):
     values = [0.9765625, 0.0, 1.0, 0.1234564999, 2.5, float("inf"), 0.5703125, None]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "d double").select(*registry._rd("d")).collect()]
     assert got == [0.976563, 0.0, 1.0, 0.123456, 2.5, float("inf"), 0.570313, None]
+
+
+@pytest.mark.parametrize("more", [0, 60])
+def test_all_others_are_not_ranked(tables, small, monkeypatch, more):
+    """As many neighbours as there are others, or more: no task collects candidates."""
+
+    def never(*_args):
+        raise AssertionError("ranked")
+
+    monkeypatch.setattr(pairs, "smallest", never)
+    assert found(edges.jaccard_knn(*tables, len(SETS) - 1 + more)) == WANT
