@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from tarnlight.sources import readers, writers
 from tarnlight.sources import sequences as S
 
 
@@ -66,3 +67,17 @@ def test_gzip_files_and_truncation(spark, tmp_path):
         S.sequences(spark, str(tmp_path / "cut.fq"))
     (tmp_path / "none.fq").write_text("")
     assert S.sequences(spark, str(tmp_path / "none.fq")).count() == 0
+
+
+def test_matrix_lines_are_made_after_the_sort(spark, tmp_path):
+    cells = {(3, 10), (3, 30), (1, 20), (200, 10), (5, 99)}  # 99 has no column
+    writers.matrix(spark.createDataFrame([*cells, (3, 10), (None, 10), (7, None)], "feature long, id long"), [10, 20, 30], str(tmp_path / "m"))
+    (file,) = (tmp_path / "m").glob("part-*.txt")
+    assert file.read_text() == "Gene\ts10\ts20\ts30\np1\t0\t1\t0\np3\t1\t0\t1\np5\t0\t0\t0\np7\t0\t0\t0\np200\t1\t0\t0\n"
+
+
+def test_odd_cells_of_a_matrix(spark, tmp_path):
+    (tmp_path / "m.Rtab").write_bytes(b"Gene\ta\tb\tc\td\r\ng1\t0\t1\t0.0\t-2e0\r\n\t00\t\tx\t3\r\nno cells\ng\xc3\xa9\t1\t0\t\t0\r\n")
+    nodes, cells = readers.rtab(spark, str(tmp_path / "m.Rtab"))
+    assert [tuple(r) for r in nodes.orderBy("id").collect()] == [(0, "a"), (1, "b"), (2, "c"), (3, "d")]
+    assert {tuple(r) for r in cells.collect()} == {(1, "g1"), (3, "g1"), (3, ""), (0, "gé")}
